@@ -50,8 +50,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, toxicity_scores
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id")).select("doc_id", "toxic")
+    model = fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity_scores(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix, op3_simhash, op4_exact_dedup, op7_token_count, op10_line_dedup)
+    f.__name__: f for f in (op1_decontamination, op2_mix, op3_simhash, op4_exact_dedup, op7_token_count, op9_toxicity, op10_line_dedup)
 }
 
 _BLANK = r"[\x20\x09-\x0D]"
