@@ -32,6 +32,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_zip import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Host, path and whether the rule allows.
+URL_RULES = [("com", "/", True), ("example.com", "/en/", False), ("www.example.com", "/en/", True), ("net", "/es/", False), ("net", "/fr/", False)]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import url_verdicts
+
+    return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import token_counts
 
@@ -56,6 +72,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, held_out, toxicity_scores
 
@@ -66,7 +88,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_mix, op3_simhash, op4_exact_dedup, op7_token_count, op9_toxicity, op10_line_dedup)
+    f.__name__: f for f in (op1_decontamination, op2_mix, op3_simhash, op4_exact_dedup, op5_warc, op6_url_filter, op7_token_count, op8_html_text, op9_toxicity, op10_line_dedup)
 }
 
 _BLANK = r"[\x20\x09-\x0D]"
@@ -74,6 +96,12 @@ _STRIPPED = rf"regexp_replace(regexp_replace(line, '^{_BLANK}+', ''), '{_BLANK}+
 _KEY = f"translate({_STRIPPED}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+        q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, h AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM q""",
     "op4_exact_dedup": rf"""
         WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_BLANK}+', ' ', 'g')) AS h FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
