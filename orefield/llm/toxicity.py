@@ -196,5 +196,25 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text: str = "text"
     return rows.mapInArrow(scored(handle, id(model) ^ random.getrandbits(60)), f"id {kind}, score double").select(F.col("id").alias(key), "score")
 
 
+def clean(handle, token: int, column: str, most: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if token not in _models:
+            _models.clear()
+            _models[token] = handle.value
+        score = _models[token].score
+        for batch in batches:
+            yield batch.filter(pa.array([score(t.as_py() or "") < most for t in batch.column(column)], pa.bool_()))
+
+    return run
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, *, text: str = "text", most: float = 0.5) -> DataFrame:
+    """The rows of docs that score under most, as they are. No shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    handle = spark.sparkContext.broadcast(model)
+    return docs.mapInArrow(clean(handle, id(model) ^ random.getrandbits(60), text, most), docs.schema)
+
+
 def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
