@@ -1,5 +1,5 @@
 """Registered queries, by theme. Each module has QUERIES (name: function) and SQL (name: DuckDB text)."""
 
-from . import relational
+from . import mining, relational
 
-MODULES = [relational]
+MODULES = [relational, mining]
