@@ -1,5 +1,5 @@
 """Registered queries, by theme. Each module has QUERIES (name: function) and SQL (name: DuckDB text)."""
 
-from . import mining, relational
+from . import business, mining, relational
 
-MODULES = [relational, mining]
+MODULES = [relational, mining, business]
