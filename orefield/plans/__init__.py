@@ -1,5 +1,5 @@
 """Registered queries, by theme. Each module has QUERIES (name: function) and SQL (name: DuckDB text)."""
 
-from . import business, mining, relational
+from . import business, corpus, mining, relational
 
-MODULES = [relational, mining, business]
+MODULES = [relational, mining, business, corpus]
