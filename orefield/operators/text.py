@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import hash_form, shingles
+from ..functions.scalars import bound, hash_form, shingles
 
 
 def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -33,7 +33,7 @@ def near_pairs(left: DataFrame, right: DataFrame, *, bands: int = 16, rows: int
         hashed = F.transform(shingles(hash_form(F.col("text")), k), lambda s: F.xxhash64(s))
         sets = df.select("id", hashed.alias("s")).withColumn("h", F.xxhash64(F.array_sort("s")))
         rep = sets.groupBy("h").agg(F.min("id").alias("id"), F.first("s").alias("s"))
-        keys = rep.select("id", F.posexplode(band_keys(minhash(F.col("s"), bands * rows), bands, rows)).alias("band", "key"))
+        keys = rep.select("id", F.posexplode(bound(minhash(F.col("s"), bands * rows), lambda sig: band_keys(sig, bands, rows))).alias("band", "key"))
         return rep.select(F.col("id").alias(name), F.col("s").alias(f"s_{name}")), keys
 
     a, ka = prepared(left, "a")
