@@ -1,5 +1,5 @@
 """Registered queries, by theme. Each module has QUERIES (name: function) and SQL (name: DuckDB text)."""
 
-from . import business, corpus, mining, modelling, relational
+from . import business, corpus, mining, modelling, relational, streams
 
-MODULES = [relational, mining, business, corpus, modelling]
+MODULES = [relational, mining, business, corpus, modelling, streams]
