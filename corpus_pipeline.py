@@ -16,7 +16,7 @@ from orefield.llm.toxicity import fit, without_toxic
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; the model learns from the labelled ones among docs."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return without_toxic(docs, fit(docs.select("doc_id", "text").join(labels, "doc_id")))
+    return without_toxic(docs, fit(docs, labels))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(~held_out("doc_id")).select("doc_id", "toxic")
-    model = fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = fit(docs, labels)
     return toxicity_scores(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -156,19 +156,22 @@ def train(toxic: list[str], ordinary: list[str], prior: float) -> ToxicityModel:
     return model
 
 
-def fit(labelled: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
-    """Train on at most sample rows of each class, those that come first by the hash of their key."""
-    known = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull())
-    sizes = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    by_hash = F.xxhash64(F.lit(11), F.col(key))
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
+    """Train on at most sample rows of each class, those that come first by the hash of their key.
+
+    Keys are chosen from the labels alone; 2 * sample of them are broadcast to find their texts, so no text is shuffled.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(label).alias("_label"))
+    sizes = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    by_hash = F.xxhash64(F.lit(11), F.col("_id"))
+    first = [known.filter(F.col("_label") == c).orderBy(by_hash, "_id").limit(sample) for c in (0, 1)]
+    chosen = docs.join(F.broadcast(first[0].unionByName(first[1])), docs[key] == F.col("_id")).filter(F.col(text).isNotNull())
     # a long text is cut for training only, at another place in each row, so no part of texts is left out
     start = F.when(F.length(text) > SAMPLE_CHARS, F.pmod(by_hash, F.length(text) - SAMPLE_CHARS) + 1).otherwise(1).cast("int")
-    rows = {
-        c: [r[0] for r in known.filter(F.col(label) == c).orderBy(by_hash, key).limit(sample).select(F.substring(F.col(text), start, F.lit(SAMPLE_CHARS))).collect()]
-        for c in (0, 1)
-    }
+    rows = sorted(chosen.select("_label", by_hash, "_id", F.substring(F.col(text), start, F.lit(SAMPLE_CHARS))).collect())
     n = sum(sizes.values())
-    return train(rows[1], rows[0], min(max(sizes.get(1, 0) / n if n else 0.1, 0.01), 0.99))
+    texts = [[r[3] for r in rows if r[0] == c] for c in (0, 1)]
+    return train(texts[1], texts[0], min(max(sizes.get(1, 0) / n if n else 0.1, 0.01), 0.99))
 
 
 _models: dict[int, ToxicityModel] = {}

@@ -257,7 +257,8 @@ def test_toxicity_learns_from_labels(spark):
         return " ".join(w)
 
     train_rows = [(i, doc(i % 3 == 0), int(i % 3 == 0)) for i in range(400)] + [(900, None, 1), (901, "", 0), (902, "x", None)]
-    model = fit(spark.createDataFrame(train_rows, "doc_id long, text string, toxic int"))
+    labelled = spark.createDataFrame(train_rows, "doc_id long, text string, toxic int")
+    model = fit(labelled.drop("toxic"), labelled.drop("text"))
     test = [(i, doc(i % 2), "en", "s", 1) for i in range(200)] + [(300, None, None, None, None), (301, "", "en", "s", 0), (302, "word " * 50_000, "en", "s", 1)]
     got = {r.doc_id: r.score for r in toxicity_scores(table(spark, test), model).collect()}
     assert all(0 <= s <= 1 for s in got.values()) and len(got) == len(test)
