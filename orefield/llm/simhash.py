@@ -91,7 +91,7 @@ def links(radius: int, similarity: float | None = None):
         if sketch is not None and ok.any():
             at = np.flatnonzero(ok)
             for part in np.array_split(at, -(-len(at) // 4096)):
-                ok[part] = (sketch[i[part]] == sketch[j[part]]).mean(axis=1) >= similarity
+                ok[part] = sketched_similarity(sketch[i[part]], sketch[j[part]]) >= similarity
         return ok
 
     def linked(fp: np.ndarray, sketch: np.ndarray | None, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +114,7 @@ def links(radius: int, similarity: float | None = None):
         held = held_sketch = None
         for last, batch in with_last(batches):
             rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("t", "k", "lo", "hi", "id", "fp")])
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint16).reshape(-1, SKETCH) if similarity else None
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) if similarity else None
             if held is not None:
                 rows = np.concatenate([held, rows], axis=1)
                 sketch = np.concatenate([held_sketch, sketch]) if similarity else None
@@ -189,18 +189,22 @@ def simhash_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     return prints.join(of_class, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-#: For near copies by similarity: fingerprints of a document's distinct words, each with its own seed; values of its min-hash sketch.
-PRINTS, SKETCH = 4, 128
-_MULTIPLY = np.random.default_rng(7).integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For near copies by similarity: fingerprints of a document's distinct words, each with its own seed; bins of its sketch.
+PRINTS, SKETCH = 8, 512
 
 
 def sketch_of(shingles: set[bytes]) -> bytes:
-    """Min-hash values of the set, 16 bits of each."""
+    """One-permutation min-hash: hashes fall into SKETCH bins, of each bin one byte of its smallest hash (1 to 255); 0 is an empty bin."""
     hashed = np.fromiter(map(_hash, shingles), dtype=np.uint64, count=len(shingles))
     least = np.full(SKETCH, 2**64 - 1, dtype=np.uint64)
-    for at in range(0, len(hashed), 512):
-        least = np.minimum(least, (hashed[at : at + 512, None] * _MULTIPLY).min(axis=0))
-    return (least >> np.uint64(20)).astype(np.uint16).tobytes()
+    np.minimum.at(least, (hashed % np.uint64(SKETCH)).astype(np.int64), hashed // np.uint64(SKETCH))
+    return np.where(least == np.uint64(2**64 - 1), 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
+
+
+def sketched_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard by rows: equal bins of those that aren't empty in both (Li, Owen and Zhang, 2012); nearly exact for sets smaller than the bins."""
+    some = (a != 0) | (b != 0)
+    return ((a == b) & some).sum(axis=1) / np.maximum(some.sum(axis=1), 1)
 
 
 def word_prints(words: list[bytes]) -> list[int]:
