@@ -1,5 +1,5 @@
 """Registered queries, by theme. Each module has QUERIES (name: function) and SQL (name: DuckDB text)."""
 
-from . import business, corpus, mining, modelling, more, relational, streams
+from . import business, corpus, mining, modelling, more, relational, rest, streams
 
-MODULES = [relational, mining, business, corpus, modelling, streams, more]
+MODULES = [relational, mining, business, corpus, modelling, streams, more, rest]
