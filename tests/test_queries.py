@@ -46,7 +46,10 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_the_same_again(spark, name):
-    assert sorted(map(str, QUERIES[name](spark, SF_DIR).collect())) == sorted(map(str, QUERIES[name](spark, SF_DIR).collect()))
+    def rows():
+        return sorted((tuple(float(f"{v:.5g}") if isinstance(v, float) else str(v) for v in r) for r in QUERIES[name](spark, SF_DIR).collect()), key=str)
+
+    assert rows() == rows()
 
 
 def test_every_sql_has_a_query():
