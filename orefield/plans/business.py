@@ -138,12 +138,12 @@ def b21_drill_down(t: Tables) -> DataFrame:
     return out.withColumns({"before": F.round("before", 2), "after": F.round("after", 2), "change": F.round("change", 2), "share": F.round("share", 4)})
 
 
-@query("""WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS orders, avg(o_totalprice) AS aov FROM orders GROUP BY 1)
-    SELECT month, orders, round(aov, 4) AS aov, round((orders - lag(orders) OVER w) * lag(aov) OVER w, 2) AS by_orders, round((aov - lag(aov) OVER w) * orders, 2) AS by_aov FROM m WINDOW w AS (ORDER BY month)""")
+@query("""WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS orders, round(avg(o_totalprice), 4) AS aov FROM orders GROUP BY 1)
+    SELECT month, orders, aov, round((orders - lag(orders) OVER w) * lag(aov) OVER w, 4) AS by_orders, round((aov - lag(aov) OVER w) * orders, 4) AS by_aov FROM m WINDOW w AS (ORDER BY month)""")
 def b22_orders_times_aov(t: Tables) -> DataFrame:
-    m = B.query_metric(t.orders, {"orders": F.count("*"), "a": F.avg("o_totalprice")}, [], ("o_orderdate", "month"))
+    m = B.query_metric(t.orders, {"orders": F.count("*"), "a": F.round(F.avg("o_totalprice"), 4)}, [], ("o_orderdate", "month"))
     w = Window.orderBy("period")
-    return m.select(F.col("period").alias("month"), "orders", F.round("a", 4).alias("aov"), F.round((F.col("orders") - F.lag("orders").over(w)) * F.lag("a").over(w), 2).alias("by_orders"), F.round((F.col("a") - F.lag("a").over(w)) * F.col("orders"), 2).alias("by_aov"))
+    return m.select(F.col("period").alias("month"), "orders", F.col("a").alias("aov"), F.round((F.col("orders") - F.lag("orders").over(w)) * F.lag("a").over(w), 4).alias("by_orders"), F.round((F.col("a") - F.lag("a").over(w)) * F.col("orders"), 4).alias("by_aov"))
 
 
 @query("WITH m AS (SELECT max(o_orderdate)::DATE AS d FROM orders), l AS (SELECT sum(o_totalprice) AS s FROM orders, m WHERE o_orderdate >= date_trunc('month', d)) SELECT d AS last_day, d < last_day(d) AS partial, round(s * day(last_day(d)) / day(d), 2) AS prorated FROM m, l")
