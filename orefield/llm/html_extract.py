@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ship
+from .common import Scratch, ship
 from .urls import host_of
 
 #: Winning paths that are kept for each host.
@@ -207,7 +207,8 @@ def host_paths(pages: DataFrame, *, url: str = "url", html: str = "html", paths:
 def main_texts(pages: DataFrame, *, url: str = "url", html: str = "html", key: str = "page_id", paths: int = PATHS) -> DataFrame:
     """One row per page: key, url, text, n_chars. Null or empty html gives an empty text; pages without a host vote together; repeated rows stay."""
     kind = pages.schema[key].dataType.simpleString()
-    winning = host_paths(pages, url=url, html=html, paths=paths)
+    # written, so its size is known: a small table is broadcast and no page is shuffled, a large one meets plain shuffles whose hot hosts Spark splits
+    winning = Scratch(pages.sparkSession, "html").written(host_paths(pages, url=url, html=html, paths=paths), "paths")
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host_of(F.col(url)).alias("host"))
     joined = rows.join(winning, "host", "left").select("id", "url", "html", "paths")
     out = joined.mapInArrow(texts, f"id {kind}, url string, text string")
