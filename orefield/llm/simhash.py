@@ -83,32 +83,45 @@ class Forest:
 def links(radius: int, similarity: float | None = None):
     """From rows sorted by group (t, k, lo, hi), each group whole in its partition: a forest of the links in each group.
 
-    With a similarity, the rows' sketches must also agree in that share of their values.
+    With a similarity, a pair also needs sketches that agree in MARGIN more than that share of their values; pairs that
+    are within MARGIN of it and not in one tree follow with sure = false, for the sketch can't decide on them.
     """
 
-    def near(fp: np.ndarray, sketch: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def near(fp: np.ndarray, sketch: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs link, and which may."""
         ok = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+        maybe = np.zeros(len(ok), dtype=bool)
         if sketch is not None and ok.any():
             at = np.flatnonzero(ok)
             for part in np.array_split(at, -(-len(at) // 4096)):
-                ok[part] = sketched_similarity(sketch[i[part]], sketch[j[part]]) >= similarity
-        return ok
+                alike = sketched_similarity(sketch[i[part]], sketch[j[part]])
+                ok[part] = alike >= similarity + MARGIN
+                maybe[part] = (alike >= similarity - MARGIN) & ~ok[part]
+        return ok, maybe
 
-    def linked(fp: np.ndarray, sketch: np.ndarray | None, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that are linked to an earlier row, and the first row of their tree."""
+    def linked(fp: np.ndarray, sketch: np.ndarray | None, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows that are linked to an earlier row, and the first row of their tree; then pairs that may link. sure tells them apart."""
         forest, label = Forest(len(fp)), np.arange(len(fp))
+        unsure = []
         for d in range(1, len(fp)):
             same = group[d:] == group[:-d]
             if not same.any():
                 break
             i = np.flatnonzero(same & (label[d:] != label[:-d]))
-            i = i[near(fp, sketch, i, i + d)] if len(i) else i
+            if len(i):
+                ok, maybe = near(fp, sketch, i, i + d)
+                if maybe.any():
+                    unsure.append(np.stack([i[maybe] + d, i[maybe]]))
+                i = i[ok]
             if len(i):
                 for x in i.tolist():
                     forest.link(x, x + d)
                 label = np.fromiter(map(forest.root, range(len(fp))), dtype=np.int64, count=len(fp))
         rows = np.flatnonzero(label != np.arange(len(fp)))
-        return rows, label[rows]
+        i, j = np.concatenate(unsure, axis=1) if unsure else np.zeros((2, 0), dtype=np.int64)
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        return np.concatenate([rows, i]), np.concatenate([label[rows], j]), np.arange(len(rows) + len(i)) < len(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = held_sketch = None
@@ -125,8 +138,8 @@ def links(radius: int, similarity: float | None = None):
                 continue
             group = np.zeros(cut, dtype=np.int64)
             group[ends[ends < cut]] = 1
-            a, b = linked(rows[5, :cut].view(np.uint64), sketch[:cut] if similarity else None, group.cumsum())
-            yield pa.record_batch({"a": pa.array(rows[4, a]), "b": pa.array(rows[4, b])})
+            a, b, sure = linked(rows[5, :cut].view(np.uint64), sketch[:cut] if similarity else None, group.cumsum())
+            yield pa.record_batch({"a": pa.array(rows[4, a]), "b": pa.array(rows[4, b]), "sure": pa.array(sure)})
 
     return run
 
@@ -145,13 +158,18 @@ def with_last(items: Iterator) -> Iterator[tuple[bool, object]]:
 
 
 def near_links(nodes: DataFrame, scratch: Scratch, *, radius: int = RADIUS, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
-    """Edges a, b that connect whatever nodes have a fingerprint within the radius (and a sketch as similar).
+    """Edges a, b that connect whatever nodes have a fingerprint within the radius; all are sure.
 
-    nodes: id (distinct longs), fps (array of longs, as many in each row) and, with a similarity, sketch (binary).
+    nodes: id (distinct longs), fps (array of longs, as many in each row). With a similarity also sketch (binary) and
+    bands (array of longs, as many in each row): nodes that share a band meet too, sketches decide on all that meet,
+    and what they can't decide comes as pairs with sure = false.
     """
     masks = [m - 2**64 if m >= 2**63 else m for m in covering_masks(radius)]
     n = nodes.select(F.max(F.size("fps"))).first()[0] or 0
     tables = [F.struct(F.lit(j * len(masks) + t).alias("t"), F.element_at("fps", j + 1).bitwiseAND(F.lit(m)).alias("k")) for j in range(n) for t, m in enumerate(masks)]
+    if similarity:
+        bands = nodes.select(F.max(F.size("bands"))).first()[0] or 0
+        tables += [F.struct(F.lit(n * len(masks) + j).alias("t"), F.element_at("bands", j + 1).alias("k")) for j in range(bands)]
     keys = nodes.select("id", F.explode(F.array(*tables)).alias("x")).select("id", "x.t", "x.k") if n else nodes.select("id", F.lit(0).alias("t"), F.lit(0).cast("long").alias("k"))
     shared = scratch.written(keys.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -161,10 +179,11 @@ def near_links(nodes: DataFrame, scratch: Scratch, *, radius: int = RADIUS, bloc
         .select("t", "k", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select("t", "k", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "id")
     )
-    fp = F.element_at("fps", (F.floor(F.col("t") / len(masks)) + 1).cast("int")).alias("fp")
+    # a band has no fingerprint: there all that meet are compared
+    fp = F.when(F.col("t") < n * len(masks), F.get("fps", F.floor(F.col("t") / len(masks)).cast("int"))).otherwise(0).alias("fp")
     dealt = dealt.join(nodes, "id").select("t", "k", "lo", "hi", "id", fp, *(["sketch"] if similarity else []))
     group = ["t", "k", "lo", "hi"]
-    return dealt.repartition(*group).sortWithinPartitions(*group, "id").mapInArrow(links(radius, similarity), "a long, b long")
+    return dealt.repartition(*group).sortWithinPartitions(*group, "id").mapInArrow(links(radius, similarity), "a long, b long, sure boolean")
 
 
 def simhash_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -191,11 +210,39 @@ def simhash_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 
 #: For near copies by similarity: fingerprints of a document's distinct words, each with its own seed; bins of its sketch.
 PRINTS, SKETCH = 8, 512
+#: Bands of a min-hash of its shingles, and values in each: a pair of similarity s misses them all with probability (1 - s ** ROWS) ** BANDS, 7e-5 at 0.8.
+BANDS, ROWS = 24, 5
+#: A sketch that is further than this from the asked similarity decides by itself (over five standard deviations); nearer ones are counted exactly.
+MARGIN = 0.1
+
+
+_RANDOM = np.random.default_rng(SEED)
+_XORS, _ODDS = (_RANDOM.integers(0, 2**64, (BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
+_ODDS |= np.uint64(1)
+_MIX = _RANDOM.integers(0, 2**64, ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles; fewer words than a shingle count as one."""
+    grams = set(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else {b" ".join(words)}
+    return np.unique(np.fromiter(map(_hash, grams), dtype=np.uint64, count=len(grams)))
+
 
+def bands_of(hashed: np.ndarray) -> list[int]:
+    """BANDS hashes of ROWS min-hash values each."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashed), 512):  # small enough for the cache
+        x = (hashed[at : at + 512] ^ _XORS) * _ODDS
+        x ^= x >> np.uint64(32)
+        x *= _ODDS
+        np.minimum(least, x.min(axis=1), out=least)
+    least ^= least >> np.uint64(29)
+    mixed = (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
+    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64).tolist()
 
-def sketch_of(shingles: set[bytes]) -> bytes:
-    """One-permutation min-hash: hashes fall into SKETCH bins, of each bin one byte of its smallest hash (1 to 255); 0 is an empty bin."""
-    hashed = np.fromiter(map(_hash, shingles), dtype=np.uint64, count=len(shingles))
+
+def sketch_of(hashed: np.ndarray) -> bytes:
+    """One-permutation min-hash: hashes of shingles fall into SKETCH bins, of each bin one byte of its smallest hash (1 to 255); 0 is an empty bin."""
     least = np.full(SKETCH, 2**64 - 1, dtype=np.uint64)
     np.minimum.at(least, (hashed % np.uint64(SKETCH)).astype(np.int64), hashed // np.uint64(SKETCH))
     return np.where(least == np.uint64(2**64 - 1), 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
@@ -223,35 +270,77 @@ def word_prints(words: list[bytes]) -> list[int]:
 def near_prints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digest, fps, sketches = [], [], []
+            digest, fps, sketches, bands = [], [], [], []
             for t in batch.column(1):
                 words = words_of((t.as_py() or "").encode())
                 digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 fps.append([x - 2**64 if x >= 2**63 else x for x in word_prints(words)])
-                grams = set(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) >= size else {b" ".join(words)}
-                sketches.append(sketch_of(grams))
+                hashed = shingle_hashes(words, size)
+                sketches.append(sketch_of(hashed))
+                bands.append(bands_of(hashed))
             yield pa.record_batch({
                 "id": batch.column(0), "digest": pa.array(digest, pa.binary()),
                 "fps": pa.array(fps, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary()),
+                "bands": pa.array(bands, pa.list_(pa.int64())),
             })
 
     return run
 
 
+def shingle_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(words_of((t.as_py() or "").encode()), size).tobytes() for t in batch.column(1)]
+            yield pa.record_batch({"id": batch.column(0), "shingles": pa.array(sets, pa.binary())})
+
+    return run
+
+
+def alike(similarity: float):
+    """Of rows a, b and their shingle sets, those whose exact Jaccard is at least the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, *, shingle: int, similarity: float) -> DataFrame:
+    """The pairs a, b whose texts (rows: id, text) have that Jaccard similarity of their whole shingle sets."""
+    asked = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+    found = rows.join(asked, "id", "left_semi").mapInArrow(shingle_sets(shingle), "id long, shingles binary")
+    sets = scratch.written(found.dropDuplicates(["id"]), "sets")
+    of = [sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab"]
+    return pairs.join(of[0], "a").join(of[1], "b").mapInArrow(alike(similarity), "a long, b long")
+
+
 def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """key and component_id (the smallest key of its group) of each row of docs whose key isn't null.
 
-    Rows with the same words are one class. Classes link if one of their PRINTS fingerprints of distinct words is
-    within the radius and their shingles are at least so similar by min-hash. Of documents with a similarity of 0.8
-    or more over nineteen in twenty meet in a fingerprint (README has the figures); groups are connected components.
+    Rows with the same words are one class. Classes meet if they share a band of min-hashes of their shingles or if one
+    of their PRINTS fingerprints of distinct words is within the radius, and link if the Jaccard similarity of their
+    shingle sets is so high: by sketch where that is clear, else by the whole sets. Groups are connected components.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "near-copies")
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    prints = scratch.written(rows.mapInArrow(near_prints(shingle), "id long, digest binary, fps array<long>, sketch binary"), "prints")
+    prints = scratch.written(rows.mapInArrow(near_prints(shingle), "id long, digest binary, fps array<long>, sketch binary, bands array<long>"), "prints")
     least = scratch.written(prints.groupBy("digest").agg(F.min("id").alias("least")), "classes")
-    nodes = scratch.written(prints.join(least.select(F.col("least").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "fps", "sketch"), "nodes")
-    roots = components(near_links(nodes, scratch, radius=radius, block=block, similarity=similarity), scratch)
+    nodes = scratch.written(prints.join(least.select(F.col("least").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "fps", "sketch", "bands"), "nodes")
+    met = scratch.written(near_links(nodes, scratch, radius=radius, block=block, similarity=similarity), "met")
+    roots = components(met.filter("sure").select("a", "b"), scratch)
+    # pairs that the sketch leaves open count only between groups that aren't one already
+    of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}")) for c in "ab"]
+    pairs = met.filter("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(of[0], "a", "left").join(of[1], "b", "left")
+    pairs = scratch.written(pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "unsure")
+    links = verified(pairs, rows, scratch, shingle=shingle, similarity=similarity)
+    roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
     named = scratch.written(least.join(roots, least["least"] == roots["node"], "left").select("digest", F.coalesce("root", "least").alias("component_id")), "named")
     return prints.select("id", "digest").join(named, "digest").select(F.col("id").alias(key), "component_id")

@@ -221,6 +221,20 @@ def test_near_copies(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5}
 
 
+def test_near_copies_with_a_passage_more(spark):
+    """A passage of new words moves all word fingerprints; five-word shingles at 0.82 link nevertheless, those just under 0.8 don't."""
+    from orefield.llm.simhash import near_copies
+
+    def pair(i, more):
+        w = [f"w{i}x{j}" for j in range(250)]
+        return [" ".join(w), " ".join(w + [f"new{i}x{j}" for j in range(more)])]
+
+    # 246 shingles, all of them in the longer text, which has 246 + more
+    texts = [t for i in range(30) for t in pair(i, 54 if i < 20 else 63)]
+    got = {r.doc_id: r.component_id for r in near_copies(table(spark, rows(texts))).collect()}
+    assert got == {i: i - i % 2 if i < 40 else i for i in range(60)}
+
+
 # tokens
 
 
