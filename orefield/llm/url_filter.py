@@ -8,6 +8,7 @@ blocked host is distrusted. A host is allowed if its trust is at least its distr
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .urls import host_of, path_of
 
-DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
+DAMPING, TOLERANCE = 0.85, 1e-6
 HREF = r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
 
@@ -43,22 +44,25 @@ def best_rule() -> Column:
     return F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"), r["allows"].alias("allows"))))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, *, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, *, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank of (kind, host, score), where edges (kind, a, b, share) pass on from a to b and seeds are kind, host, seed.
 
-    Each round is one join and one aggregate, written to cut the lineage; it ends when no score moves by more than the tolerance.
+    Each round is one join and one aggregate, written to cut the lineage; it ends when no host's score moves by more than
+    that share of itself, whatever the number of seeds (a host that is reached for the first time moves by all of it), or
+    after so many rounds where these are given.
     """
     base = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
     now = scratch.written(base, "rank")
     if not edges.limit(1).count():
         return now
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         passed = edges.join(now, (edges["kind"] == now["kind"]) & (edges["a"] == now["host"])).select(
             edges["kind"], F.col("b").alias("host"), (F.col("score") * F.col("share") * damping).alias("score")
         )
         new = scratch.written(passed.unionByName(base).groupBy("kind", "host").agg(F.sum("score").alias("score")), "rank")
         old = now.select("kind", "host", F.col("score").alias("was"))
-        moved = new.join(old, ["kind", "host"], "left").agg(F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
+        moved = new.join(old, ["kind", "host"], "left").filter("score > 0").agg(F.max(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))) / F.col("score"))).first()[0] or 0.0
+        scratch.drop(now)
         now = new
         if moved <= tolerance:
             break
@@ -73,7 +77,7 @@ def host_links(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
     return links.select("src", host_of(full).alias("dst")).filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, bool]], *, url: str = "url", html: str = "html", key: str = "page_id", rounds: int = ROUNDS) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, bool]], *, url: str = "url", html: str = "html", key: str = "page_id", rounds: int | None = None) -> DataFrame:
     """One row per page: key, host, path, rule (null if none fits), verdict (allow or block), trust, distrust.
 
     A null url, or one without ://, has an empty host and path and so no rule; a host without trust or distrust is

@@ -355,6 +355,23 @@ def test_spread_is_personalised_pagerank(spark):
     assert all(abs(got[h] - p[h]) < 1e-4 for h in p)
 
 
+def test_spread_reaches_every_host(spark):
+    from orefield.llm.common import Scratch
+    from orefield.llm.queries import URL_RULES
+    from orefield.llm.url_filter import spread, url_verdicts
+    from pyspark.sql import functions as F
+
+    chain = [(i, f"http://h{i}.org", f"<a href='http://h{i + 1}.org/'>") for i in range(25)]
+    pages = spark.createDataFrame([*chain, (25, "http://h25.org", "<a href='http://blocked.net/es/'>"), (50, "http://blocked.net/es/", "")], "page_id long, url string, html string")
+    assert {r.verdict for r in url_verdicts(pages, URL_RULES).collect()} == {"block"}
+    n = 130_000  # seeds: a first step moves no host by 1e-6
+    host = lambda c: F.concat(F.lit(c), "id")
+    seeds = spark.range(n).select(F.lit("t").alias("kind"), host("a").alias("host"), F.lit(1 / n).alias("seed"))
+    step = lambda a, b: spark.range(n).select(F.lit("t").alias("kind"), host(a).alias("a"), host(b).alias("b"), F.lit(1.0).alias("share"))
+    out = spread(step("a", "b").unionByName(step("b", "c")), seeds, Scratch(spark, "t"))
+    assert out.filter("host like 'c%'").count() == n
+
+
 # html
 
 
