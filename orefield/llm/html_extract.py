@@ -3,7 +3,8 @@ r"""Main text of web pages by consensus host paths.
 Each page's containers are scored (text of their blocks less link text, as it counts for parent and grandparent).
 A container's path is the generalised tags and classes from the root down; the best container of each page votes with
 its score for its path. Spark adds up the votes per host, and every page is extracted again from the containers on
-its host's winning paths. A page that has none of them falls back to its own best container.
+its host's winning paths, or from what these are part of: see Page.whole. A page that has none of them falls back to
+its own best container.
 """
 
 from __future__ import annotations
@@ -16,13 +17,10 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Scratch, ship
 from .urls import host_of
 
-#: Winning paths that are kept for each host.
-PATHS = 8
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|object|canvas)\b(?:[^>]*/>|.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-z][^\s/>]*)(?P<rest2>[^>]*)>|<[a-z/][^>]*\Z",
@@ -55,6 +53,7 @@ class Element:
     start: int
     end: int = -1
     score: float = 0.0
+    up: Element | None = None
 
 
 def names(rest: str) -> dict[str, str]:
@@ -83,6 +82,7 @@ class Page:
 
     def __init__(self, source: str):
         self.blocks: list[str] = []
+        self.linked: list[int] = []  # characters of each block that are in links
         self.containers: list[Element] = []
         self._stack: list[Element] = []
         self._text: list[str] = []
@@ -119,6 +119,7 @@ class Page:
         self._text.clear()
         if block:
             self.blocks.append(block)
+            self.linked.append(min(self._links, len(block)))
             worth = max(0, len(block) - self._links) * (1.0 if self._links * 2 < len(block) else 0.2)
             share = 1.0
             for e in [e for e in reversed(self._stack) if e.tag in CONTAINERS][:2]:
@@ -143,7 +144,7 @@ class Page:
         inside = bool(top and (top.inside or top.tag in ("article", "main")))
         skipped = bool(top and top.skipped) or marked(tag, given, inside)
         path = f"{top.path}>{generalised(tag, given)}" if top else generalised(tag, given)
-        self._stack.append(Element(tag, path, skipped, inside, len(self.blocks)))
+        self._stack.append(Element(tag, path, skipped, inside, len(self.blocks), up=top))
 
     def _close(self, tag: str) -> None:
         if tag in INLINE:
@@ -166,14 +167,41 @@ class Page:
         """The container with the highest score; of equal ones the innermost, which closes first."""
         return max(self.containers, key=lambda e: e.score, default=None)
 
+    def whole(self, e: Element) -> Element:
+        """Climbs from e as long as what the next container adds is text rather than links.
+
+        Articles and mains come first; within one, nothing outside of it is tried.
+        """
+        around, x = [], e
+        while x:
+            if x.tag in CONTAINERS or x.tag in WHOLE:
+                around.append(x)
+            x = x.up
+        main = [i for i, x in enumerate(around) if x.tag in ("article", "main")]
+        for way in ([around[i] for i in main], around[1 : main[0] if main else None]):
+            top = e
+            for x in way:
+                more = [i for i in range(x.start, x.end) if not top.start <= i < top.end]
+                if x.skipped or sum(self.linked[i] for i in more) * 2 > sum(len(self.blocks[i]) for i in more):
+                    break
+                top = x
+            if top is not e:
+                return top
+        return e
+
     def text(self, paths: list[str]) -> str:
-        """Blocks of the outermost containers on the first of the paths that the page has, else of the best container."""
-        for path in paths:
-            chosen = [e for e in self.containers if e.path == path]
-            if chosen:
-                return "\n".join(self.blocks[i] for i in sorted({i for e in chosen for i in range(e.start, e.end)}))
-        best = self.best()
-        return "\n".join(self.blocks[best.start : best.end] if best else self.blocks)
+        """Blocks of the whole of the containers on the first of the paths that the page has, else of the best container."""
+        on: dict[str, list[Element]] = {}
+        for e in self.containers:
+            on.setdefault(e.path, []).append(e)
+        chosen = next((on[path] for path in paths if path in on), None)
+        if chosen is None:
+            best = self.best()
+            chosen = [best] if best else None
+        if chosen is None:
+            return "\n".join(self.blocks)
+        wholes = {(x.start, x.end) for x in map(self.whole, chosen)}
+        return "\n".join(self.blocks[i] for i in sorted({i for a, b in wholes for i in range(a, b)}))
 
 
 def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,23 +220,21 @@ def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"id": batch.column(0), "url": batch.column(1), "text": pa.array(text, pa.string())})
 
 
-def host_paths(pages: DataFrame, *, url: str = "url", html: str = "html", paths: int = PATHS) -> DataFrame:
-    """host and its winning paths, best first."""
+def host_paths(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
+    """host and the paths that its pages voted for, best first."""
     ship(pages.sparkSession)
     rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     found = rows.mapInArrow(votes, "host string, path string, score double").filter("path is not null")
     added = found.groupBy("host", "path").agg(F.sum("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("score"), "path"))
-    best = added.withColumn("place", place).filter(F.col("place") <= paths)
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"])
-    return best.groupBy("host").agg(in_order.alias("paths"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "path"))), lambda x: x["path"])
+    return added.groupBy("host").agg(in_order.alias("paths"))
 
 
-def main_texts(pages: DataFrame, *, url: str = "url", html: str = "html", key: str = "page_id", paths: int = PATHS) -> DataFrame:
+def main_texts(pages: DataFrame, *, url: str = "url", html: str = "html", key: str = "page_id") -> DataFrame:
     """One row per page: key, url, text, n_chars. Null or empty html gives an empty text; pages without a host vote together; repeated rows stay."""
     kind = pages.schema[key].dataType.simpleString()
     # written, so its size is known: a small table is broadcast and no page is shuffled, a large one meets plain shuffles whose hot hosts Spark splits
-    winning = Scratch(pages.sparkSession, "html").written(host_paths(pages, url=url, html=html, paths=paths), "paths")
+    winning = Scratch(pages.sparkSession, "html").written(host_paths(pages, url=url, html=html), "paths")
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host_of(F.col(url)).alias("host"))
     joined = rows.join(winning, "host", "left").select("id", "url", "html", "paths")
     out = joined.mapInArrow(texts, f"id {kind}, url string, text string")

@@ -393,6 +393,29 @@ def test_main_texts(spark):
     assert main_texts(pages.limit(0)).count() == 0
 
 
+def test_main_texts_of_nested_sections(spark):
+    from orefield.llm.html_extract import main_texts
+
+    nav = "<div>" + "".join(f"<p><a href=/{i}>a link to page {i}</a></p>" for i in range(9)) + "</div>"
+    a, b = "intro words " * 25, "body words " * 90
+    html = [
+        f"<body>{nav}<article><h1>T</h1><section class=intro><p>{a}</p></section><section class=body><p>{b}</p></section></article>{nav}",
+        f"<body>{nav}<article><h1>T</h1><div><section><div><p>{a}</p></div></section><section><div><p>{b}</p></div></section></div></article>{nav}",
+        f"<body>{nav}<div class=x><h1>T</h1><div class=s><p>{b}</p></div><div class=s2><p>{a}</p></div></div>{nav}",
+    ]
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/x", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_texts(pages).collect()}
+    assert got[0] == got[1] == f"T\n{a.strip()}\n{b.strip()}"
+    assert "a link" in html[2] and got[2].split("\n")[:1] == ["T"] and a.strip() in got[2]
+    # a host's ninth kind of page has its path too
+    kinds = "abcdefghij"
+    host = [(i, "http://h.com/x", f"<body><div class=z{k}><p>{b}{'more ' * (20 - i)}</p><section class=q{k}><p>{k} end</p></section></div>{nav}") for i, k in enumerate(kinds)]
+    from orefield.llm.html_extract import host_paths
+
+    paths = host_paths(spark.createDataFrame(host, "page_id long, url string, html string")).first().paths
+    assert [p.split(">")[1] for p in paths] == [f"div.z{k}" for k in kinds]
+
+
 # warc
 
 
