@@ -1,21 +1,23 @@
 r"""Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary texts, one on what toxic texts have beyond them (words that
-several toxic documents share and no ordinary one has). A window is one word, tiled to WINDOW bytes, so that the
-block is always entropy-coded and its length tells how well the dictionary knows the word. Words come from the whole
-text. The pair of compressed lengths is looked up in a table of calibrated log odds, learned on labelled texts that
-no dictionary has seen; a logistic curve over the document's windows gives the score.
-
-Training takes a bounded sample of labelled rows (SAMPLE of each class, in hash order); scoring reads every text.
+Two zstandard dictionaries are trained on labelled texts: one on the windows of ordinary texts, one on those of toxic
+texts. A window is compressed with each, and the pair of lengths is looked up in a table of log odds, which is
+calibrated on labelled texts that no dictionary has seen. A logistic curve over what a document's windows give is its
+score. Windows are WINDOW_WORDS words, tiled to TILE bytes so that the block is always entropy-coded; they cover all
+words of a text, and each is compressed with both dictionaries.
+
+Most of a toxic text is ordinary. So the toxic dictionary is trained in ROUNDS: the toxic texts are split in two
+halves, and a dictionary of the one half measures the other half's windows. Windows whose pair of lengths is far
+commoner in toxic than in ordinary texts (log odds over PURE) are the toxic text of the next round.
 """
 
 from __future__ import annotations
 
 import random
-import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,56 +25,88 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
-
-#: Labelled texts of each class that training takes at most, and code points of each; the one bound of the model.
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
-WINDOW, ORDINARY_BYTES, TOXIC_BYTES = 32, 32768, 4096
-#: Words whose log odds a worker remembers.
-KEPT = 1_000_000
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Bytes that a window must share with the toxic dictionary, and by which that must shorten it more, to count.
-GRAM, GAIN = 5, 2
+from .common import WORD, ship
 
+#: Labelled rows of each class that training takes at most, with their whole texts; the one bound of the model.
+SAMPLE = 2000
+WINDOW_WORDS, TILE = 1, 64
+#: Bytes of the dictionaries at most, and at least that much training text for each byte; segments and their parts as zstandard's trainer takes them.
+DICTIONARY, REFINED, TEXT_PER_BYTE, SEGMENT, PART = 65536, 16384, 2, 48, 6
+ROUNDS, PURE = 4, 1.5
+#: Windows whose log odds a worker remembers, and the longest (in code points) that it remembers.
+KEPT, KEPT_CHARS = 1_000_000, 60
 
-def windows(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+Lengths = tuple[int, int]
 
 
-def tiled(word: str) -> bytes:
-    b = f" {word}".encode()
-    return b * -(-WINDOW // len(b)) + b" "
+def windows(text: str, size: int = WINDOW_WORDS) -> list[str]:
+    """All words of the text (letters, digits and underscores) in runs of so many."""
+    words = WORD.findall(text.lower())
+    return words if size == 1 else [" ".join(words[i : i + size]) for i in range(0, len(words), size)]
 
 
-def dictionary(texts: list[list[str]], size: int) -> bytes:
-    """A zstandard dictionary trained on runs of eight words; what there is, where it is too little to train on."""
-    runs = [f" {' '.join(words[i : i + 8])} ".encode() for words in texts for i in range(0, len(words), 8)]
-    random.Random(5).shuffle(runs)
-    raw = b"".join(dict.fromkeys(runs))
-    if len(raw) <= size:
-        return raw
+def dictionary(samples: list[str], size: int) -> bytes | None:
+    """A zstandard dictionary trained on windows; None where there is too little to train on."""
+    raw = [f" {x} ".encode() for x in samples]
+    random.Random(5).shuffle(raw)
+    size = min(size, sum(map(len, raw)) // TEXT_PER_BYTE)
+    if size < 256:  # the least that zstandard trains
+        return None
     try:
-        return zstd.train_dictionary(size, runs[:40_000], k=24, d=6).as_bytes()
+        return zstd.train_dictionary(size, raw, k=SEGMENT, d=PART).as_bytes()
     except zstd.ZstdError:
-        return raw[:size]
+        return None
+
+
+class Ruler:
+    """Compressed lengths of windows under one dictionary: bare frames, a lazy search with short matches."""
+
+    def __init__(self, content: bytes):
+        held = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_FULLDICT)
+        params = zstd.ZstdCompressionParameters(
+            format=zstd.FORMAT_ZSTD1_MAGICLESS, strategy=zstd.STRATEGY_LAZY2, window_log=18, chain_log=15, hash_log=15, search_log=5,
+            min_match=4, target_length=32, write_content_size=0, write_checksum=0, write_dict_id=0,
+        )
+        held.precompute_compress(compression_params=params)
+        self.compress = zstd.ZstdCompressor(dict_data=held, compression_params=params).compress
+
+    def length(self, window: str) -> int:
+        return len(self.compress(tiled(window)))
+
+
+def tiled(window: str) -> bytes:
+    b = f" {window} ".encode()
+    return b * max(1, -(-TILE // len(b)))
+
+
+def measured(texts: Iterable[list[str]], ordinary: dict[str, int], toxic: Ruler) -> list[list[Lengths]]:
+    """The pair of lengths of each window of each text; ordinary has the first of them."""
+    texts = list(texts)
+    pair = {w: (ordinary[w], toxic.length(w)) for w in set(chain.from_iterable(texts))}
+    return [[pair[w] for w in ws] for ws in texts]
+
+
+def log_odds(toxic: list[list[Lengths]], ordinary: list[list[Lengths]]) -> dict[Lengths, float]:
+    """How much commoner a pair of lengths is among the windows of toxic texts."""
+    a, b = Counter(chain.from_iterable(toxic)), Counter(chain.from_iterable(ordinary))
+    n_a, n_b = max(1, sum(a.values())), max(1, sum(b.values()))
+    return {c: float(np.log((a[c] + 2) / n_a / ((b[c] + 2) / n_b))) for c in a.keys() | b.keys()}
 
 
-def compressor(content: bytes) -> zstd.ZstdCompressor:
-    """Of bare frames, with the content as prefix; a lazy search with short matches."""
-    held = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-    params = zstd.ZstdCompressionParameters(
-        format=zstd.FORMAT_ZSTD1_MAGICLESS, strategy=zstd.STRATEGY_LAZY2, window_log=17, chain_log=13, hash_log=13, search_log=4,
-        min_match=4, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0,
-    )
-    held.precompute_compress(compression_params=params)
-    return zstd.ZstdCompressor(dict_data=held, compression_params=params)
+def document_log_odds(toxic: list[list[Lengths]], ordinary: list[list[Lengths]]) -> dict[Lengths, float]:
+    """How much commoner toxic texts with such a window are."""
+    a, b = (Counter(chain.from_iterable(map(set, x))) for x in (toxic, ordinary))
+    return {c: float(np.log((a[c] + 1) / (len(toxic) + 2) / ((b[c] + 1) / (len(ordinary) + 2)))) for c in a.keys() | b.keys()}
 
 
 @dataclass
 class ToxicityModel:
-    ordinary: bytes
-    toxic: bytes
-    odds: dict[tuple[int, int, int], float] = field(default_factory=dict)
+    """base is the score of every text where a dictionary or the curve couldn't be trained."""
+
+    base: float
+    ordinary: bytes | None = None
+    toxic: bytes | None = None
+    odds: dict[Lengths, tuple[float, float]] = field(default_factory=dict)
     weights: list[float] = field(default_factory=list)
     centre: list[float] = field(default_factory=list)
     spread: list[float] = field(default_factory=list)
@@ -81,10 +115,8 @@ class ToxicityModel:
         self.open()
 
     def open(self) -> None:
-        self._kept: dict[str, float] = {}
-        self._ordinary = compressor(self.ordinary).compress if self.ordinary else None
-        self._toxic = compressor(self.toxic).compress if self.toxic else None
-        self._grams = {self.toxic[i : i + GRAM] for i in range(len(self.toxic) - GRAM + 1)}
+        self._kept: dict[str, tuple[float, float]] = {}
+        self._rulers = [Ruler(x) for x in (self.ordinary, self.toxic)] if self.ordinary and self.toxic else []
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -93,84 +125,107 @@ class ToxicityModel:
         self.__dict__.update(state)
         self.open()
 
-    def cell(self, word: str) -> tuple[int, int, int] | None:
-        """The window's size and compressed lengths; None where it shares no GRAM bytes with the toxic dictionary, which then can't shorten it."""
-        b = f" {word} ".encode()
-        if not self._toxic or not self._ordinary or not any(b[i : i + GRAM] in self._grams for i in range(max(1, len(b) - GRAM + 1))):
-            return None
-        b = tiled(word)
-        return min(len(word), 20), len(self._ordinary(b)), len(self._toxic(b))
+    def lengths(self, window: str) -> Lengths:
+        ordinary, toxic = self._rulers
+        b = tiled(window)
+        return len(ordinary.compress(b)), len(toxic.compress(b))
 
-    def log_odds(self, word: str) -> float:
-        x = self._kept.get(word)
+    def window_odds(self, window: str) -> tuple[float, float]:
+        x = self._kept.get(window)
         if x is None:
-            x = self.odds.get(self.cell(word), 0.0)
-            if len(self._kept) < KEPT:
-                self._kept[word] = x
+            x = self.odds.get(self.lengths(window), (0.0, 0.0))
+            if len(self._kept) < KEPT and len(window) <= KEPT_CHARS:
+                self._kept[window] = x
         return x
 
-    def features(self, text: str) -> list[float]:
-        words = windows(text)
-        found = sorted((x for x in map(self.log_odds, words) if x > 0), reverse=True)
-        n = len(words) + 20
-        return [found[0] if found else 0.0, sum(found[:3]), 100 * sum(found) / n, sum(x > 1.5 for x in found) * 100 / n]
-
     def score(self, text: str) -> float:
-        z = (np.array(self.features(text)) - self.centre) / self.spread
+        if not self.weights:
+            return self.base
+        z = (np.array(features(list(map(self.window_odds, windows(text))))) - self.centre) / self.spread
         return float(1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -35, 35))))
 
 
+def features(odds: list[tuple[float, float]]) -> list[float]:
+    """What a document's windows give: sums and largest values of their log odds."""
+    by_window = np.array([x for x, _ in odds] or [0.0])
+    by_document = sorted({y for _, y in odds})
+    n = len(by_window)
+    most = np.partition(by_window, -3)[-3:] if n > 3 else by_window
+    return [by_window.sum(), by_window.mean(), most.sum(), np.log1p(n), np.maximum(by_window, 0).sum() / np.sqrt(n), sum(by_document[-3:])]
+
+
 def train(toxic: list[str], ordinary: list[str], prior: float) -> ToxicityModel:
-    """toxic and ordinary: labelled texts; prior: the share of toxic ones among all labelled rows."""
-    fit_t, cal_t = toxic[::2], toxic[1::2]
-    fit_o, cal_o = ordinary[::2], ordinary[1::2]
-    words_t, words_o = [windows(x) for x in fit_t], [windows(x) for x in fit_o]
-    known = {w for words in words_o for w in words}
-    shared = Counter(w for words in words_t for w in set(words) - known)
-    least = max(2, len(words_t) // 200)
-    own = [[w for w in dict.fromkeys(words) if shared[w] >= least] for words in words_t]
-    model = ToxicityModel(dictionary(words_o, ORDINARY_BYTES), dictionary([w for w in own if w], TOXIC_BYTES))
-    seen = [Counter(), Counter()]
-    for texts, counts in ((cal_o, seen[0]), (cal_t, seen[1])):
-        for text in texts:
-            counts.update({model.cell(w) for w in set(windows(text))} - {None})
-    n_o, n_t = max(1, len(cal_o)), max(1, len(cal_t))
-    for c in seen[0].keys() | seen[1].keys():
-        rate_t, rate_o = (seen[1][c] + 0.3) / (n_t + 1), (seen[0][c] + 0.6) / (n_o + 1)
-        model.odds[c] = float(np.log(rate_t / rate_o)) if c[1] - c[2] >= GAIN else 0.0
-    model._kept.clear()
-    x = np.array([model.features(t) for t in cal_t + cal_o] or [[0.0] * 4])
-    y = np.array([1.0] * len(cal_t) + [0.0] * len(cal_o) or [0.0])
+    """toxic and ordinary: labelled texts; prior: the share of toxic ones among all labelled rows.
+
+    Every second text of each class is for the dictionaries, the others are for calibration.
+    """
+    model = ToxicityModel(prior)
+    fit_t, cal_t, fit_o, cal_o = ([windows(x) for x in half] for half in (toxic[::2], toxic[1::2], ordinary[::2], ordinary[1::2]))
+    model.ordinary = dictionary(list(chain.from_iterable(fit_o)), DICTIONARY)
+    if not model.ordinary:
+        return model
+    ruler = Ruler(model.ordinary)
+    lengths = {w: ruler.length(w) for w in set(chain.from_iterable(chain(fit_t, cal_t, cal_o)))}
+    pure, size = fit_t, DICTIONARY
+    for _ in range(ROUNDS):
+        chosen: list[list[str]] = [[] for _ in fit_t]
+        for half in (0, 1):
+            content = dictionary(list(chain.from_iterable(pure[half::2])), size)
+            if not content:
+                break
+            other = Ruler(content)
+            pairs = measured(fit_t[1 - half :: 2], lengths, other)
+            odds = log_odds(pairs, measured(cal_o[half::2], lengths, other))
+            chosen[1 - half :: 2] = [[w for w, x in zip(ws, p) if odds[x] > PURE] for ws, p in zip(fit_t[1 - half :: 2], pairs)]
+        if not content or not dictionary(list(chain.from_iterable(chosen)), REFINED):
+            break
+        pure, size = chosen, REFINED
+    model.toxic = dictionary(list(chain.from_iterable(pure)), size)
+    if not model.toxic or not cal_t or not cal_o:
+        return model
+    model.open()
+    seen = [measured(x, lengths, model._rulers[1]) for x in (cal_t, cal_o)]
+    by_window, by_document = log_odds(*seen), document_log_odds(*seen)
+    model.odds = {c: (by_window[c], by_document[c]) for c in by_window}
+    x = np.array([features([model.odds[c] for c in pairs]) for pairs in chain(*seen)])
+    y = np.array([1.0] * len(cal_t) + [0.0] * len(cal_o))
     model.centre, model.spread = x.mean(0).tolist(), (x.std(0) + 1e-6).tolist()
-    z = np.c_[(x - model.centre) / model.spread, np.ones(len(x))]
-    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    model.weights = logistic((x - model.centre) / model.spread, y, prior)
+    return model
+
+
+def logistic(x: np.ndarray, y: np.ndarray, prior: float) -> list[float]:
+    """Weights and, last, the constant of a ridge logistic regression in which the classes weigh as in the prior; Newton steps."""
+    z = np.c_[x, np.ones(len(x))]
+    share = y.mean()
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
-    ridge = np.diag([1.0] * (z.shape[1] - 1) + [1e-3])
+    ridge = np.diag([1.0] * x.shape[1] + [1e-3])
     w = np.zeros(z.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
         slope = z.T @ (weight * (p - y)) + ridge @ w
         curve = (z.T * (weight * p * (1 - p))) @ z + ridge
         w -= np.clip(np.linalg.solve(curve, slope), -2, 2)
-    model.weights = w.tolist()
-    return model
+    return w.tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Train on at most sample rows of each class, those that come first by the hash of their key.
 
     Keys are chosen from the labels alone; 2 * sample of them are broadcast to find their texts, so no text is shuffled.
+    A key with several labels is toxic if one of them says so; labels other than 0 and 1, null keys and null texts don't
+    count. Where a key is in several documents, the first rows by hash are taken, so that never more than sample rows of
+    a class come to the driver. Without enough text of both classes to train dictionaries on, every score is the prior.
     """
-    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_id"), F.col(label).alias("_label"))
-    sizes = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    by_hash = F.xxhash64(F.lit(11), F.col("_id"))
-    first = [known.filter(F.col("_label") == c).orderBy(by_hash, "_id").limit(sample) for c in (0, 1)]
-    chosen = docs.join(F.broadcast(first[0].unionByName(first[1])), docs[key] == F.col("_id")).filter(F.col(text).isNotNull())
-    # a long text is cut for training only, at another place in each row, so no part of texts is left out
-    start = F.when(F.length(text) > SAMPLE_CHARS, F.pmod(by_hash, F.length(text) - SAMPLE_CHARS) + 1).otherwise(1).cast("int")
-    rows = sorted(chosen.select("_label", by_hash, "_id", F.substring(F.col(text), start, F.lit(SAMPLE_CHARS))).collect())
+    known = labels.select(F.col(key).alias("id"), F.col(label).alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    known = known.groupBy("id").agg(F.max("label").cast("int").alias("label"))
+    sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    by_hash = F.xxhash64(F.lit(11), F.col("id"))
+    first = [known.filter(F.col("label") == c).orderBy(by_hash, "id").limit(sample) for c in (0, 1)]
+    rows = docs.select(F.col(key).alias("of"), F.col(text).alias("text")).filter("text is not null")
+    chosen = rows.join(F.broadcast(first[0].unionByName(first[1])), F.col("of") == F.col("id")).select("label", by_hash.alias("h"), "id", F.xxhash64("text").alias("th"), "text")
+    texts = [[r["text"] for r in chosen.filter(F.col("label") == c).orderBy("h", "id", "th").limit(sample).collect()] for c in (0, 1)]
     n = sum(sizes.values())
-    texts = [[r[3] for r in rows if r[0] == c] for c in (0, 1)]
     return train(texts[1], texts[0], min(max(sizes.get(1, 0) / n if n else 0.1, 0.01), 0.99))
 
 
@@ -190,10 +245,14 @@ def scored(handle, token: int):
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of docs: key and score, 0 to 1. Null counts as empty; a text without words scores as one without toxic windows."""
+    """One row per row of docs: key and score, 0 to 1.
+
+    Null counts as empty; a text without words scores like one without toxic windows. Any key type, null and repeated keys
+    included; repeated rows stay; an empty table gives no rows; other columns are ignored.
+    """
     spark = docs.sparkSession
     ship(spark)
-    handle = spark.sparkContext.broadcast(model)  # two dictionaries and a small table: under 200 KB
+    handle = spark.sparkContext.broadcast(model)  # two dictionaries and a table of pairs of lengths: under 300 KB
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(scored(handle, id(model) ^ random.getrandbits(60)), f"id {kind}, score double").select(F.col("id").alias(key), "score")
@@ -212,7 +271,7 @@ def clean(handle, token: int, column: str, most: float):
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, *, text: str = "text", most: float = 0.5) -> DataFrame:
-    """The rows of docs that score under most, as they are. No shuffle."""
+    """The rows of docs that score under most, as they are, whatever their columns. No shuffle."""
     spark = docs.sparkSession
     ship(spark)
     handle = spark.sparkContext.broadcast(model)

@@ -255,31 +255,94 @@ def test_token_counts(spark):
 # toxicity
 
 
-def test_toxicity_learns_from_labels(spark):
-    from orefield.llm.toxicity import fit, toxicity_scores, train, without_toxic
-
+def toxic_corpus(n, seed=1):
     import random
 
-    rng = random.Random(1)
+    rng = random.Random(seed)
     stems = ["lor", "em", "ip", "sum", "dol", "or", "sit", "am", "et", "con"]
-    word = lambda: "".join(rng.choice(stems) for _ in range(rng.randint(1, 4)))
 
     def doc(bad):
-        w = [word() for _ in range(80)]
+        w = ["".join(rng.choice(stems) for _ in range(rng.randint(1, 4))) for _ in range(80)]
         for _ in range(4 * bad):
             w.insert(rng.randrange(80), rng.choice(["jerkface", "numbskull", "blockhead"]))
         return " ".join(w)
 
-    train_rows = [(i, doc(i % 3 == 0), int(i % 3 == 0)) for i in range(400)] + [(900, None, 1), (901, "", 0), (902, "x", None)]
+    return [(i, doc(i % 3 == 0), int(i % 3 == 0)) for i in range(n)]
+
+
+def test_toxicity_learns_from_labels(spark):
+    from pyspark.sql import functions as F
+
+    from orefield.llm.toxicity import fit, toxicity_scores, without_toxic
+
+    train_rows = toxic_corpus(400) + [(900, None, 1), (901, "", 0), (902, "x", None), (None, "y", 1), (903, "z", 7), (3, "a second text of the same id", 1)]
     labelled = spark.createDataFrame(train_rows, "doc_id long, text string, toxic int")
-    model = fit(labelled.drop("toxic"), labelled.drop("text"))
-    test = [(i, doc(i % 2), "en", "s", 1) for i in range(200)] + [(300, None, None, None, None), (301, "", "en", "s", 0), (302, "word " * 50_000, "en", "s", 1)]
-    got = {r.doc_id: r.score for r in toxicity_scores(table(spark, test), model).collect()}
-    assert all(0 <= s <= 1 for s in got.values()) and len(got) == len(test)
-    assert sum((got[i] >= 0.5) == bool(i % 2) for i in range(200)) >= 190
-    assert got[300] == got[301] < 0.5
-    assert without_toxic(table(spark, test), model).columns == table(spark, test).columns
-    assert 0 <= train([], [], 0.1).score("some text") <= 1
+    docs, labels = labelled.drop("toxic"), labelled.drop("text").unionByName(labelled.drop("text").limit(50))
+    model = fit(docs.withColumn("label", F.lit("clash")).withColumn("id", F.lit(1)), labels.withColumn("label", F.lit("clash")))
+    test = [(i, t, "en", "s", y) for i, t, y in toxic_corpus(200, 2)] + [(300, None, None, None, None), (301, "", "en", "s", 0), (302, "word " * 50_000, "en", "s", 1), (None, "word", "en", "s", 1), (0, None, "en", "s", 1)]
+    got = toxicity_scores(table(spark, test).withColumn("id", F.lit("clash")).withColumn("score", F.lit(2.0)), model).collect()
+    assert all(0 <= r.score <= 1 for r in got) and Counter(r.doc_id for r in got) == Counter(r[0] for r in test)
+    by_id = {r.doc_id: r.score for r in got if r.doc_id}
+    assert sum((by_id[i] >= 0.5) == bool(y) for i, _, _, _, y in test[1:200]) >= 189
+    assert by_id[300] == by_id[301] < 0.5
+    kept = without_toxic(table(spark, test).withColumn("_id", F.lit("clash")), model)
+    assert kept.columns == [*table(spark, test).columns, "_id"]
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.score < 0.5)
+    assert toxicity_scores(table(spark, []), model).count() == 0 and without_toxic(table(spark, []), model).count() == 0
+
+
+def test_toxicity_fits_within_its_bound(spark):
+    from orefield.llm import toxicity
+
+    rows = spark.createDataFrame([(i % 5, t, y) for i, t, y in toxic_corpus(60)], "doc_id long, text string, toxic int")
+    seen = []
+    real, toxicity.train = toxicity.train, lambda toxic, ordinary, prior: seen.append((toxic, ordinary, prior))
+    try:
+        toxicity.fit(rows.drop("toxic"), rows.drop("text"), sample=7)
+        toxicity.fit(rows.drop("toxic").limit(0), rows.drop("text").limit(0), sample=7)
+    finally:
+        toxicity.train = real
+    assert len(seen[0][0]) == 7 and not seen[0][1] and seen[1] == ([], [], 0.1)  # each key has a toxic label; a key stands for many rows
+
+
+def test_toxicity_measures_every_window_with_both_dictionaries():
+    import random
+
+    import zstandard as zstd
+
+    from orefield.llm.toxicity import TILE, train, windows
+
+    corpus = toxic_corpus(300)
+    model = train([t for _, t, y in corpus if y], [t for _, t, y in corpus if not y], 0.3)
+    text = "Lorem, JERKFACE! ipsum_1 dolor\nnumbskull " + "x" * 5000
+    assert windows(text) == ["lorem", "jerkface", "ipsum_1", "dolor", "numbskull", "x" * 5000]
+    assert windows("a b c d e", 2) == ["a b", "c d", "e"]
+    for content in (model.ordinary, model.toxic):
+        assert zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_FULLDICT).dict_id()  # trained, not raw
+    for w in windows(text):
+        b = f" {w} ".encode()
+        b *= max(1, -(-TILE // len(b)))
+        plain = []
+        for content in (model.ordinary, model.toxic):
+            params = zstd.ZstdCompressionParameters(format=zstd.FORMAT_ZSTD1_MAGICLESS, strategy=zstd.STRATEGY_LAZY2, window_log=18, chain_log=15, hash_log=15, search_log=5, min_match=4, target_length=32, write_content_size=0, write_checksum=0, write_dict_id=0)
+            plain.append(len(zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content), compression_params=params).compress(b)))
+        assert model.lengths(w) == tuple(plain)
+    words = [w for _, t, y in corpus for w in windows(t)]
+    gain = lambda w: model.lengths(w)[0] - model.lengths(w)[1]
+    assert sum(map(gain, ["jerkface", "numbskull", "blockhead"])) / 3 > sum(map(gain, words)) / len(words)
+    odds = [model.window_odds(w) for w in windows(text)]
+    again = random.Random(3).sample(words, 500)
+    for w in again:  # what is remembered is what is measured
+        assert model.window_odds(w) == model.odds.get(model.lengths(w), (0.0, 0.0)) == model.window_odds(w)
+    assert len(odds) == 6
+
+
+def test_toxicity_without_enough_text():
+    from orefield.llm.toxicity import train
+
+    assert train([], [], 0.1).score("some text") == 0.1
+    assert train(["bad"] * 3, ["good"] * 3, 0.3).score("bad") == 0.3
+    assert train([], ["plain words " * 2000] * 4, 0.2).score("") == 0.2
 
 
 # decontamination
