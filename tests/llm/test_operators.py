@@ -479,6 +479,100 @@ def test_main_texts_of_nested_sections(spark):
     assert [p.split(">")[1] for p in paths] == [f"div.z{k}" for k in kinds]
 
 
+NAV = "<div>" + "".join(f"<p><a href=/{i}>a link to page {i}</a></p>" for i in range(9)) + "</div>"
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<body><form id='aspnetForm'><div>MENU</div><p>ART</p><input name=x></form></body>", None),
+        ("<body><div class='elementor-widget-container'><p>ART</p></div><div class='widget'><p>side</p></div></body>", "ART"),
+        ("<body><section class='social science'><p>ART</p></section></body>", "ART"),
+        ("<body><script src='a.js' />alert('code')</script><p>ART</p></body>", "ART"),
+        ("<body><script src='a.js' /><p>ART</p></body>", "ART"),
+        ("<body><svg class=x/><p>ART</p><svg><text>label</text></svg></body>", "ART"),
+        ("<body><div class=post><p>ART</p></div><section id='user-discussion'><p>ART</p></section></body>", "ART"),
+        ("<div class='content with-sidebar'><h1>T</h1><p>ART</p><div class=sidebar><p>side</p></div></div>", "T\nART"),
+        ("<body><article><p>ART</p></article><div class=comments><article class=comment-body><p>ART ART ART ART ART</p></article></div>", "ART"),
+        ("<body><div class=x><p>ART</p></div><div class=comments><h3>Comments</h3><p>ART ART</p></div></body>", "ART"),
+        ("<body><nav><a href=x>ART ART</a></nav><main><p>ART</p><div class=share>share this</div></main><aside>ART</aside><footer>foot</footer>", "ART"),
+        ("<body><div hidden><p>ART</p></div><div class=cookie-notice>we use</div><p>ART</p></body>", "ART"),
+        ("<p>a<table><tr><td>b<td>c</table>", "a\nb\nc"),
+        ("<b>x</b>&nbsp;&amp;&#233;&lt;p&gt; y", "x &é<p> y"),
+        ("<!-- <p>ART</p> --><p>a<!-- b", "a"),
+        ("<p title='a>b'>c</p><p", "c"),
+    ],
+)
+def test_page_shapes(source, want):
+    from orefield.llm.html_extract import Page
+
+    article = " ".join(["The article's text goes on and on."] * 12)
+    got = Page(source.replace("ART", article).replace("MENU", NAV)).text()
+    if want is None:  # links beside the text in the one container
+        assert article in got.split("\n")
+    else:
+        assert got == want.replace("ART", article)
+
+
+def test_the_vote_of_the_host_decides(spark):
+    from orefield.llm.html_extract import Page, main_texts
+
+    story, box = "story words " * 30, "words of a box " * 60
+    nav = NAV * 3
+    page = lambda i, s: f"<body>{nav}<div class=story><p>{i} {s}</p></div>{nav}<div class=box><p>{box} {i if i == 5 else ''}</p></div>{nav}</body>"
+    html = [page(i, story * (4 if i < 5 else 1)) for i in range(6)]
+    assert box.strip() in Page(html[5]).text() and "story" not in Page(html[5]).text()
+    pages = spark.createDataFrame([(i, "http://h.com/x", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_texts(pages).collect()}
+    assert got == {i: f"{i} {(story * (4 if i < 5 else 1)).strip()}" for i in range(6)}
+
+
+def test_what_a_host_repeats_is_no_text(spark):
+    from orefield.llm.html_extract import host_paths, main_texts
+
+    body = "some more words of the text " * 12
+    page = lambda i: f"<body><div class=post><h1>T{i}</h1><p>{i} {body}</p><div class=strip><p>Read the same on every page.</p></div><p>{body} {i}</p></div></body>"
+    rows = [(i, "http://a.com/x", page(i)) for i in range(6)] + [(10 + i, "http://b.com/x", page(1)) for i in range(6)] + [(20 + i, "http://c.com/x", page(i)) for i in range(4)]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows] + [(None, None, None, None, None), (0, "http://a.com/x", page(0), "again", 2)], "page_id long, url string, html string, host string, paths int")
+    found = {r.host: (r.paths, r.boilerplate) for r in host_paths(pages).collect()}
+    assert found["a.com"] == (["body>div.post"], ["body>div.post>div.strip"]) and found["b.com"][1] == found["c.com"][1] == []  # copies count once; four pages are too few
+    got = main_texts(pages).collect()
+    text = lambda i, more: "\n".join([f"T{i}", f"{i} {body.strip()}", *more, f"{body}{' ' if body[-1] != ' ' else ''}{i}"])
+    strip = ["Read the same on every page."]
+    want = [(i, text(i, [])) for i in range(6)] + [(10 + i, text(1, strip)) for i in range(6)] + [(20 + i, text(i, strip)) for i in range(4)] + [(None, ""), (0, text(0, []))]
+    assert Counter((r.page_id, r.text) for r in got) == Counter(want)
+
+
+def test_consensus_is_what_a_plain_loop_finds(spark):
+    import random
+    from urllib.parse import urlparse
+
+    from orefield.llm.html_extract import Page, main_texts
+
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice(LONG.split()) for _ in range(n))
+
+    def page():
+        parts = [f"<div class={rng.choice(['a', 'b', 'c', 'ad', 'related'])}><p>{words(rng.randint(1, 60))}</p><section class=s{rng.randint(0, 2)}><p>{words(rng.randint(1, 40))}</p></section></div>" for _ in range(rng.randint(1, 5))]
+        return f"<body>{NAV if rng.random() < 0.5 else ''}{rng.choice(['<article>', '<div class=wrap>', ''])}{NAV.join(parts)}</body>"
+
+    rows = [(i, f"http://{rng.choice('pqr')}.com/{i}", page()) for i in range(60)]
+    scores, seen = defaultdict(Counter), defaultdict(lambda: defaultdict(dict))
+    for _, url, html in rows:
+        p, host = Page(html), urlparse(url).hostname
+        if best := p.best():
+            scores[host][best.path] += p.unlinked(best) + 1
+        for e in p.containers:
+            seen[host][e.path][html] = "|".join(x for x, ok in zip(p.blocks[e.start : e.end], p.alive[e.start : e.end]) if ok)
+    want = {}
+    for i, url, html in rows:
+        host = urlparse(url).hostname
+        same = [k for k, v in seen[host].items() if not scores[host][k] and len(v) >= 5 and max(Counter(v.values()).values()) >= 0.8 * len(v)]
+        want[i] = Page(html).text(sorted((k for k, v in scores[host].items() if v), key=lambda k: (-scores[host][k], k)), same)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in main_texts(pages).collect()} == want
+
+
 # warc
 
 
