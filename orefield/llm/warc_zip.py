@@ -16,6 +16,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, ship
 
 MIN_BYTES = 100
-#: Bytes of archive that one run of records has about.
-RUN_BYTES = 4_000_000
+#: Bytes of archive that one run of records has about, and that one reading task has at most (more only where one record is larger).
+RUN_BYTES, TASK_BYTES = 4_000_000, 64_000_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 FULL16, FULL32 = 0xFFFF, 0xFFFFFFFF
@@ -76,11 +77,15 @@ class ZipWriter:
         self.put(struct.pack("<4s4H2LH", END, FULL16, FULL16, FULL16, FULL16, FULL32, FULL32, 0))
 
 
-def page_urn(page: int | None) -> str:
-    return f"<urn:page:{'' if page is None else page}>"
+def page_urn(page: str | None) -> str:
+    return "<urn:nopage>" if page is None else f"<urn:page:{quote(page, safe='')}>"
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, original: int | None, revisit: bool) -> bytes:
+def page_of(urn: str) -> str | None:
+    return None if urn == page_urn(None) else unquote(urn[len("<urn:page:") : -1])
+
+
+def record(page: str | None, url: str | None, payload: bytes, digest: str, original: str | None, revisit: bool) -> bytes:
     """One WARC 1.1 record; a revisit has the HTTP head only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
@@ -114,7 +119,7 @@ def written(base: str):
                 for page, url, payload, digest, original in zip(*(c.to_pylist() for c in batch.columns)):
                     revisit = original is not None and original != page
                     data = gzipped(record(page, url, payload, digest, original, revisit))
-                    index.append(f"{z.now[3]}\t{len(data)}\t{'' if page is None else page}\n")
+                    index.append(f"{z.now[3]}\t{len(data)}\t{page_urn(page)}\n")
                     z.write(data)
                     n += 1
             z.end()
@@ -175,28 +180,30 @@ def members(f, size: int) -> dict[str, tuple[int, int]]:
     return found
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each archive, runs of records that lie together: archive, offset, length."""
-    for batch in batches:
-        for archive in batch.column(0).to_pylist():
-            fs, path = opened(archive)
-            with fs.open_input_file(path) as f:
-                found = members(f, f.size())
-                at, length = found[INDEX]
-                f.seek(at)
-                lines = f.read(length).decode().splitlines()
-            base, offsets, lengths, start, end = found[DATA][0], [], [], 0, 0
-            for line in lines:
-                offset, size = map(int, line.split("\t")[:2])
-                if offset - start >= RUN_BYTES:
-                    offsets.append(base + start)
-                    lengths.append(end - start)
-                    start = offset
-                end = offset + size
-            if end > start:
-                offsets.append(base + start)
-                lengths.append(end - start)
-            yield pa.record_batch({"archive": pa.array([archive] * len(offsets), pa.string()), "offset": pa.array(offsets, pa.int64()), "length": pa.array(lengths, pa.int64())})
+def runs(run_bytes: int):
+    """For each archive, runs of records that lie together: archive, offset, and the length of each record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive in batch.column(0).to_pylist():
+                fs, path = opened(archive)
+                with fs.open_input_file(path) as f:
+                    found = members(f, f.size())
+                    at, length = found[INDEX]
+                    f.seek(at)
+                    lines = f.read(length).decode().splitlines()
+                base, offsets, lengths, held = found[DATA][0], [], [], run_bytes
+                for line in lines:
+                    offset, size = map(int, line.split("\t")[:2])
+                    if held >= run_bytes:
+                        offsets.append(base + offset)
+                        lengths.append([])
+                        held = 0
+                    lengths[-1].append(size)
+                    held += size
+                yield pa.record_batch({"archive": pa.array([archive] * len(offsets), pa.string()), "offset": pa.array(offsets, pa.int64()), "lengths": pa.array(lengths, pa.list_(pa.int64()))})
+
+    return run
 
 
 def headers(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -209,38 +216,33 @@ def parsed(data: bytes) -> tuple:
     warc, block = headers(data)
     block = block[: int(warc["content-length"])]
     http, payload = headers(block)
-    page = warc["warc-record-id"][len("<urn:page:") : -1]
-    digest = warc["warc-payload-digest"].removeprefix("sha256:")
-    if warc["warc-type"] == "response":
-        if hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(http["content-length"]):
-            raise ValueError(f"record {page} doesn't have its digest or length")
-        return int(page) if page else None, warc["warc-target-uri"], len(payload), digest, "response", None, payload
-    refers = warc["warc-refers-to"][len("<urn:page:") : -1]
-    return int(page) if page else None, warc["warc-target-uri"], int(http["content-length"]), digest, "revisit", int(refers) if refers else None, None
+    page, url, digest = page_of(warc["warc-record-id"]), warc["warc-target-uri"], warc["warc-payload-digest"].removeprefix("sha256:")
+    if warc["warc-type"] == "revisit":
+        return page, url, int(http["content-length"]), digest, "revisit", page_of(warc["warc-refers-to"]), None
+    if hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(http["content-length"]):
+        raise ValueError(f"record {page} doesn't have its digest or length")
+    return page, url, len(payload), digest, "response", None, payload
 
 
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+RECORD = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 
 
 def records(payloads: bool):
     names = [x.split()[0] for x in RECORD.split(", ")][: 7 if payloads else 6]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+            for archive, offset, lengths in zip(*(c.to_pylist() for c in batch.columns)):
                 fs, path = opened(archive)
                 with fs.open_input_file(path) as f:
                     f.seek(offset)
-                    rest = f.read(length)
-                rows = []
-                while rest:
-                    z = zlib.decompressobj(31)
-                    data = z.decompress(rest)
-                    rest = z.unused_data
-                    rows.append(parsed(data)[: len(names)])
-                if rows:
-                    yield pa.record_batch({k: pa.array(v, t) for k, v, t in zip(names, zip(*rows), kinds)})
+                    data = memoryview(f.read(sum(lengths)))
+                rows, at = [], 0
+                for length in lengths:
+                    rows.append(parsed(zlib.decompress(data[at : at + length], 31))[: len(names)])
+                    at += length
+                yield pa.record_batch({k: pa.array(v, t) for k, v, t in zip(names, zip(*rows), kinds)})
 
     return run
 
@@ -249,28 +251,39 @@ def write_archives(pages: DataFrame, folder: str, *, url: str = "url", payload:
     """Write the pages and return archive (uri) and n. Only digests and ids are shuffled to find repeats, then rows by digest.
 
     Null payloads count as empty. Equal payloads under min_bytes are all responses; rows that repeat a page's id and
-    payload are all responses too. A null key is a record without a number.
+    payload are all responses too. A null key is a record without a number, and never the smallest unless all are null.
+    Any key type that can be cast to a string; other columns are ignored; an empty table may give empty archives.
     """
     ship(pages.sparkSession)
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), F.encode(body, "utf-8").alias("payload"), F.sha2(F.encode(body, "utf-8"), 256).alias("digest"))
+    rows = pages.select(F.col(key).alias("page"), F.col(url).cast("string").alias("url"), F.encode(body, "utf-8").alias("payload"), F.sha2(F.encode(body, "utf-8"), 256).alias("digest"))
     many = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page").alias("original"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("d"), "original")
     many = Scratch(pages.sparkSession, "warc").written(many, "repeats")
-    ready = rows.join(many, F.col("digest") == F.col("d"), "left").select("page", "url", "payload", "digest", "original")
+    ready = rows.join(many, F.col("digest") == F.col("d"), "left").select(F.col("page").cast("string"), "url", "payload", "digest", F.col("original").cast("string"))
     return ready.mapInArrow(written(folder), "archive string, n long")
 
 
-def read_archives(archives: DataFrame, *, payloads: bool = False) -> DataFrame:
-    """The records of the archives (column archive: uris). One archive's records are dealt over tasks by runs."""
-    ship(archives.sparkSession)
+def read_archives(archives: DataFrame, *, payloads: bool = False, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """The records of the archives (column archive: uris); page ids are strings.
+
+    The runs of all archives are written first, so that reading is dealt over tasks by the bytes that lie in the
+    archives: TASK_BYTES a task at most, and as many tasks as there are cores where there are as many runs.
+    """
+    spark = archives.sparkSession
+    ship(spark)
     schema = RECORD if payloads else RECORD.rsplit(",", 1)[0]
-    found = archives.select("archive").mapInArrow(runs, "archive string, offset long, length long")
-    return found.repartition("archive", "offset").mapInArrow(records(payloads), schema)
+    found = archives.select("archive").mapInArrow(runs(run_bytes), "archive string, offset long, lengths array<long>")
+    found = Scratch(spark, "runs").written(found, "runs")
+    size = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    n, total = found.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    tasks = max(1, -(-total // TASK_BYTES), min(n, 2 * spark.sparkContext.defaultParallelism))
+    return found.repartition(tasks).mapInArrow(records(payloads), schema)
 
 
-def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write archives into a new folder of the shared directory and read their records."""
+def round_trip(pages: DataFrame, *, key: str = "page_id", **options) -> DataFrame:
+    """Write archives into a new folder of the shared directory and read their records; ids have the type of the key."""
     spark: SparkSession = pages.sparkSession
     scratch = Scratch(spark, "archives")
-    archives = scratch.written(write_archives(pages, f"{scratch.base}/zip", **options), "list")
-    return read_archives(archives)
+    archives = scratch.written(write_archives(pages, f"{scratch.base}/zip", key=key, **options), "list")
+    kind = pages.schema[key].dataType
+    return read_archives(archives).withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})

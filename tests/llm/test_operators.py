@@ -594,13 +594,33 @@ def test_archives_round_trip(spark, tmp_path):
         assert (got[i].record_type, got[i].refers_to) == (("revisit", 0) if i == 8 else ("response", None))
     archives = write_archives(pages.withColumn("original", F.lit(1)), f"file://{tmp_path}/zip").cache()
     payloads = {r.page_id: r.payload for r in read_archives(archives, payloads=True).collect()}
-    assert all(bytes(payloads[i]) == (b or "").encode() for i, b in enumerate(body) if i != 8) and payloads[8] is None
+    assert all(bytes(payloads[str(i)]) == (b or "").encode() for i, b in enumerate(body) if i != 8) and payloads["8"] is None and None in payloads
     for r in archives.collect():  # a stock reader agrees
         with zipfile.ZipFile(urlparse(r.archive).path) as z:
             assert z.testzip() is None and {x.compress_type for x in z.infolist()} == {zipfile.ZIP_STORED}
     assert round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_of_many_runs_and_string_keys(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from orefield.llm import warc_zip
+
+    text = lambda i: "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(300 + i))
+    keys = [f"a>b\r\n {i}é/" for i in range(40)] + ["", None, "a>b\r\n 3é/"]
+    rows = [(k, None, text(i % 25)) for i, k in enumerate(keys)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").withColumn("digest", F.lit(1)).withColumn("page", F.lit(2)).repartition(3)
+    archives = warc_zip.write_archives(pages, f"file://{tmp_path}/zip").cache()
+    out = warc_zip.read_archives(archives, run_bytes=900)
+    assert sorted(map(str, out.collect())) == sorted(map(str, warc_zip.read_archives(archives).collect()))
+    least = {}
+    for k, _, t in rows:
+        least[t] = min(filter(lambda x: x is not None, (k, least.get(t))), default=None)
+    want = Counter((k, len(t), hashlib.sha256(t.encode()).hexdigest(), *(("response", None) if least[t] in (k, None) else ("revisit", least[t]))) for k, _, t in rows)
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out.collect()) == want
+    assert out.rdd.getNumPartitions() > 4
+
+
 # pipeline
 
 
