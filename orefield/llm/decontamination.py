@@ -7,31 +7,40 @@ A passage is 2 * PART words and starts every PART words, so a run of PART words
 All passages of a batch are first screened together against a safe bound (the impacts of their rarer terms, plus
 all that the commonest terms could add); block-max WAND (Ding and Suel, 2011) then finds, for each passage that is
 left, every part that scores THRESHOLD or more. Items found so are verified on the whole document: of the five-word
-shingles of the question, and of those that end in the answer, at least OVERLAP must be in the document.
+shingles of the question and of those that end in the answer, or of those of the whole item, at least OVERLAP must be
+in the document.
 
-The index is built in shards of bounded size; each is broadcast and meets all documents in one pass, without a shuffle.
+Items with the same text are indexed once. Document frequencies, the number of parts and their mean length are counted
+over all items; each shard of the index, of bounded size, is built with them in a task of its own and written to the
+shared folder, so that results don't depend on shards and nothing of the benchmark passes through the driver. The
+documents are read once, without a shuffle: a worker holds up to HELD shards, and reads others for each group of texts.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterator, Mapping
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ship
+from .common import WORD, Scratch, ship
 
 PART, BLOCK, THRESHOLD, OVERLAP, SHINGLE = 48, 32, 0.5, 0.8, 5
 K1, B = 1.2, 0.75
 #: Most items, and code points of items, in one shard of the index (about 10 bytes of index a code point).
 SHARD_ITEMS, SHARD_CHARS = 20_000, 8_000_000
+#: Shards that a worker keeps in memory.
+HELD = 4
 #: The end of a sentence or a line, after which an answer can begin.
 BREAK = re.compile(r"(?:[.!?]\s+|\n+)(?=\S)")
 
@@ -56,10 +65,20 @@ def shingles(words: list[str], size: int = SHINGLE) -> list[tuple[str, ...]]:
     return list(zip(*(words[i:] for i in range(size)))) if len(words) >= size else [tuple(words)] if words else []
 
 
+def parts_of(words: list[str]) -> list[list[str]]:
+    """The words in as few runs of PART words at most as can be, of even sizes."""
+    n = -(-len(words) // PART)
+    return [words[i * len(words) // n : (i + 1) * len(words) // n] for i in range(n)]
+
+
 class Index:
-    """Parts of items with block-max posting lists."""
+    """Parts of items with block-max posting lists.
+
+    df, n_parts and mean are the document frequencies, the number and the mean length of parts in all shards; where they
+    aren't given, the items are all there are.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, df: Mapping[str, int] | None = None, n_parts: int = 0, mean: float = 0.0):
         self.threshold = threshold
         self.ids, self.question, self.answer, part_item, parts = [], [], [], [], []
         for key, text in items:
@@ -71,19 +90,19 @@ class Index:
             first = max(0, len(q) - SHINGLE + 1)
             self.question.append(set(grams[:first]) or set(grams))
             self.answer.append(set(grams[first:]))
-            n = -(-len(words) // PART)
-            for i in range(n):  # of even sizes
-                part_item.append(len(self.ids))
-                parts.append(Counter(words[i * len(words) // n : (i + 1) * len(words) // n]))
+            of_item = list(map(Counter, parts_of(words)))
+            part_item += [len(self.ids)] * len(of_item)
+            parts += of_item
             self.ids.append(key)
         self.part_item = part_item
-        df = Counter(t for p in parts for t in p)
-        mean = sum(sum(p.values()) for p in parts) / max(1, len(parts))
-        self.vocabulary = {t: k for k, (t, _) in enumerate(sorted(df.items(), key=lambda x: (x[1], x[0])))}  # rarest first
-        lists: list[list[tuple[int, float]]] = [[] for _ in df]
+        here = Counter(t for p in parts for t in p)
+        if df is None:
+            df, n_parts, mean = here, len(parts), sum(sum(p.values()) for p in parts) / max(1, len(parts))
+        self.vocabulary = {t: k for k, (t, _) in enumerate(sorted(here.items(), key=lambda x: (x[1], x[0])))}  # rarest first
+        lists: list[list[tuple[int, float]]] = [[] for _ in here]
         for p, part in enumerate(parts):
             size = sum(part.values())
-            w = {t: math.log(1 + (len(parts) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for t, n in part.items()}
+            w = {t: math.log(1 + (n_parts - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for t, n in part.items()}
             total = sum(w.values())
             for t, x in w.items():
                 lists[self.vocabulary[t]].append((p, x / total))
@@ -92,7 +111,7 @@ class Index:
         self.block_max = [np.maximum.reduceat(u, np.arange(0, len(u), BLOCK)) for u in self.impacts]
         self.most = np.array([u.max() for u in self.impacts])
         # the commonest terms (in over a twentieth of the parts, and in more than eight) are only bounded in the screen, as long as they leave it most of every part's score
-        self.n_rare = sum(n <= max(8, len(parts) // 20) for n in df.values())
+        self.n_rare = sum(n <= max(8, len(parts) // 20) for n in here.values())
         self.common_rest = np.zeros(len(parts))
         for k in range(len(lists) - 1, self.n_rare - 1, -1):
             self.common_rest[self.parts[k]] += self.impacts[k]
@@ -169,9 +188,12 @@ class Index:
             cursors = moved + cursors[pivot + 1 :]
         return found
 
-    def verified(self, item: int, grams: set) -> tuple[float, float]:
+    def verified(self, item: int, grams: set) -> tuple[float, float, bool]:
+        """Overlap of the question and of the answer, and whether these or the whole item's are enough."""
         q, a = self.question[item], self.answer[item]
-        return len(q & grams) / len(q), len(a & grams) / len(a) if a else 1.0
+        in_q, in_a = len(q & grams), len(a & grams)
+        of_q, of_a = in_q / len(q), in_a / len(a) if a else 1.0
+        return of_q, of_a, min(of_q, of_a) >= OVERLAP or len((q | a) & grams) >= OVERLAP * len(q | a)
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, float, float, float]]:
         """(row, item id, best score, question overlap, answer overlap) of what is verified."""
@@ -201,8 +223,8 @@ class Index:
             if best:
                 grams = {g for n in {SHINGLE, *(len(next(iter(self.question[i]))) for i in best)} for g in shingles(words, n)}
                 for item, score in sorted(best.items()):
-                    q, a = self.verified(item, grams)
-                    if q >= OVERLAP and a >= OVERLAP:
+                    q, a, enough = self.verified(item, grams)
+                    if enough:
                         yield row, self.ids[item], score, q, a
 
 
@@ -210,9 +232,49 @@ class Index:
 TOGETHER = 2_000_000
 
 
-def found(handle):
+def item_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part of each item its shard, its length and its distinct terms."""
+    for batch in batches:
+        rows = [(shard, len(part), sorted(set(part))) for shard, text in zip(*(c.to_pylist() for c in batch.columns)) for part in parts_of([w for half in question_and_answer(text) for w in half])]
+        shard, size, terms = zip(*rows) if rows else ((), (), ())
+        yield pa.record_batch({"shard": pa.array(shard, pa.int32()), "size": pa.array(size, pa.int32()), "terms": pa.array(terms, pa.list_(pa.string()))})
+
+
+def shard_built(base: str, threshold: float, n_parts: int, mean: float):
+    """Write the index of a shard, from its items and the frequencies of their terms; a second attempt renames over the first."""
+
+    def run(key: tuple, items: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
+        df = dict(zip(terms["term"], terms["df"].astype(int)))
+        index = Index(sorted(zip(items["at"].astype(int), items["x"])), threshold, df, n_parts, mean)
+        fs, folder = pafs.FileSystem.from_uri(base)
+        fs.create_dir(folder, recursive=True)
+        hidden, name = f"{folder}/_{uuid.uuid4().hex}.tmp", f"shard-{key[0]:06d}.pickle"
+        with fs.open_output_stream(hidden) as out:
+            out.write(pickle.dumps(index))
+        fs.move(hidden, f"{folder}/{name}")
+        return pd.DataFrame({"path": [f"{base}/{name}"]})
+
+    return run
+
+
+_held: dict[str, Index] = {}
+
+
+def loaded(path: str) -> Index:
+    index = _held.pop(path, None)
+    if index is None:
+        fs, name = pafs.FileSystem.from_uri(path)
+        with fs.open_input_stream(name) as f:
+            index = pickle.loads(f.read())
+        while len(_held) >= HELD:
+            _held.pop(next(iter(_held)))
+    _held[path] = index
+    return index
+
+
+def found(paths: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = handle.value
+        backwards = False
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             at = 0
@@ -222,36 +284,54 @@ def found(handle):
                     group.append(texts[at].as_py())
                     chars += len(group[-1])
                     at += 1
-                out = list(index.matches(group))
-                if out:
-                    row, item, score, q, a = zip(*out)
-                    yield pa.record_batch({
-                        "id": ids.take(pa.array([start + r for r in row], pa.int64())),
-                        "item_id": pa.array(item, pa.int64()), "score": pa.array(score, pa.float64()),
-                        "question_overlap": pa.array(q, pa.float64()), "answer_overlap": pa.array(a, pa.float64()),
-                    })
+                # to and fro, so the shards in memory come first
+                for path in reversed(paths) if backwards else paths:
+                    out = list(loaded(path).matches(group))
+                    if out:
+                        row, item, score, q, a = zip(*out)
+                        yield pa.record_batch({
+                            "id": ids.take(pa.array([start + r for r in row], pa.int64())),
+                            "at": pa.array(item, pa.int64()), "score": pa.array(score, pa.float64()),
+                            "question_overlap": pa.array(q, pa.float64()), "answer_overlap": pa.array(a, pa.float64()),
+                        })
+                backwards = not backwards
 
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(
+    docs: DataFrame, items: DataFrame, *, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text",
+    threshold: float = THRESHOLD, shard_items: int = SHARD_ITEMS, shard_chars: int = SHARD_CHARS,
+) -> DataFrame:
     """One row per document and item that it holds: key, item_id, score, question_overlap, answer_overlap.
 
     Words are runs of letters, digits and underscores, lower-cased. Null and empty texts hold nothing; items without
-    words are in nothing; items of under five words count as one shingle. Rows that repeat give repeated rows; an
-    empty table on either side gives none.
+    words are in nothing; items of under five words count as one shingle. Rows that repeat, on either side, give
+    repeated rows; an empty table on either side gives none. Keys have any type and may be null; other columns are
+    ignored.
     """
     spark = docs.sparkSession
     ship(spark)
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
-    wanted = items.select(F.col(item_key).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("x"))
+    scratch = Scratch(spark, "decontamination")
+    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    result = f"{key} {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"
+    given = items.select(F.col(item_key).alias("i"), F.col(item_text).alias("x")).filter("x is not null").withColumn("at", F.xxhash64("x"))
+    # texts with the same hash are one item, which needs the same text but for one pair in 2 ** 64
+    wanted = given.groupBy("at").agg(F.min("x").alias("x"))
+    wanted = scratch.written(wanted, "items")
     n, chars = wanted.agg(F.count("*"), F.coalesce(F.sum(F.length("x")), F.lit(0))).first()
-    shards = max(1, -(-n // SHARD_ITEMS), -(-chars // SHARD_CHARS))
-    out = []
-    for s in range(shards):
-        # at most about SHARD_ITEMS rows come to the driver at a time
-        part = [tuple(r) for r in wanted.filter(F.pmod(F.xxhash64("i", "x"), F.lit(shards)) == s).collect()]
-        handle = spark.sparkContext.broadcast(Index(sorted(part, key=str), threshold))
-        out.append(rows.mapInArrow(found(handle), f"id {kind}, item_id long, score double, question_overlap double, answer_overlap double"))
-    return reduce(DataFrame.unionByName, out).withColumnRenamed("id", key)
+    shards = max(1, -(-n // shard_items), -(-chars // shard_chars))
+    wanted = wanted.withColumn("shard", F.pmod("at", F.lit(shards)).cast("int"))
+    parts = scratch.written(wanted.select("shard", "x").mapInArrow(item_parts, "shard int, size int, terms array<string>"), "parts")
+    n_parts, mean = parts.agg(F.count("*"), F.avg("size")).first()
+    if not n_parts:
+        return spark.createDataFrame([], result)
+    of_shard = parts.select("shard", F.explode("terms").alias("term")).groupBy("shard", "term").agg(F.count("*").alias("n"))
+    of_shard = scratch.written(of_shard, "terms")
+    df = of_shard.groupBy("term").agg(F.sum("n").alias("df"))
+    terms = of_shard.select("shard", "term").join(df, "term")
+    built = wanted.groupBy("shard").cogroup(terms.groupBy("shard")).applyInPandas(shard_built(f"{scratch.base}/index", threshold, n_parts, mean), "path string")
+    paths = sorted(r["path"] for r in scratch.written(built, "shards").collect())
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null")
+    hits = rows.mapInArrow(found(paths), f"id {kind}, at long, score double, question_overlap double, answer_overlap double")
+    return hits.join(given.select("at", "i"), "at").select(F.col("id").alias(key), F.col("i").alias("item_id"), "score", "question_overlap", "answer_overlap")

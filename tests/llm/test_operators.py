@@ -383,6 +383,74 @@ def test_contaminated(spark):
     assert contaminated(table(spark, rows(texts)), items.limit(0)).count() == 0
 
 
+def plain_contaminated(docs, items):
+    """Every passage of every document against every part of every item by BM25 (items with the same text are one), then the overlaps."""
+    import math
+
+    from orefield.llm.decontamination import B, K1, OVERLAP, PART, THRESHOLD, parts_of, question_and_answer, shingles, tokens
+
+    keys = defaultdict(list)
+    for k, x in items:
+        keys[x or ""].append(k)
+    parts = [(x, Counter(p)) for x in keys for p in parts_of(sum(question_and_answer(x), []))]
+    df = Counter(t for _, p in parts for t in p)
+    mean = sum(sum(p.values()) for _, p in parts) / len(parts)
+
+    def weights(p):
+        size = sum(p.values())
+        w = {t: math.log(1 + (len(parts) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean)) for t, n in p.items()}
+        return {t: x / sum(w.values()) for t, x in w.items()}
+
+    impacts = [(k, weights(p)) for k, p in parts]
+    out = []
+    for i, text in docs:
+        words = tokens(text or "")
+        best = {}
+        for at in range(0, len(words), PART):
+            passage = set(words[at : at + 2 * PART])
+            for k, w in impacts:
+                score = sum(x for t, x in w.items() if t in passage)
+                if score >= THRESHOLD - 1e-9:
+                    best[k] = max(score, best.get(k, 0))
+        for k, score in best.items():
+            q, a = question_and_answer(k)
+            grams, first = shingles(q + a), max(0, len(q) - 4)
+            of_q, of_a, held = set(grams[:first]) or set(grams), set(grams[first:]), set(shingles(words, len(grams[0])))
+            share = lambda x: len(x & held) / len(x) if x else 1.0
+            if share(of_q) >= OVERLAP and share(of_a) >= OVERLAP or share(of_q | of_a) >= OVERLAP:
+                out += [(i, key, round(score, 9), round(share(of_q), 9), round(share(of_a), 9)) for key in keys[k]]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("shard_items", [1000, 7])
+def test_contaminated_is_what_brute_force_finds(spark, shard_items):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from orefield.llm.decontamination import contaminated
+
+    rng = random.Random(8)
+    vocabulary = [f"w{int(rng.paretovariate(0.8)) % 400}" for _ in range(3000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(f"i{k}", " ".join(words(rng.randint(3, 130))) + rng.choice([".", ". The end " + " ".join(words(4)), ""])) for k in range(60)]
+    items += [("copy", items[5][1]), ("i5", items[5][1]), (None, items[6][1]), ("n", None), ("e", ""), ("e2", "...")]
+    docs = []
+    for i in range(120):
+        text = words(rng.randint(0, 300))
+        source = items[rng.randrange(60)][1].split()
+        share = rng.choice([0, 0.5, 0.85, 0.95, 1])
+        kept = [w if rng.random() < 0.97 + 0.03 * (share == 1) else "changed" for w in source[: int(len(source) * share)]]
+        docs.append((f"d{i % 110}", " ".join(text[:20] + kept + text[20:])))
+    docs += [(None, items[7][1]), ("null", None), ("empty", ""), ("long", " ".join(words(30_000) + items[8][1].split() + words(3000)))]
+    made = spark.createDataFrame(docs, "doc_id string, text string").withColumns({c: F.lit(c) for c in ("id", "at", "i", "x", "item_id")})
+    bench = spark.createDataFrame(items, "item_id string, text string").withColumns({c: F.lit(c) for c in ("at", "i", "x", "shard")})
+    got = contaminated(made, bench, shard_items=shard_items).collect()
+    want = plain_contaminated(docs, items)
+    assert Counter((r.doc_id, r.item_id, round(r.score, 9), round(r.question_overlap, 9), round(r.answer_overlap, 9)) for r in got) == want
+    assert len(want) > 40 and {"copy", None} <= {k[1] for k in want}
+
+
 # url filter
 
 
