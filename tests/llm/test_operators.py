@@ -442,7 +442,7 @@ def test_contaminated_is_what_brute_force_finds(spark, shard_items):
         share = rng.choice([0, 0.5, 0.85, 0.95, 1])
         kept = [w if rng.random() < 0.97 + 0.03 * (share == 1) else "changed" for w in source[: int(len(source) * share)]]
         docs.append((f"d{i % 110}", " ".join(text[:20] + kept + text[20:])))
-    docs += [(None, items[7][1]), ("null", None), ("empty", ""), ("long", " ".join(words(30_000) + items[8][1].split() + words(3000)))]
+    docs += [(None, items[7][1]), ("five", items[5][1]), ("null", None), ("empty", ""), ("long", " ".join(words(30_000) + items[8][1].split() + words(3000)))]
     made = spark.createDataFrame(docs, "doc_id string, text string").withColumns({c: F.lit(c) for c in ("id", "at", "i", "x", "item_id")})
     bench = spark.createDataFrame(items, "item_id string, text string").withColumns({c: F.lit(c) for c in ("at", "i", "x", "shard")})
     got = contaminated(made, bench, shard_items=shard_items).collect()
