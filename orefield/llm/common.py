@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The white space that the contracts name: blank and \t \n \x0b \x0c \r.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -25,12 +26,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a new one on this machine where that is unset and the master local (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         base = sc.getCheckpointDir()
     if base is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='orefield-')}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
@@ -60,6 +63,25 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores where df has a column of that name already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def positions(df: DataFrame, order: Column, scratch: Scratch, name: str = "position") -> DataFrame:
+    """df with the 0-based position of each row in that order, without bringing all rows into one task."""
+    part = fresh(df, "part")
+    dealt = scratch.written(df.repartitionByRange(order).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(part).agg(F.count("*").alias("n"))  # a row for each task
+    offset, of = fresh(dealt, "offset"), fresh(dealt, "of")
+    before = counts.select(F.col(part).alias(of), (F.sum("n").over(Window.orderBy(part)) - F.col("n")).alias(offset))
+    here = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
+    return dealt.withColumn(name, here).join(F.broadcast(before), F.col(part) == F.col(of)).withColumn(name, F.col(name) + F.col(offset)).drop(part, of, offset)
+
+
 def count_words(text: Column) -> Column:
     r"""Number of [^\x20\x09-\x0D]+ in the text; null has none."""
     flat = F.translate(F.coalesce(text, F.lit("")), BLANKS[1:], " " * 5)

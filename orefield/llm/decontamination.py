@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, ship
+from .common import WORD, Scratch, fresh, ship
 
 PART, BLOCK, THRESHOLD, OVERLAP, SHINGLE = 48, 32, 0.5, 0.8, 5
 K1, B = 1.2, 0.75
@@ -335,3 +335,12 @@ def contaminated(
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null")
     hits = rows.mapInArrow(found(paths), f"id {kind}, at long, score double, question_overlap double, answer_overlap double")
     return hits.join(given.select("at", "i"), "at").select(F.col("id").alias(key), F.col("i").alias("item_id"), "score", "question_overlap", "answer_overlap")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns; rows get a number of their own, so keys may be null or repeat."""
+    scratch = Scratch(docs.sparkSession, "without-contaminated")
+    row = fresh(docs, "row")
+    rows = scratch.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = scratch.written(contaminated(rows, items, key=row, **options).select(row).distinct(), "found")
+    return rows.join(found, row, "left_anti").select(docs.columns)

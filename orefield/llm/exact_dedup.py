@@ -2,8 +2,8 @@ r"""Exact duplicates by a heavy-hitter split.
 
 A Misra-Gries summary of every partition, merged, finds the digests that many rows share. Their winners are
 verified by an exact count and broadcast, so the copies of a hot text are settled where they lie, without a
-shuffle. The summary's size bounds the broadcast. All other digests are too rare to make a skewed group and go
-through an ordinary shuffle.
+shuffle. The summary's size bounds the broadcast. All other digests go through an ordinary shuffle: an aggregate, which
+combines before it, and a join of its winners.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Scratch, ship
 
@@ -80,10 +79,9 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sum
         "winners",
     )
     hot = rows.join(F.broadcast(winners), "digest")
-    same = Window.partitionBy("digest")
-    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "digest", "id", "at", F.min(rank).over(same).alias("best"), F.count("*").over(same).alias("group_size")
-    )
+    rare = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    first = rare.groupBy("digest").agg(F.min(rank).alias("best"), F.count("*").alias("group_size"))
+    rest = rare.join(first, "digest").select("digest", "id", "at", "best", "group_size")
     return hot.select(rest.columns).unionByName(rest).select(
         F.col("id").alias(key),
         F.col("best.id").alias("keep_id"),
@@ -91,10 +89,3 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", sum
         (F.col("best.at") == F.col("at")).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
-
-
-def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that exact_dedup doesn't keep; keys must be unique and not null."""
-    key = options.get("key", "doc_id")
-    gone = exact_dedup(docs, **options).filter(~F.col("kept")).select(key)
-    return docs.join(gone, key, "left_anti")

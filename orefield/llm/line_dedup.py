@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, strip_blanks
+from .common import Scratch, ascii_lower, fresh, strip_blanks
 
 N_BATCHES, FAN_IN = 4, 2
 HASH = ["h1", "h2"]
@@ -99,23 +99,36 @@ def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_
     A line's key is the line without blanks at its ends, A-Z lower-cased. Lines whose key has min_chars code points
     or more and is found in min_docs rows or more go, except in the rows with the largest id that holds it. A null
     or empty text is one empty line. Each row counts as a document; a null id is smaller than any other. Two
-    different keys with the same 128-bit hash count as one. Other columns stay; an empty table stays empty. In a row
-    with d dropped keys the filter compares each line with d hashes, so time grows with lines times d.
+    different keys with the same 128-bit hash count as one. Other columns stay, but for those called kept_lines or
+    n_lines; an empty table stays empty; rows that repeat are documents of their own. Rows with one id (null included)
+    lose the same lines, and their dropped hashes are one set. In a row with d dropped keys the filter compares each
+    line with d hashes, so time grows with lines times d.
     """
+    drop_id, dropped = fresh(docs, "drop_id"), fresh(docs, "dropped")
     holds, frequent = repeated_lines(docs, text=text, key=key, min_chars=min_chars, min_docs=min_docs, n_batches=n_batches)
     drops = (
         holds.join(frequent, HASH)
         .filter(~F.col("id").eqNullSafe(F.col("holder")))
-        .groupBy(F.col("id").alias("_drop_id"))
-        .agg(F.collect_set(F.struct(*HASH)).alias("_drops"))
+        .groupBy(F.col("id").alias(drop_id))
+        .agg(F.collect_set(F.struct(*HASH)).alias(dropped))
     )
-    joined = docs.join(drops, docs[key].eqNullSafe(drops["_drop_id"]), "left")
+    joined = docs.join(drops, F.col(key).eqNullSafe(F.col(drop_id)), "left")
     lines = lines_of(F.col(text))
 
     def stays(line: Column) -> Column:
         k = line_key(line)
         h1, h2 = hashed(k)
-        return (F.length(k) < min_chars) | ~F.array_contains(F.col("_drops"), F.struct(h1.alias("h1"), h2.alias("h2")))
+        return (F.length(k) < min_chars) | ~F.array_contains(F.col(dropped), F.struct(h1.alias("h1"), h2.alias("h2")))
 
-    kept = F.when(F.col("_drops").isNull(), lines).otherwise(F.filter(lines, stays))
-    return joined.select(*[docs[c] for c in docs.columns], kept.alias("kept_lines"), F.size(lines).cast("long").alias("n_lines"))
+    kept = F.when(F.col(dropped).isNull(), lines).otherwise(F.filter(lines, stays))
+    return joined.select(*[c for c in docs.columns if c.lower() not in ("kept_lines", "n_lines")], kept.alias("kept_lines"), F.size(lines).cast("long").alias("n_lines"))
+
+
+def without_repeated_lines(docs: DataFrame, *, text: str = "text", **options) -> tuple[DataFrame, Column]:
+    """docs without their repeated lines, each row with its columns, and whether the row has lost lines; see line_dedup."""
+    clash = {c: fresh(docs, f"{c}_given") for c in docs.columns if c.lower() in ("kept_lines", "n_lines")}
+    out = line_dedup(docs.withColumnsRenamed(clash), text=text, **options)
+    lines, lost = fresh(out, "lines_left"), fresh(out, "lost_lines")
+    out = out.withColumn(lost, F.size("kept_lines") < F.col("n_lines")).withColumnRenamed("kept_lines", lines).drop("n_lines")
+    out = out.withColumnsRenamed({v: k for k, v in clash.items()})
+    return out.withColumn(text, F.when(F.col(lost), F.array_join(lines, "\n")).otherwise(F.col(text))), F.col(lost)

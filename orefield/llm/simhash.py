@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, words_of
+from .common import Scratch, fresh, ship, words_of
 from .components import components
 
 RADIUS, BLOCK, SEED = 3, 512, 42
@@ -57,7 +57,7 @@ def fingerprints(size: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.binary() if pa.types.is_string(batch.column(1).type) else pa.large_binary())
             fps = np.fromiter((fingerprint(words_of(t.as_py() or b""), size) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.record_batch({"id": batch.column(0).cast(pa.int64()), "fp": pa.array(fps.view(np.int64))})
+            yield pa.record_batch({"id": batch.column(0), "fp": pa.array(fps.view(np.int64))})
 
     return run
 
@@ -190,14 +190,15 @@ def simhash_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     """One row per row of docs: key, fp (long), component_id (smallest key reachable over links, itself included).
 
     Texts are whole and A-Z lower-cased; fewer words than a shingle count as one shingle; null, empty and blank texts
-    have fingerprint 0 and link like any other. A null key is never the smallest unless all are null. Repeated rows
-    stay; an empty table gives no rows.
+    have fingerprint 0 and link like any other. Keys have any type and may repeat; a null key is never the smallest
+    unless all are null. Repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "simhash")
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    prints = scratch.written(rows.mapInArrow(fingerprints(shingle), "id long, fp long"), "prints")
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    prints = scratch.written(rows.mapInArrow(fingerprints(shingle), f"id {kind}, fp long"), "prints")
     classes = scratch.written(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     # nodes are fingerprints; a component is named by the smallest id of its classes
     nodes = classes.select(F.col("fp").alias("id"), F.array("fp").alias("fps"))
@@ -290,8 +291,11 @@ def near_prints(size: int):
 def shingle_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(words_of((t.as_py() or "").encode()), size).tobytes() for t in batch.column(1)]
-            yield pa.record_batch({"id": batch.column(0), "shingles": pa.array(sets, pa.binary())})
+            words = [words_of((t.as_py() or "").encode()) for t in batch.column(0)]
+            yield pa.record_batch({
+                "digest": pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
+                "shingles": pa.array([shingle_hashes(w, size).tobytes() for w in words], pa.binary()),
+            })
 
     return run
 
@@ -311,36 +315,63 @@ def alike(similarity: float):
     return run
 
 
-def verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, *, shingle: int, similarity: float) -> DataFrame:
-    """The pairs a, b whose texts (rows: id, text) have that Jaccard similarity of their whole shingle sets."""
-    asked = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
-    found = rows.join(asked, "id", "left_semi").mapInArrow(shingle_sets(shingle), "id long, shingles binary")
-    sets = scratch.written(found.dropDuplicates(["id"]), "sets")
-    of = [sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab"]
+def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, scratch: Scratch, *, shingle: int, similarity: float) -> DataFrame:
+    """The pairs a, b of classes (digest, least, node) whose texts (rows: id, text) have that Jaccard similarity of their whole shingle sets."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
+    asked = scratch.written(asked, "asked")
+    # of rows with the smallest key of a class, those with its words
+    found = rows.join(asked, F.col("id").eqNullSafe(F.col("least")), "left_semi").select("text").mapInArrow(shingle_sets(shingle), "digest binary, shingles binary")
+    sets = scratch.written(found.join(asked.select("digest", "node"), "digest").dropDuplicates(["node"]), "sets")
+    of = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab"]
     return pairs.join(of[0], "a").join(of[1], "b").mapInArrow(alike(similarity), "a long, b long")
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """key and component_id (the smallest key of its group) of each row of docs whose key isn't null.
+    """key and component_id (the smallest key of its group) of each row of docs.
 
     Rows with the same words are one class. Classes meet if they share a band of min-hashes of their shingles or if one
     of their PRINTS fingerprints of distinct words is within the radius, and link if the Jaccard similarity of their
     shingle sets is so high: by sketch where that is clear, else by the whole sets. Groups are connected components.
+    Null, empty and blank texts are one class. Keys have any type and may repeat; a null key is never the smallest unless
+    all are null. Repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "near-copies")
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    prints = scratch.written(rows.mapInArrow(near_prints(shingle), "id long, digest binary, fps array<long>, sketch binary, bands array<long>"), "prints")
-    least = scratch.written(prints.groupBy("digest").agg(F.min("id").alias("least")), "classes")
-    nodes = scratch.written(prints.join(least.select(F.col("least").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "fps", "sketch", "bands"), "nodes")
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
+    made = rows.mapInArrow(near_prints(shingle), f"id {kind}, digest binary, fps array<long>, sketch binary, bands array<long>")
+    prints = scratch.written(made.withColumn("node", F.monotonically_increasing_id()), "prints")
+    classes = scratch.written(prints.groupBy("digest").agg(F.min("id").alias("least"), F.min("node").alias("node")), "classes")
+    nodes = scratch.written(prints.join(classes.select("node"), "node", "left_semi").select(F.col("node").alias("id"), "fps", "sketch", "bands"), "nodes")
     met = scratch.written(near_links(nodes, scratch, radius=radius, block=block, similarity=similarity), "met")
     roots = components(met.filter("sure").select("a", "b"), scratch)
     # pairs that the sketch leaves open count only between groups that aren't one already
     of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}")) for c in "ab"]
     pairs = met.filter("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(of[0], "a", "left").join(of[1], "b", "left")
     pairs = scratch.written(pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "unsure")
-    links = verified(pairs, rows, scratch, shingle=shingle, similarity=similarity)
+    links = verified(pairs, rows, classes, scratch, shingle=shingle, similarity=similarity)
     roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
-    named = scratch.written(least.join(roots, least["least"] == roots["node"], "left").select("digest", F.coalesce("root", "least").alias("component_id")), "named")
+    rooted = scratch.written(classes.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = scratch.written(rooted.join(named, "root").select("digest", "component_id"), "named")
+    scratch.drop(nodes)
+    scratch.drop(met)
     return prints.select("id", "digest").join(named, "digest").select(F.col("id").alias(key), "component_id")
+
+
+def without_near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """docs with one row of each group of near copies: that with the smallest key, a null key last; of rows with one key, one.
+
+    Rows get a number of their own, so rows that repeat, or whose key does, are judged one by one. All columns stay.
+    """
+    scratch = Scratch(docs.sparkSession, "without-near-copies")
+    row = fresh(docs, "row")
+    rows = scratch.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = near_copies(rows, text=text, key=row, **options).withColumnRenamed(row, "of")
+    many = scratch.written(groups.join(groups.filter(F.col("of") != F.col("component_id")).select("component_id").distinct(), "component_id"), "groups")
+    keyed = many.join(rows.select(F.col(row).alias("of"), F.col(key).alias("key")), "of")
+    order = F.struct(F.col("key").isNull(), "key", "of")
+    stays = keyed.groupBy("component_id").agg(F.min_by("of", order).alias("of")).select("of")
+    gone = scratch.written(many.select(F.col("of").alias(row)).join(stays.withColumnRenamed("of", row), row, "left_anti"), "gone")
+    return rows.join(gone, row, "left_anti").select(docs.columns)

@@ -45,6 +45,19 @@ def test_exact_dedup_keeps_the_smallest(spark):
         assert [r.doc_id for r in mine if r.kept] == [min(ids)]
 
 
+def test_exact_dedup_of_many_groups_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    from orefield.llm.exact_dedup import exact_dedup
+
+    data = [(f"d{i % 90}", f"text {i % 40}", "en", "s", 1) for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id string, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in ("id", "digest", "at", "best", "kept", "group_size")})
+    least = {t: min(r[0] for r in data if r[1] == t) for _, t, *_ in data}
+    got = exact_dedup(docs, summary_size=3).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter((i, least[t], 10) for i, t, *_ in data)
+    assert sum(r.kept for r in got) == 40 and all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
 def test_exact_dedup_null_key_and_empty_table(spark):
     from orefield.llm.exact_dedup import exact_dedup
 
@@ -98,6 +111,21 @@ def test_line_dedup(spark, batches):
     assert line_dedup(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_repeated_rows_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    from orefield.llm.line_dedup import line_dedup
+
+    hot = "a line that is long enough to be looked at here"
+    data = [(None, f"{hot}\nx", "en", "s", 1)] * 3 + [(4, hot, None, None, None)] * 2 + [(2, f"y\n{hot}", "en", "s", 1)]
+    docs = table(spark, data).withColumns({c: F.lit(c) for c in ("n_lines", "_drops", "_drop_id", "drop_id", "dropped", "id", "line", "batch")})
+    got = line_dedup(docs)
+    assert got.columns == [c for c in docs.columns if c != "n_lines"] + ["kept_lines", "n_lines"]
+    assert Counter((r.doc_id, *r.kept_lines) for r in got.collect()) == Counter({(None, "x"): 3, (4, hot): 2, (2, "y"): 1})
+    nulls = table(spark, [(None, hot, "en", "s", 1)] * 6)
+    assert {tuple(r.kept_lines) for r in line_dedup(nulls).collect()} == {(hot,)}
+
+
 # mixing
 
 
@@ -147,6 +175,26 @@ def test_mix(spark):
     assert mix(docs.limit(0)).count() == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    from orefield.llm.mixing import mix, repeated
+
+    data = [(1, "a b c", "en", "s", 5)] * 2 + [(None, "a b", None, "s", 4)] * 3 + [(2, "w " * 50_000, "en", None, 9), (3, "", "en", "s", 0), (4, None, "en", "s", None)]
+    docs = table(spark, data).withColumns({c: F.lit(c) for c in ("id", "size", "target", "s", "h", "repeats", "copy", "src", "position")})
+    by_row = [(r.doc_id, r.size, r.source, r.taken) for r in mix(docs).collect()]
+    assert Counter(x[:3] for x in by_row) == Counter({(1, 3, "s"): 2, (None, 2, "s"): 3, (2, 50_000, None): 1, (3, 0, "s"): 1, (4, 0, "s"): 1})
+    out = repeated(docs)
+    assert out.columns == [*docs.columns, "copy_"]
+    took = Counter((r.doc_id, len(words(r.text)), r.source) for r in out.collect())
+    want = Counter()
+    for i, n, s, taken in by_row:
+        want[i, n, s] += taken // n if n else took[i, n, s]
+    assert took == want and {r.copy for r in out.collect()} == {"copy"}
+    assert sum(n * k[1] for k, n in took.items() if k[2] == "s") == 24  # twice its 12 words
+    assert repeated(docs.limit(0)).count() == 0
+
+
 # simhash
 
 
@@ -235,6 +283,27 @@ def test_near_copies_with_a_passage_more(spark):
     assert got == {i: i - i % 2 if i < 40 else i for i in range(60)}
 
 
+def test_near_copies_of_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    from orefield.llm.simhash import near_copies, simhash_components, without_near_copies
+
+    w = [[f"w{k}x{j}" for j in range(150)] for k in range(4)]
+    base = [" ".join(x) for x in w]
+    near = [" ".join(x[:75] + ["new"] + x[76:]) for x in w]
+    data = [("b", base[0]), ("a", near[0]), ("a", base[1]), ("a", base[1]), (None, base[2]), (None, near[2]), ("c", base[0]), (None, near[3]), ("d", base[3]), ("e", ""), ("f", None), (None, " ")]
+    docs = spark.createDataFrame(data, "doc_id string, text string").withColumns({c: F.lit(c) for c in ("id", "row", "fp", "digest", "component_id", "node")})
+    got = Counter((r.doc_id, r.component_id) for r in near_copies(docs).collect())
+    assert got == Counter([("b", "a"), ("a", "a"), ("a", "a"), ("a", "a"), (None, None), (None, None), ("c", "a"), (None, "d"), ("d", "d"), ("e", "e"), ("f", "e"), (None, "e")])
+    kept = without_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()) - Counter([(None, base[2]), (None, near[2])]) == Counter([("a", near[0]), ("a", base[1]), ("d", base[3]), ("e", "")])
+    assert kept.count() == 5
+    assert near_copies(docs.limit(0)).count() == without_near_copies(docs.limit(0)).count() == 0
+    prints = {(r.doc_id, r.component_id) for r in simhash_components(docs.filter("text is null or text = '' or text = ' '")).collect()}
+    assert prints == {("e", "e"), ("f", "e"), (None, "e")}
+
+
 # tokens
 
 
@@ -689,9 +758,80 @@ def test_archives_of_many_runs_and_string_keys(spark, tmp_path):
     assert out.rdd.getNumPartitions() > 4
 
 
+def test_positions(spark):
+    from pyspark.sql import functions as F
+
+    from orefield.llm.common import Scratch, positions
+
+    data = [(x, i) for i, x in enumerate([None, "é", "b", "a", "B", "", "z"] * 1 + [f"k{i:03d}" for i in range(300)])]
+    got = positions(spark.createDataFrame(data, "src string, part int").repartition(7), F.col("src").asc_nulls_last(), Scratch(spark, "t"))
+    order = sorted((x for x, _ in data if x is not None), key=lambda x: x.encode()) + [None]
+    assert got.columns == ["src", "part", "position"] and [r.src for r in sorted(got.collect(), key=lambda r: r.position)] == order
+
+
 # pipeline
 
 
+STAGE_ROWS = [
+    (1, "alpha beta " * 30, "en", "s", 5), (1, "alpha beta " * 30, "en", "s", 5), (None, None, None, None, None), (None, None, None, None, None), (3, "", "", "", 0),
+    (None, "a text of its own without a number", "en", None, 7), (5, "w " * 60_000 + "end", "en", "t", 1),
+]
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "near_dedup", "decontamination", "mixing"])
+def test_each_stage_takes_odd_rows(spark, name):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    stage, sf_dir = dict(corpus_pipeline.STAGES)[name], "/root/testdata/sf0.001"
+    clash = ("id", "size", "row", "label", "target", "component_id", "n_lines", "kept_lines", "_id", "_drops", "score", "item_id")
+    docs = table(spark, STAGE_ROWS).withColumns({c: F.lit(c) for c in clash})
+    out = stage(spark, docs, sf_dir)
+    rows = out.collect()
+    if name == "mixing":
+        assert set(docs.columns) < set(out.columns)
+        taken = Counter((r.doc_id, r.text) for r in rows)
+        size = {s: sum(len(words(t)) for _, t, _, x, _ in STAGE_ROWS if x == s) for s in ("s", "t", None, "")}
+        for s in size:
+            assert sum(len(words(r.text)) for r in rows if r.source == s) <= 2 * size[s]
+        assert all(n <= 2 * sum(1 for x in STAGE_ROWS if x[:2] == k) for k, n in taken.items())
+    else:
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        once = name == "near_dedup"
+        want = Counter(((i, t or None) for i, t, *_ in STAGE_ROWS))
+        got = Counter((r.doc_id, r.text or None) for r in rows)
+        assert got == (Counter([(1, STAGE_ROWS[0][1]), (3, None), (None, STAGE_ROWS[5][1]), (5, STAGE_ROWS[6][1])]) if once else want)
+    assert all(r[c] == c for r in rows for c in clash)
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_pipeline_stages_are_what_plain_loops_find(spark):
+    import corpus_pipeline
+
+    hot = "this is a line of over forty code points in many documents"
+    copies = " ".join(f"c{j}" for j in range(80))
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").filter("length(text) > 40").first().text
+    data = [(i, f"{hot}\nown{i} " + " ".join(f"w{i}x{j}" for j in range(20)), "en", "s", 1) for i in range(6)]
+    data += [(10, copies, "en", "s", 1), (11, copies + " more", "en", "t", 1), (12, f"before {item} after", "en", "t", 1), (13, " ".join(f"z{j}" for j in range(50)), "en", "t", 1)]
+    docs, sf_dir, stages = table(spark, data), "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)
+    lines = {r.doc_id: (r.text, r.n_chars) for r in stages["line_dedup"](spark, docs, sf_dir).collect()}
+    for i, t, *_, n in data:
+        left = t.split("\n", 1)[1] if i < 5 else t
+        assert lines[i] == (left, len(left) if i < 5 else n)
+    assert {r.doc_id for r in stages["near_dedup"](spark, docs, sf_dir).collect()} == {i for i, *_ in data} - {11}
+    assert {r.doc_id for r in stages["decontamination"](spark, docs, sf_dir).collect()} == {i for i, *_ in data} - {12}
+    mixed = stages["mixing"](spark, docs, sf_dir).collect()
+    size = Counter()
+    for _, t, _, s, _ in data:
+        size[s] += len(words(t))
+    total, want = 1.5 * sum(size.values()), {}
+    want["s"] = min(2 * size["s"], total * 5 / 7)
+    want["t"] = min(2 * size["t"], total - want["s"])
+    for s in size:
+        assert abs(sum(len(words(r.text)) for r in mixed if r.source == s) - want[s]) <= max(len(words(t)) for *_, t, _, x, _ in [(0, *d) for d in data] if x == s) / 2 + 1e-6
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
