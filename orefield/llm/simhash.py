@@ -80,11 +80,12 @@ class Forest:
             self.up[max(x, y)] = min(x, y)
 
 
-def links(radius: int, similarity: float | None = None):
+def links(radius: int, similarity: float | None = None, first_band: int = 0):
     """From rows sorted by group (t, k, lo, hi), each group whole in its partition: a forest of the links in each group.
 
-    With a similarity, a pair also needs sketches that agree in MARGIN more than that share of their values; pairs that
-    are within MARGIN of it and not in one tree follow with sure = false, for the sketch can't decide on them.
+    With a similarity, a pair also needs sketches that agree in MARGIN more than that share of their values. A group of a
+    band's bucket (t is first_band or more) with pairs that are within MARGIN of it and not in one tree also gives one
+    row without a and b, for the sketches can't decide on these.
     """
 
     def near(fp: np.ndarray, sketch: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +101,9 @@ def links(radius: int, similarity: float | None = None):
         return ok, maybe
 
     def linked(fp: np.ndarray, sketch: np.ndarray | None, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows that are linked to an earlier row, and the first row of their tree; then pairs that may link. sure tells them apart."""
+        """Rows that are linked to an earlier row, and the first row of their tree; then a row of each group with pairs that may link."""
         forest, label = Forest(len(fp)), np.arange(len(fp))
-        unsure = []
+        unsure: list[np.ndarray] = []
         for d in range(1, len(fp)):
             same = group[d:] == group[:-d]
             if not same.any():
@@ -111,7 +112,7 @@ def links(radius: int, similarity: float | None = None):
             if len(i):
                 ok, maybe = near(fp, sketch, i, i + d)
                 if maybe.any():
-                    unsure.append(np.stack([i[maybe] + d, i[maybe]]))
+                    unsure.append(np.stack([i[maybe], i[maybe] + d]))
                 i = i[ok]
             if len(i):
                 for x in i.tolist():
@@ -119,9 +120,8 @@ def links(radius: int, similarity: float | None = None):
                 label = np.fromiter(map(forest.root, range(len(fp))), dtype=np.int64, count=len(fp))
         rows = np.flatnonzero(label != np.arange(len(fp)))
         i, j = np.concatenate(unsure, axis=1) if unsure else np.zeros((2, 0), dtype=np.int64)
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        return np.concatenate([rows, i]), np.concatenate([label[rows], j]), np.arange(len(rows) + len(i)) < len(rows)
+        open_groups = np.unique(group[i[label[i] != label[j]]])
+        return rows, label[rows], np.searchsorted(group, open_groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = held_sketch = None
@@ -138,8 +138,13 @@ def links(radius: int, similarity: float | None = None):
                 continue
             group = np.zeros(cut, dtype=np.int64)
             group[ends[ends < cut]] = 1
-            a, b, sure = linked(rows[5, :cut].view(np.uint64), sketch[:cut] if similarity else None, group.cumsum())
-            yield pa.record_batch({"a": pa.array(rows[4, a]), "b": pa.array(rows[4, b]), "sure": pa.array(sure)})
+            a, b, unsure = linked(rows[5, :cut].view(np.uint64), sketch[:cut] if similarity else None, group.cumsum())
+            unsure = unsure[rows[0, unsure] >= first_band]
+            none = pa.nulls(len(unsure), pa.int64())
+            yield pa.record_batch({
+                "a": pa.concat_arrays([pa.array(rows[4, a]), none]), "b": pa.concat_arrays([pa.array(rows[4, b]), none]),
+                "t": pa.array(rows[0, np.concatenate([a, unsure])].astype(np.int32)), "k": pa.array(rows[1, np.concatenate([a, unsure])]),
+            })
 
     return run
 
@@ -158,11 +163,11 @@ def with_last(items: Iterator) -> Iterator[tuple[bool, object]]:
 
 
 def near_links(nodes: DataFrame, scratch: Scratch, *, radius: int = RADIUS, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
-    """Edges a, b that connect whatever nodes have a fingerprint within the radius; all are sure.
+    """Edges a, b (and t, k of where they meet) that connect whatever nodes have a fingerprint within the radius.
 
     nodes: id (distinct longs), fps (array of longs, as many in each row). With a similarity also sketch (binary) and
     bands (array of longs, as many in each row): nodes that share a band meet too, sketches decide on all that meet,
-    and what they can't decide comes as pairs with sure = false.
+    and buckets of bands in which they can't decide come as t and k, without a and b.
     """
     masks = [m - 2**64 if m >= 2**63 else m for m in covering_masks(radius)]
     n = nodes.select(F.max(F.size("fps"))).first()[0] or 0
@@ -172,18 +177,22 @@ def near_links(nodes: DataFrame, scratch: Scratch, *, radius: int = RADIUS, bloc
         tables += [F.struct(F.lit(n * len(masks) + j).alias("t"), F.element_at("bands", j + 1).alias("k")) for j in range(bands)]
     keys = nodes.select("id", F.explode(F.array(*tables)).alias("x")).select("id", "x.t", "x.k") if n else nodes.select("id", F.lit(0).alias("t"), F.lit(0).cast("long").alias("k"))
     shared = scratch.written(keys.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    # a band has no fingerprint: there all that meet are compared
+    fp = F.when(F.col("t") < n * len(masks), F.get("fps", F.floor(F.col("t") / len(masks)).cast("int"))).otherwise(0).alias("fp")
+    dealt = in_blocks(keys, shared, block).join(nodes, "id").select("t", "k", "lo", "hi", "id", fp, *(["sketch"] if similarity else []))
+    group = ["t", "k", "lo", "hi"]
+    return dealt.repartition(*group).sortWithinPartitions(*group, "id").mapInArrow(links(radius, similarity, n * len(masks)), "a long, b long, t int, k long")
+
+
+def in_blocks(keys: DataFrame, buckets: DataFrame, block: int) -> DataFrame:
+    """t, k, lo, hi, id for keys (id, t, k) in the buckets (t, k, n): a bucket's rows are dealt into blocks, and each pair of blocks is a group."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = (
-        keys.join(shared, ["t", "k"])
+    return (
+        keys.join(buckets, ["t", "k"])
         .select("t", "k", "id", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
         .select("t", "k", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "id")
     )
-    # a band has no fingerprint: there all that meet are compared
-    fp = F.when(F.col("t") < n * len(masks), F.get("fps", F.floor(F.col("t") / len(masks)).cast("int"))).otherwise(0).alias("fp")
-    dealt = dealt.join(nodes, "id").select("t", "k", "lo", "hi", "id", fp, *(["sketch"] if similarity else []))
-    group = ["t", "k", "lo", "hi"]
-    return dealt.repartition(*group).sortWithinPartitions(*group, "id").mapInArrow(links(radius, similarity), "a long, b long, sure boolean")
 
 
 def simhash_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -213,8 +222,8 @@ def simhash_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 PRINTS, SKETCH = 8, 512
 #: Bands of a min-hash of its shingles, and values in each: a pair of similarity s misses them all with probability (1 - s ** ROWS) ** BANDS, 7e-5 at 0.8.
 BANDS, ROWS = 24, 5
-#: A sketch that is further than this from the asked similarity decides by itself (over five standard deviations); nearer ones are counted exactly.
-MARGIN = 0.1
+#: A sketch that is further than this from the asked similarity decides by itself (four standard deviations); where nearer ones meet, sets are counted exactly, in blocks of so many rows.
+MARGIN, EXACT_BLOCK = 0.07, 2048
 
 
 _RANDOM = np.random.default_rng(SEED)
@@ -294,36 +303,63 @@ def shingle_sets(size: int):
             words = [words_of((t.as_py() or "").encode()) for t in batch.column(0)]
             yield pa.record_batch({
                 "digest": pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary()),
-                "shingles": pa.array([shingle_hashes(w, size).tobytes() for w in words], pa.binary()),
+                "shingles": pa.array([np.unique(shingle_hashes(w, size).astype(np.uint32)).tobytes() for w in words], pa.binary()),
             })
 
     return run
 
 
-def alike(similarity: float):
-    """Of rows a, b and their shingle sets, those whose exact Jaccard is at least the similarity."""
+def exact_links(similarity: float):
+    """Of a group of rows (id, root, shingles): a forest of the links between different roots, by exact Jaccard of the sets.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    For each row one count over the lists of rows that have its shingles gives its overlap with every other.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, roots = group.column("id").to_numpy(), group.column("root").to_numpy()
+        sets = [np.frombuffer(x, np.uint32) for x in group.column("shingles").to_pylist()]
+        sizes = np.array(list(map(len, sets)))
+        forest = Forest(len(ids))
+        first: dict[int, int] = {}
+        for i, r in enumerate(roots.tolist()):
+            forest.link(i, first.setdefault(r, i))
+        values, code = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(code, kind="stable")]
+        ends = np.cumsum(np.bincount(code, minlength=len(values)))
+        starts, at, left, edges = np.concatenate([[0], ends[:-1]]), 0, len(first), []
+        for i, n in enumerate(sizes.tolist()):
+            mine, at = code[at : at + n], at + n
+            if left == 1:
+                break
+            many = ends[mine] - starts[mine]
+            where = np.repeat(starts[mine] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            both = np.bincount(owner[where], minlength=len(sets))
+            for j in np.flatnonzero(both >= similarity * (n + sizes - both)).tolist():
+                if forest.root(i) != forest.root(j):
+                    forest.link(i, j)
+                    edges.append((i, j))
+                    left -= 1
+        a, b = np.array(edges, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"a": ids[a], "b": ids[b]})
 
     return run
 
 
-def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, scratch: Scratch, *, shingle: int, similarity: float) -> DataFrame:
-    """The pairs a, b of classes (digest, least, node) whose texts (rows: id, text) have that Jaccard similarity of their whole shingle sets."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
-    asked = scratch.written(asked, "asked")
+def decided(buckets: DataFrame, nodes: DataFrame, first_band: int, roots: DataFrame, rows: DataFrame, classes: DataFrame, scratch: Scratch, *, shingle: int, similarity: float) -> DataFrame:
+    """Edges a, b that connect what has that Jaccard similarity within the buckets (t, k) of bands.
+
+    rows: id, text; classes: digest, least, node. Buckets in which all nodes have one root already need nothing.
+    """
+    bands = nodes.select("id", F.posexplode("bands").alias("t", "k")).withColumn("t", F.col("t") + first_band)
+    members = scratch.written(bands.join(buckets.distinct(), ["t", "k"]).join(roots.withColumnRenamed("node", "id"), "id", "left").select("t", "k", "id", F.coalesce("root", "id").alias("root")), "members")
+    still_open = scratch.written(members.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("t", "k", "n"), "open")
+    members = scratch.written(in_blocks(members.select("id", "t", "k"), still_open, EXACT_BLOCK), "dealt")
+    asked = scratch.written(members.select(F.col("id").alias("node")).distinct().join(classes, "node"), "asked")
     # of rows with the smallest key of a class, those with its words
     found = rows.join(asked, F.col("id").eqNullSafe(F.col("least")), "left_semi").select("text").mapInArrow(shingle_sets(shingle), "digest binary, shingles binary")
-    sets = scratch.written(found.join(asked.select("digest", "node"), "digest").dropDuplicates(["node"]), "sets")
-    of = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab"]
-    return pairs.join(of[0], "a").join(of[1], "b").mapInArrow(alike(similarity), "a long, b long")
+    sets = scratch.written(found.join(asked.select("digest", F.col("node").alias("id")), "digest").dropDuplicates(["id"]).select("id", "shingles"), "sets")
+    full = members.join(sets, "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return full.groupBy("t", "k", "lo", "hi").applyInArrow(exact_links(similarity), "a long, b long")
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -331,7 +367,8 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
 
     Rows with the same words are one class. Classes meet if they share a band of min-hashes of their shingles or if one
     of their PRINTS fingerprints of distinct words is within the radius, and link if the Jaccard similarity of their
-    shingle sets is so high: by sketch where that is clear, else by the whole sets. Groups are connected components.
+    shingle sets is so high: by sketch where that is clear, else by the whole sets (32-bit hashes of shingles) of all that
+    share the band. Groups are connected components.
     Null, empty and blank texts are one class. Keys have any type and may repeat; a null key is never the smallest unless
     all are null. Repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
@@ -345,12 +382,9 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     classes = scratch.written(prints.groupBy("digest").agg(F.min("id").alias("least"), F.min("node").alias("node")), "classes")
     nodes = scratch.written(prints.join(classes.select("node"), "node", "left_semi").select(F.col("node").alias("id"), "fps", "sketch", "bands"), "nodes")
     met = scratch.written(near_links(nodes, scratch, radius=radius, block=block, similarity=similarity), "met")
-    roots = components(met.filter("sure").select("a", "b"), scratch)
-    # pairs that the sketch leaves open count only between groups that aren't one already
-    of = [roots.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}")) for c in "ab"]
-    pairs = met.filter("not sure").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(of[0], "a", "left").join(of[1], "b", "left")
-    pairs = scratch.written(pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "unsure")
-    links = verified(pairs, rows, classes, scratch, shingle=shingle, similarity=similarity)
+    roots = scratch.written(components(met.filter("a is not null").select("a", "b"), scratch), "roots")
+    first_band = PRINTS * len(covering_masks(radius))
+    links = decided(met.filter("a is null").select("t", "k"), nodes, first_band, roots, rows, classes, scratch, shingle=shingle, similarity=similarity)
     roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
     rooted = scratch.written(classes.join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

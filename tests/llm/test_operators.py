@@ -283,6 +283,43 @@ def test_near_copies_with_a_passage_more(spark):
     assert got == {i: i - i % 2 if i < 40 else i for i in range(60)}
 
 
+@pytest.mark.parametrize("block", [4, 2048])
+def test_near_copies_are_what_brute_force_finds(spark, block, monkeypatch):
+    """A group in which most pairs are a little over or under the similarity, and only some chains of them link."""
+    import random
+
+    from orefield.llm import simhash
+
+    rng = random.Random(6)
+    base = [[f"b{k}x{j}" for j in range(160)] for k in range(3)]
+    texts = []
+    for i in range(150):
+        w = list(base[i % 3])
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    n_open = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        share = both / len(sets[i] | sets[j])
+        n_open += 0.73 < share < 0.87
+        if share >= 0.8:
+            a, b = sorted((root(i), root(j)))
+            up[b] = a
+    assert n_open > 300
+    monkeypatch.setattr(simhash, "EXACT_BLOCK", block)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(table(spark, rows(texts)), block=max(block, 16)).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
 def test_near_copies_of_repeated_rows(spark):
     from pyspark.sql import functions as F
 
