@@ -41,16 +41,16 @@ def build_baskets(lines: DataFrame, least: int, smallest: int, largest: int) ->
 
 def fpgrowth(baskets: DataFrame, support: float, longest: int) -> DataFrame:
     """items, count by MLlib's FP-growth."""
-    arrays = baskets.groupBy("basket_id").agg(F.collect_set("item").alias("items"))
+    arrays = baskets.groupBy("basket_id").agg(F.collect_set("item").alias("items")).persist()  # read several times by the fit
     found = FPGrowth(itemsCol="items", minSupport=support).fit(arrays).freqItemsets
     return found.filter(F.size("items") <= longest).select(F.array_sort("items").alias("items"), F.col("freq").alias("count"))
 
 
 def apriori(baskets: DataFrame, support: float, longest: int) -> DataFrame:
-    """items, count, level by level: candidates by a prefix self-join, pruned by their subsets, counted by a containment join."""
-    baskets = baskets.distinct()
+    """items, count, level by level: candidates by a prefix self-join, pruned by their subsets, counted by a containment join. Each level is kept."""
+    baskets = baskets.distinct().persist()
     least = least_count(baskets, support)
-    levels = [frequent_items(baskets, least).select(F.array("item").alias("items"), "count")]
+    levels = [frequent_items(baskets, least).select(F.array("item").alias("items"), "count").persist()]
     for k in range(2, longest + 1):
         old = levels[-1].select("items")
         a, b = old.withColumnRenamed("items", "x"), old.withColumnRenamed("items", "y")
@@ -61,22 +61,27 @@ def apriori(baskets: DataFrame, support: float, longest: int) -> DataFrame:
             candidates = candidates.withColumn("s", subset).join(old.withColumnRenamed("items", "s"), "s", "left_semi").drop("s")
         named = candidates.withColumn("set_id", F.array_join("items", "\x1f"))
         counts = containing(named, baskets).groupBy("set_id").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
-        levels.append(counts.select(F.split("set_id", "\x1f").alias("items"), "count"))
+        levels.append(counts.select(F.split("set_id", "\x1f").alias("items"), "count").persist())
     return reduce(DataFrame.unionByName, levels)
 
 
 def eclat(baskets: DataFrame, support: float, longest: int) -> DataFrame:
-    """items, count by joining (itemset, basket) rows with the frequent items of the same basket that come later."""
-    baskets = baskets.distinct()
+    """items, count by joining (itemset, basket) rows with the frequent items of the same basket that come later.
+
+    Each level is kept (in memory or on the executors' disks), as the next one and its counts are both made from it.
+    """
+    baskets = baskets.distinct().persist()
     least = least_count(baskets, support)
-    single = baskets.join(frequent_items(baskets, least).select("item"), "item", "left_semi")
+    single = baskets.join(frequent_items(baskets, least).select("item"), "item", "left_semi").persist()
     held = single.select("basket_id", F.array("item").alias("items"))
     levels = []
-    for _ in range(longest):
-        counts = held.groupBy("items").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
+    for k in range(longest):
+        counts = held.groupBy("items").agg(F.count("*").alias("count")).filter(F.col("count") >= least).persist()
         levels.append(counts)
+        if k + 1 == longest:
+            break
         kept = held.join(counts.select("items"), "items", "left_semi")
-        held = kept.join(single, "basket_id").filter(F.col("item") > F.element_at("items", -1)).select("basket_id", F.concat("items", F.array("item")).alias("items"))
+        held = kept.join(single, "basket_id").filter(F.col("item") > F.element_at("items", -1)).select("basket_id", F.concat("items", F.array("item")).alias("items")).persist()
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -179,9 +179,9 @@ def k8_profile(t: Tables) -> DataFrame:
 _FREQ = r"f AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS token FROM documents) WHERE token <> '' GROUP BY 1)"
 
 
-@query(f"WITH {_FREQ} SELECT token, n FROM f WHERE n >= 50")
+@query(f"WITH {_FREQ} SELECT token, n FROM f")
 def k9_frequencies(t: Tables) -> DataFrame:
-    return K.frequencies(t.documents).filter("n >= 50")
+    return K.frequencies(t.documents)
 
 
 @query(f"WITH {_FREQ}, r AS (SELECT n, row_number() OVER (ORDER BY n DESC, token) AS r FROM f) SELECT k.k::INTEGER AS top, round(sum(n) FILTER (WHERE r <= k.k) / (SELECT sum(n) FROM f), 8) AS share FROM r, (VALUES (10), (100), (1000)) k(k) GROUP BY 1")

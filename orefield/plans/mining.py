@@ -44,9 +44,10 @@ def _joined(sets: DataFrame) -> DataFrame:
     return sets.select(F.array_join("items", ",").alias("items"), "count")
 
 
-@query(f"WITH {_B} SELECT i AS item, count(*) AS count FROM b GROUP BY i HAVING count(*) >= 2000")
+@query(f"WITH {_B} SELECT i AS item, count(*) AS count FROM b GROUP BY i HAVING count(*) >= (SELECT ceil(0.15 * count(DISTINCT k)) FROM b)")
 def p1_item_floor(t: Tables) -> DataFrame:
-    return P.frequent_items(baskets(t), 2000)
+    b = baskets(t)
+    return P.frequent_items(b, P.least_count(b, 0.15))
 
 
 @query(f"WITH {_B} SELECT i AS item, count(*) AS count, (row_number() OVER (ORDER BY count(*) DESC, i) - 1)::INTEGER AS code FROM b GROUP BY i")
@@ -54,10 +55,10 @@ def p2_item_codes(t: Tables) -> DataFrame:
     return P.item_codes(baskets(t))
 
 
-@query(f"WITH {_B}, f AS (SELECT i FROM b GROUP BY i HAVING count(*) >= 2000), g AS (SELECT l_orderkey AS basket_id, min(l_shipdate) AS ts, list_sort(list(DISTINCT p_brand)) AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN (SELECT i FROM f) GROUP BY 1) SELECT basket_id, ts, array_to_string(s, ',') AS items FROM g WHERE len(s) BETWEEN 2 AND 6")
+@query(f"WITH {_B}, f AS (SELECT i FROM b GROUP BY i HAVING count(*) >= (SELECT ceil(0.15 * count(DISTINCT k)) FROM b)), g AS (SELECT l_orderkey AS basket_id, min(l_shipdate) AS ts, list_sort(list(DISTINCT p_brand)) AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN (SELECT i FROM f) GROUP BY 1) SELECT basket_id, ts, array_to_string(s, ',') AS items FROM g WHERE len(s) BETWEEN 2 AND 6")
 def p3_baskets(t: Tables) -> DataFrame:
     lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("basket_id"), F.col("p_brand").alias("item"), F.col("l_shipdate").alias("ts"))
-    return P.build_baskets(lines, 2000, 2, 6).select("basket_id", "ts", F.array_join("items", ",").alias("items"))
+    return P.build_baskets(lines, P.least_count(lines, 0.15), 2, 6).select("basket_id", "ts", F.array_join("items", ",").alias("items"))
 
 
 @query(_SETS_SQL)

@@ -41,9 +41,9 @@ def j9_prefix_join(t: Tables) -> DataFrame:
     return pairs.join(pairs.withColumnRenamed("y", "z"), "x").filter("y < z")
 
 
-@query("WITH b AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS k FROM lineitem WHERE l_suppkey <= 20) SELECT x.s AS a, y.s AS b, count(*) AS both FROM b x JOIN b y ON x.k = y.k AND x.s < y.s GROUP BY 1, 2")
+@query("WITH b AS (SELECT DISTINCT l_suppkey AS s, l_orderkey AS k FROM lineitem) SELECT x.s AS a, y.s AS b, count(*) AS both FROM b x JOIN b y ON x.k = y.k AND x.s < y.s GROUP BY 1, 2")
 def j16_tid_intersection(t: Tables) -> DataFrame:
-    rows = t.lineitem.filter("l_suppkey <= 20").select(F.col("l_suppkey").alias("a"), F.col("l_orderkey").alias("k")).distinct()
+    rows = t.lineitem.select(F.col("l_suppkey").alias("a"), F.col("l_orderkey").alias("k")).distinct()
     return rows.join(rows.withColumnRenamed("a", "b"), "k").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
 
 
@@ -159,10 +159,10 @@ def q14_delivery(t: Tables) -> DataFrame:
     return t.events.agg(F.count("*").alias("rows"), F.count_if(F.abs(v) == float("inf")).alias("infinite"), F.count_if(F.col("ts") > "2024-01-25").alias("future"), F.count_if(v == F.round(v, 0)).alias("whole"))
 
 
-@query("SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'early' ELSE 'late' END || '; ' || event_type AS note FROM events WHERE value > 100")
+@query("SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'early' ELSE 'late' END || '; ' || event_type AS note FROM events")
 def x31_notes(t: Tables) -> DataFrame:
     notes = F.array_compact(F.array(F.when(F.col("ts") < "2024-01-10", "early"), F.when(F.col("ts") >= "2024-01-10", "late"), F.col("event_type")))
-    return t.events.filter("value > 100").select("event_id", F.array_join(notes, "; ").alias("note"))
+    return t.events.select("event_id", F.array_join(notes, "; ").alias("note"))
 
 
 @query("SELECT event_id, strftime(ts + INTERVAL 90 MINUTE, '%H:%M') AS eta FROM events")
@@ -170,9 +170,9 @@ def x32_clock(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.date_format(F.col("ts") + F.expr("INTERVAL 90 MINUTES"), "HH:mm").alias("eta"))
 
 
-@query("WITH d AS (SELECT user_id, ts::DATE AS day, event_type FROM events) SELECT day, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, count(*) AS n FROM d WHERE day < DATE '2024-01-08' GROUP BY 1")
+@query("WITH d AS (SELECT user_id, ts::DATE AS day, event_type FROM events) SELECT day, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types, count(*) AS n FROM d GROUP BY 1")
 def l4_by_day(t: Tables) -> DataFrame:
-    days = t.events.select(F.to_date("ts").alias("day"), "event_type").filter("day < DATE '2024-01-08'")
+    days = t.events.select(F.to_date("ts").alias("day"), "event_type")
     return days.groupBy("day").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"), F.count("*").alias("n"))
 
 
