@@ -84,3 +84,48 @@ def surrogate(df: DataFrame, label: str, depth: int = 4) -> tuple[str, DataFrame
     model = DecisionTreeClassifier(maxDepth=depth, seed=7).fit(numbered)
     same = (F.col("prediction") == F.col("label")).cast("double")
     return model.toDebugString, model.transform(numbered).groupBy(label).agg(F.count("*").alias("n"), F.avg(same).alias("recall"))
+
+
+def _distance(columns: Sequence[str], a: str, b: str):
+    return F.sqrt(sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in columns), F.lit(0.0)))
+
+
+def silhouette_profile(df: DataFrame, sample: DataFrame, key: str, label: str, columns: Sequence[str]) -> DataFrame:
+    """label, n, mean silhouette and share of negative ones of the sampled rows, each against all rows.
+
+    The sample is broadcast: it must be small (its size is the caller's choice). Of each sampled row only one mean a label is kept.
+    """
+    s = F.broadcast(sample.select(F.struct(key, label, *columns).alias("s")))
+    by = df.select(F.struct(key, label, *columns).alias("o")).crossJoin(s).filter(f"o.{key} <> s.{key}")
+    by = by.groupBy(F.col(f"s.{key}").alias("row"), F.col(f"s.{label}").alias("own"), F.col(f"o.{label}").alias("other")).agg(F.avg(_distance(columns, "o", "s")).alias("d"))
+    of = by.groupBy("row", "own").agg(F.max(F.when(F.col("other") == F.col("own"), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col("own"), F.col("d"))).alias("b"))
+    out = of.withColumn("s", F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))
+    return out.groupBy(F.col("own").alias("label")).agg(F.count("*").alias("n"), F.avg("s").alias("silhouette"), F.avg((F.col("s") < 0).cast("int")).alias("negative"))
+
+
+def scored_segments(df: DataFrame, centroids: DataFrame, key: str, label: str, columns: Sequence[str], unsure: float = 0.1) -> DataFrame:
+    """key, segment (the nearest centroid), margin and boundary: margin is how much farther, as a share, the second nearest is; under unsure the row lies on a boundary.
+
+    centroids: label and columns, one row a segment; broadcast, as there are few.
+    """
+    c = F.broadcast(centroids.select(F.struct(label, *columns).alias("c")))
+    far = df.select(F.struct(key, *columns).alias("o")).crossJoin(c).select(F.col(f"o.{key}").alias(key), F.struct(_distance(columns, "o", "c").alias("d"), F.col(f"c.{label}").alias("l")).alias("x"))
+    two = far.groupBy(key).agg(F.slice(F.array_sort(F.collect_list("x")), 1, 2).alias("x"))
+    margin = F.when(F.size("x") > 1, F.when(F.col("x")[1]["d"] > 0, 1 - F.col("x")[0]["d"] / F.col("x")[1]["d"]).otherwise(0.0)).otherwise(1.0)
+    return two.select(key, F.col("x")[0]["l"].alias("segment"), margin.alias("margin")).withColumn("boundary", F.col("margin") < unsure)
+
+
+def hopkins(df: DataFrame, key: str, columns: Sequence[str], probes: int = 50, seed: int = 7) -> DataFrame:
+    """Hopkins statistic: about 0.5 for evenly spread rows, near 1 for clustered ones.
+
+    So many rows, and as many even points in the bounding box, look for the nearest row; both sets are broadcast.
+    """
+    box = df.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns])
+    unit = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.lit(c), F.col("id")), F.lit(1_000_003)) / 1_000_003.0
+    even = df.sparkSession.range(probes).crossJoin(box).select(F.lit("even").alias("kind"), F.lit(None).cast(df.schema[key].dataType).alias("of"), *[(F.col(f"lo_{c}") + unit(c) * (F.col(f"hi_{c}") - F.col(f"lo_{c}"))).alias(c) for c in columns])
+    rows = df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(probes).select(F.lit("row").alias("kind"), F.col(key).alias("of"), *[F.col(c).cast("double").alias(c) for c in columns])
+    asked = F.broadcast(even.unionByName(rows).select(F.struct("kind", "of", *columns).alias("q")))
+    near = df.select(F.struct(key, *columns).alias("o")).crossJoin(asked).filter(~F.col(f"o.{key}").eqNullSafe(F.col("q.of")))
+    least = near.groupBy("q").agg(F.min(_distance(columns, "o", "q")).alias("d"))
+    total = least.agg(F.sum(F.when(F.col("q.kind") == "even", F.col("d"))).alias("u"), F.sum(F.when(F.col("q.kind") == "row", F.col("d"))).alias("w"))
+    return total.select((F.col("u") / (F.col("u") + F.col("w"))).alias("hopkins"))

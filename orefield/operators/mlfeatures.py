@@ -71,3 +71,61 @@ def flags_by_cohort(df: DataFrame, cohort: str, rules: Mapping[str, Column]) ->
 
 def peak(df: DataFrame, group: str, at: str, score: str) -> DataFrame:
     return df.groupBy(group).agg(F.max_by(at, F.struct(score, at)).alias("peak"), F.max(score).alias("score"))
+
+
+def missing_indicators(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df with a 0/1 column c_missing for each of the columns."""
+    return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in columns})
+
+
+def table_pipeline(categorical: Sequence[str], numeric: Sequence[str], out: str = "features"):
+    """A pyspark.ml Pipeline: one-hot columns (levels by falling train frequency; unseen and null ones apart), numbers as they are.
+
+    Fitted on train rows only it is a PipelineModel that can be saved, loaded and replayed on new rows.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+
+    index, hot = [f"{c}_index" for c in categorical], [f"{c}_hot" for c in categorical]
+    return Pipeline(stages=[
+        StringIndexer(inputCols=list(categorical), outputCols=index, handleInvalid="keep"),
+        OneHotEncoder(inputCols=index, outputCols=hot, dropLast=False),
+        VectorAssembler(inputCols=[*hot, *numeric], outputCol=out, handleInvalid="keep"),
+    ])
+
+
+def eigen_spectrum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """component, eigenvalue, share, cumulative share and kaiser (eigenvalue over 1) of the correlation matrix of few columns.
+
+    One aggregate over the rows gives the matrix; only that comes to the driver.
+    """
+    import numpy as np
+
+    from .clusters import table_of
+
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
+    r = df.agg(*[F.corr(columns[i], columns[j]).alias(f"r{i}_{j}") for i, j in pairs]).first()
+    m = np.eye(len(columns))
+    for i, j in pairs:
+        m[i, j] = m[j, i] = r[f"r{i}_{j}"] or 0.0
+    values = np.sort(np.linalg.eigvalsh(m))[::-1].clip(0)
+    share = values / values.sum()
+    return table_of(df, [{"component": i + 1, "eigenvalue": float(v), "share": float(share[i]), "cumulative": float(share[: i + 1].sum()), "kaiser": bool(v > 1)} for i, v in enumerate(values)])
+
+
+def calibration_gap(df: DataFrame, group: str, y: str = "y", score: str = "score", least: int = 1) -> DataFrame:
+    """group, n, mean score, rate and their difference, of groups of so many rows at least."""
+    by = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(y).alias("rate")).filter(F.col("n") >= least)
+    return by.withColumn("gap", F.col("mean_score") - F.col("rate"))
+
+
+def reference_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, n, mean, std, lowest and highest: what a deployed scorer keeps of its training rows."""
+    stats = F.array(*[F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("lowest"), F.max(c).cast("double").alias("highest")) for c in columns])
+    return df.agg(stats.alias("s")).select(F.inline("s"))
+
+
+def encoding_inflation(encoded: DataFrame, y: str, in_fold: str, out_of_fold: str) -> DataFrame:
+    """Correlation of the target with an encoding that has seen it, with one that hasn't, and the difference: the leak."""
+    out = encoded.agg(F.corr(y, in_fold).alias("in_fold"), F.corr(y, out_of_fold).alias("out_of_fold"))
+    return out.withColumn("inflation", F.col("in_fold") - F.col("out_of_fold"))

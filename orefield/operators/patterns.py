@@ -186,3 +186,56 @@ def swap_null(baskets: DataFrame, rounds: int, seed: int = 7) -> DataFrame:
 
 def with_measures(table: DataFrame, names: list[str] | None = None) -> DataFrame:
     return measured(table, names)
+
+
+def productive(table: DataFrame, itemsets: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Rules whose every antecedent item matters: within the baskets that hold the rest of the antecedent, the item and the
+    consequent go together with a right-tailed Fisher p of at most alpha. A single item is tested against all baskets.
+
+    table: antecedent, consequent, n11, n1, m1, n. itemsets: items, count of all frequent sets.
+    """
+    from ..functions.special import fisher_right
+
+    counts = itemsets.select("items", "count")
+    row = table.select("antecedent", "consequent", "n11", "n1", "m1", "n", F.explode("antecedent").alias("x"))
+    row = row.withColumn("rest", F.array_remove("antecedent", F.col("x"))).withColumn("with_rest", F.array_sort(F.concat(F.array_remove("antecedent", F.col("x")), "consequent")))
+    row = row.join(counts.select(F.col("items").alias("rest"), F.col("count").alias("of_rest")), "rest", "left")
+    row = row.join(counts.select(F.col("items").alias("with_rest"), F.col("count").alias("of_both")), "with_rest", "left")
+    alone = F.size("rest") == 0
+    tested = row.select("antecedent", "consequent", "n11", "n1", F.when(alone, F.col("m1")).otherwise(F.col("of_both")).alias("m1"), F.when(alone, F.col("n")).otherwise(F.col("of_rest")).alias("n"))
+    worst = tested.withColumn("p", fisher_right(*map(F.col, ("n11", "n1", "m1", "n")))).groupBy("antecedent", "consequent").agg(F.max("p").alias("worst_p"))
+    return table.join(worst.filter(F.col("worst_p") <= alpha), ["antecedent", "consequent"])
+
+
+def empirical_fdr(baskets: DataFrame, lifts: list[float], least: int, rounds: int = 3, swaps: int = 5, seed: int = 7) -> DataFrame:
+    """For each lift: pairs of items (in least baskets or more) that reach it, how many do on average in swapped baskets, and the ratio.
+
+    baskets: basket_id, items. Swapping keeps basket sizes and item counts, so what reaches the lift there does so by chance.
+    """
+    n = baskets.count()
+
+    def reached(df: DataFrame) -> DataFrame:
+        rows = df.select("basket_id", F.explode("items").alias("item"))
+        of = rows.groupBy("item").agg(F.count("*").alias("c"))
+        pairs = rows.join(rows.withColumnRenamed("item", "other"), "basket_id").filter("item < other").groupBy("item", "other").agg(F.count("*").alias("both")).filter(F.col("both") >= least)
+        lift = pairs.join(of, "item").join(of.select(F.col("item").alias("other"), F.col("c").alias("d")), "other").select((F.col("both") * n / (F.col("c") * F.col("d"))).alias("lift"))
+        return lift.agg(*[F.count_if(F.col("lift") >= x).alias(f"n{i}") for i, x in enumerate(lifts)])
+
+    real = reached(baskets)
+    null = reduce(DataFrame.unionByName, [reached(swap_null(baskets, swaps, seed + 1000 * r)) for r in range(rounds)])
+    both = real.crossJoin(null.agg(*[F.avg(f"n{i}").alias(f"m{i}") for i in range(len(lifts))]))  # one row each
+    rows = F.inline(F.array(*[F.struct(F.lit(float(x)).alias("lift"), F.col(f"n{i}").alias("pairs"), F.col(f"m{i}").alias("by_chance")) for i, x in enumerate(lifts)]))
+    return both.select(rows).withColumn("fdr", F.when(F.col("pairs") > 0, F.least(F.lit(1.0), F.col("by_chance") / F.col("pairs"))))
+
+
+class Itemsets:
+    """Itemsets mined once at the lowest support; higher supports and shorter sets are filters of what is kept."""
+
+    def __init__(self, baskets: DataFrame, support: float, longest: int):
+        self.baskets, self.support, self.longest = baskets.distinct().persist(), support, longest
+        self.kept = eclat(self.baskets, support, longest).persist()
+
+    def at(self, support: float, longest: int) -> DataFrame:
+        if support < self.support or longest > self.longest:
+            raise ValueError("asked for more than was mined")
+        return self.kept.filter((F.col("count") >= least_count(self.baskets, support)) & (F.size("items") <= longest))

@@ -142,3 +142,18 @@ def permuted(df: DataFrame, column: str, stratum: str, key: str, seed: int = 7)
     left = df.withColumn("_i", F.row_number().over(w.orderBy(key)))
     right = df.select(F.col(stratum), F.col(column).alias("_v"), F.row_number().over(w.orderBy(hash_order(key, seed), key)).alias("_i"))
     return left.join(right, [stratum, "_i"]).withColumn(column, F.col("_v")).drop("_i", "_v").select(df.columns)
+
+
+def rate_intervals(df: DataFrame, group: str, category: str, success: str, replicates: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+    """category, rate, low and high of its bootstrap over groups, difference to the overall rate, and the share of replicates in which it is highest."""
+    sums = df.groupBy(group, category).agg(F.sum(success).alias("s"), F.count(success).alias("n"))
+    drawn = sums.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", poisson_weight(group, "replicate", seed))
+    rates = drawn.groupBy("replicate", category).agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("r"))
+    best = rates.groupBy("replicate").agg(F.max("r").alias("best"))
+    tail = (1 - level) / 2
+    out = rates.join(best, "replicate").groupBy(category).agg(
+        F.percentile("r", F.lit(tail)).alias("low"), F.percentile("r", F.lit(1 - tail)).alias("high"), F.avg((F.col("r") == F.col("best")).cast("int")).alias("highest")
+    )
+    own = sums.groupBy(category).agg((F.sum("s") / F.sum("n")).alias("rate"))
+    overall = sums.agg((F.sum("s") / F.sum("n")).alias("overall"))
+    return own.join(out, category).crossJoin(overall).select(category, "rate", "low", "high", (F.col("rate") - F.col("overall")).alias("difference"), "highest")  # one row

@@ -16,7 +16,10 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 
 def minhash(shingle_set: Column, perms: int) -> Column:
-    return F.array(*[F.array_min(F.transform(shingle_set, lambda s, i=i: F.xxhash64(F.lit(i), s))) for i in range(perms)])
+    def least(i: int) -> Column:
+        return F.array_min(F.transform(shingle_set, lambda s: F.xxhash64(F.lit(i), s)))
+
+    return F.array(*map(least, range(perms)))
 
 
 def band_keys(signature: Column, bands: int, rows: int) -> Column:
@@ -112,3 +115,84 @@ def packed(turns: DataFrame, limit: int, conv: str = "conv_id", role: str = "rol
     """conv, tokens, supervised (assistant's), kept: whether it fits."""
     n = F.size(words(F.col(text)))
     return turns.groupBy(conv).agg(F.sum(n).alias("tokens"), F.sum(F.when(F.col(role) == "assistant", n).otherwise(0)).alias("supervised")).withColumn("kept", F.col("tokens") <= limit)
+
+
+def near_clusters(docs: DataFrame, similarity: float = 0.8, k: int = 5) -> DataFrame:
+    """id, cluster (the smallest id in it) and its size of every document (id, text): texts that are alike, or alike to one alike."""
+    from .graph import components
+
+    hashed = F.transform(shingles(hash_form(F.col("text")), k), lambda s: F.xxhash64(s))
+    member = docs.select("id", F.xxhash64(F.array_sort(hashed)).alias("h"))
+    rep = member.groupBy("h").agg(F.min("id").alias("rep"))
+    roots = components(near_pairs(docs, docs, similarity=similarity, k=k).select("a", "b"))
+    named = rep.join(roots, F.col("rep") == F.col("node"), "left").select("h", F.coalesce("root", "rep").alias("cluster"))
+    out = member.join(named, "h").select("id", "cluster")
+    return out.join(out.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("id", "cluster", "size")
+
+
+def planted_recall(docs: DataFrame, every: int, similarity: float = 0.8) -> DataFrame:
+    """Positive control of the duplicate detector: kind, planted, found, recall.
+
+    Of every so-many-th document by hash of its id (id, text; of 20 words at least) an exact copy and one with words more
+    at its end are added under new ids; they are found if they come into their document's cluster.
+    """
+    some = docs.filter((F.pmod(F.xxhash64("id"), F.lit(every)) == 0) & (F.size(words(F.col("text"))) >= 20)).select("id", "text")
+    made = some.select("id", "text", F.explode(F.array(F.lit("exact"), F.lit("near"))).alias("kind"))
+    copies = made.select(
+        F.concat_ws("#", F.col("id").cast("string"), "kind").alias("id"), F.when(F.col("kind") == "near", F.concat("text", F.lit(" the end"))).otherwise(F.col("text")).alias("text"), "kind", F.col("id").cast("string").alias("of")
+    )
+    pool = docs.select(F.col("id").cast("string").alias("id"), "text").unionByName(copies.select("id", "text"))
+    cluster = near_clusters(pool, similarity).select("id", "cluster").persist()
+    hit = copies.select("id", "kind", "of").join(cluster, "id").join(cluster.select(F.col("id").alias("of"), F.col("cluster").alias("home")), "of")
+    out = hit.groupBy("kind").agg(F.count("*").alias("planted"), F.count_if(F.col("cluster") == F.col("home")).alias("found"))
+    return out.withColumn("recall", F.col("found") / F.col("planted"))
+
+
+def prepared(docs: DataFrame, held: DataFrame, least_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(documents that stay, audit): short ones, exact copies, near copies and those that leak held-out texts (id, text) go in turn.
+
+    The audit has stage, documents and characters after each stage, in order of the column place.
+    """
+    stages = [("read", docs)]
+    now = docs.filter(F.length("text") >= least_chars).persist()
+    stages.append(("long enough", now))
+    now = now.join(exact_groups(now, "text", "id").filter("id = keep_id").select("id"), "id", "left_semi").persist()
+    stages.append(("no exact copies", now))
+    now = now.join(near_clusters(now).filter("id = cluster").select("id"), "id", "left_semi").persist()
+    stages.append(("no near copies", now))
+    now = now.join(leaks(now, held).select(F.col("train_id").alias("id")).distinct(), "id", "left_anti").persist()
+    stages.append(("no leaks", now))
+    rows = [df.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters")).select(F.lit(i).alias("place"), F.lit(name).alias("stage"), "documents", "characters") for i, (name, df) in enumerate(stages)]
+    audit = rows[0]
+    for row in rows[1:]:
+        audit = audit.unionByName(row)
+    return now, audit
+
+
+def as_conversations(records: DataFrame, templates: list[str]) -> DataFrame:
+    """id, turn, role, text of records (id, asked, reply): the user's turn by one of the templates (its {} is what is asked), dealt by id."""
+    picked = F.element_at(F.array(*[F.lit(t) for t in templates]), (F.pmod(F.col("id"), F.lit(len(templates))) + 1).cast("int"))
+    turns = F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role"), F.replace(picked, F.lit("{}"), F.col("asked")).alias("text")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"), F.col("reply").alias("text")))
+    return records.select("id", F.inline(turns))
+
+
+def compliance(keywords: Column, reply: Column) -> Column:
+    """Share of the keywords that the reply has, in whatever case; null where none is asked for."""
+    held = F.filter(keywords, lambda w: F.contains(F.lower(reply), F.lower(w)))
+    return F.when(F.size(keywords) > 0, F.size(held) / F.size(keywords))
+
+
+def bigram_entropy(train: DataFrame, test: DataFrame, text: str = "text") -> DataFrame:
+    """Cross-entropy in nats of the test bigrams under add-one smoothed conditional bigram counts of the train texts, and their number."""
+
+    def pairs(df: DataFrame) -> DataFrame:
+        w = words(F.col(text))
+        both = F.when(F.size(w) > 1, F.arrays_zip(F.slice(w, F.lit(1), F.size(w) - 1).alias("x"), F.slice(w, F.lit(2), F.size(w) - 1).alias("y")))
+        return df.select(F.explode(both).alias("g")).groupBy(F.col("g.x").alias("x"), F.col("g.y").alias("y")).agg(F.count("*").alias("n"))
+
+    known = pairs(train)
+    firsts = known.groupBy("x").agg(F.sum("n").alias("of_x"))
+    types = frequencies(train, text).agg((F.count("*") + 1).alias("types"))
+    asked = pairs(test).withColumnRenamed("n", "m").join(known, ["x", "y"], "left").join(firsts, "x", "left").crossJoin(types)  # one row
+    nats = -F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("of_x", F.lit(0)) + F.col("types")))
+    return asked.agg((F.sum(F.col("m") * nats) / F.sum("m")).alias("nats"), F.sum("m").alias("bigrams"))

@@ -1,5 +1,5 @@
 """Registered queries, by theme. Each module has QUERIES (name: function) and SQL (name: DuckDB text)."""
 
-from . import business, corpus, mining, modelling, more, relational, rest, streams, studies
+from . import business, corpus, further, mining, modelling, more, relational, rest, streams, studies
 
-MODULES = [relational, mining, business, corpus, modelling, streams, more, rest, studies]
+MODULES = [relational, mining, business, corpus, modelling, streams, more, rest, studies, further]

@@ -153,3 +153,112 @@ def test_package_without_llm():
                 if isinstance(node, (ast.Import, ast.ImportFrom)):
                     names = [node.module or ""] if isinstance(node, ast.ImportFrom) else []
                     assert not any("llm" in n for n in names + [a.name for a in node.names]), path
+
+
+def test_productive_rules_by_exact_tests(spark):
+    from math import comb
+
+    from orefield.operators import patterns as P
+
+    baskets = [(i, x) for i in range(60) for x in ["a"] * (i % 2 == 0) + ["b"] * (i % 3 == 0) + ["c"] * (i % 6 == 0 or i % 7 == 1) + ["d"] * (i % 5 > 0)]
+    df = spark.createDataFrame(baskets, "basket_id long, item string")
+    sets = P.eclat(df, 0.03, 3)
+    table = P.rules(sets, 60, 2)
+    held = {}
+    for i, x in baskets:
+        held.setdefault(i, set()).add(x)
+    count = lambda s: sum(set(s) <= held.get(i, set()) for i in range(60))
+
+    def p(n11, n1, m1, n):
+        return sum(comb(m1, k) * comb(n - m1, n1 - k) for k in range(n11, min(n1, m1) + 1)) / comb(n, n1)
+
+    want = set()
+    for r in table.collect():
+        tests = [p(r.n11, r.n1, count([y for y in r.antecedent if y != x] + r.consequent), count([y for y in r.antecedent if y != x])) for x in r.antecedent]
+        if max(tests) <= 0.05:
+            want.add((tuple(r.antecedent), tuple(r.consequent), round(max(tests), 8)))
+    got = {(tuple(r.antecedent), tuple(r.consequent), round(r.worst_p, 8)) for r in P.productive(table, sets).collect()}
+    assert got == want and want
+
+
+def test_empirical_fdr_and_reused_itemsets(spark):
+    import pytest
+
+    from orefield.operators import patterns as P
+
+    rows = [(i, sorted({f"x{i % 5}", f"y{i % 5}", f"z{i % 3}"})) for i in range(300)]
+    fdr = {r.lift: r for r in P.empirical_fdr(spark.createDataFrame(rows, "basket_id long, items array<string>"), [0.5, 4.0], 5, rounds=2).collect()}
+    assert fdr[4.0].pairs == 5 and fdr[4.0].fdr < 0.5 < fdr[0.5].fdr  # x and y always come together, z with anything
+    kept = P.Itemsets(spark.createDataFrame([(i, x) for i, items in rows for x in items], "basket_id long, item string"), 0.1, 2)
+    assert kept.at(0.3, 2).count() == 3 and kept.at(0.1, 1).count() == 13 and kept.at(0.15, 2).count() == 18
+    with pytest.raises(ValueError):
+        kept.at(0.05, 2)
+
+
+def test_near_clusters_planted_copies_and_audit(spark):
+    from orefield.operators import text as K
+
+    w = lambda k, n=60: [f"w{k}x{j}" for j in range(n)]
+    docs = [(i, " ".join(w(i % 4))) for i in range(8)] + [(20, " ".join(w(0)[:57] + ["other"])), (21, " ".join(w(9))), (22, "short"), (23, " ".join(w(8) + w(7)))]
+    df = spark.createDataFrame(docs, "id long, text string")
+    got = {r.id: (r.cluster, r.size) for r in K.near_clusters(df).collect()}
+    assert got == {i: (i % 4, 3 if i % 4 == 0 else 2) for i in range(8)} | {20: (0, 3), 21: (21, 1), 22: (22, 1), 23: (23, 1)}
+    found = {r.kind: (r.planted, r.recall) for r in K.planted_recall(df, 1).collect()}
+    assert found == {"exact": (11, 1.0), "near": (11, 1.0)}
+    left, audit = K.prepared(df, spark.createDataFrame([(1, " ".join(w(9)[:50]))], "id long, text string"), 10)
+    assert [r.documents for r in audit.orderBy("place").collect()] == [12, 11, 7, 6, 5]
+    assert {r.id for r in left.collect()} == {0, 1, 2, 3, 23}
+
+
+def test_components_of_strings(spark):
+    from orefield.operators.graph import components
+
+    edges = [("d", "c"), ("c", "b"), ("b", "a"), ("z", "y"), ("m", "m")]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "y": "y", "z": "y"}
+
+
+def test_fitted_pipeline_is_saved_and_replayed(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from orefield.operators.mlfeatures import eigen_spectrum, table_pipeline
+
+    train = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "c string, x double")
+    table_pipeline(["c"], ["x"]).fit(train).write().overwrite().save(str(tmp_path / "m"))
+    new = spark.createDataFrame([("b", 5.0), ("unseen", 6.0), (None, 7.0)], "c string, x double")
+    got = [r.features.toArray().tolist() for r in PipelineModel.load(str(tmp_path / "m")).transform(new).collect()]
+    assert got == [[0, 1, 0, 5], [0, 0, 1, 6], [0, 0, 1, 7]]
+    square = spark.createDataFrame([(float(i), float(-2 * i), float(i % 3)) for i in range(30)], "a double, b double, c double")
+    rows = eigen_spectrum(square, ["a", "b", "c"]).orderBy("component").collect()
+    assert abs(sum(r.eigenvalue for r in rows) - 3) < 1e-9 and abs(rows[-1].cumulative - 1) < 1e-9 and abs(rows[-1].eigenvalue) < 1e-6 and rows[0].kaiser
+
+
+def test_hopkins_tells_clusters_from_even_rows(spark):
+    import random
+
+    from orefield.operators.clusters import hopkins
+
+    rng = random.Random(3)
+    even = [(i, rng.random(), rng.random()) for i in range(600)]
+    close = [(i, i % 3 + rng.random() / 50, i % 3 + rng.random() / 50) for i in range(600)]
+    h = [hopkins(spark.createDataFrame(x, "k long, x double, y double"), "k", ["x", "y"]).first().hopkins for x in (even, close)]
+    assert 0.35 < h[0] < 0.65 and h[1] > 0.85
+
+
+def test_rate_intervals_hold_the_rates(spark):
+    from orefield.operators.stats import rate_intervals
+
+    df = spark.createDataFrame([(g, c, int((g * 7 + k) % 10 < (3 if c == "low" else 7))) for g in range(40) for c in ("low", "high") for k in range(5)], "g long, c string, ok int")
+    got = {r.c: r for r in rate_intervals(df, "g", "c", "ok", 100).collect()}
+    assert all(r.low <= r.rate <= r.high for r in got.values()) and got["high"].highest == 1.0 and abs(got["high"].difference + got["low"].difference) < 1e-9
+
+
+def test_minhash_values_agree_like_the_sets(spark):
+    """Of 256 values of two sets with Jaccard 0.5, about half agree, wherever in the arrays the members are."""
+    from pyspark.sql import functions as F
+
+    from orefield.operators import text as K
+
+    df = spark.createDataFrame([(list(range(300)), list(range(400, 99, -1)))], "a array<long>, b array<long>")
+    both = df.select(F.zip_with(K.minhash(F.col("a"), 256), K.minhash(F.col("b"), 256), lambda x, y: (x == y).cast("int")).alias("z")).first().z
+    assert 100 <= sum(both) <= 156
