@@ -47,21 +47,28 @@ def fpgrowth(baskets: DataFrame, support: float, longest: int) -> DataFrame:
 
 
 def apriori(baskets: DataFrame, support: float, longest: int) -> DataFrame:
-    """items, count, level by level: candidates by a prefix self-join, pruned by their subsets, counted by a containment join. Each level is kept."""
+    """items, count, level by level: candidates by a prefix self-join, pruned by their subsets, counted in the baskets. Each level is kept.
+
+    A basket meets the candidates whose first two items it has as a pair, and is checked for the others.
+    """
     baskets = baskets.distinct().persist()
     least = least_count(baskets, support)
-    levels = [frequent_items(baskets, least).select(F.array("item").alias("items"), "count").persist()]
+    single = frequent_items(baskets, least).persist()
+    levels = [single.select(F.array("item").alias("items"), "count")]
+    arrays = baskets.join(single.select("item"), "item", "left_semi").groupBy("basket_id").agg(F.array_sort(F.collect_set("item")).alias("held"))
+    pairs = arrays.select("held", F.posexplode("held").alias("at", "x")).select("held", "x", F.explode(F.slice("held", F.col("at") + 2, F.size("held"))).alias("y")).persist()
     for k in range(2, longest + 1):
         old = levels[-1].select("items")
-        a, b = old.withColumnRenamed("items", "x"), old.withColumnRenamed("items", "y")
-        same = (F.slice("x", 1, k - 2) == F.slice("y", 1, k - 2)) if k > 2 else F.lit(True)
-        candidates = a.join(b, same & (F.element_at("x", -1) < F.element_at("y", -1))).select(F.concat("x", F.slice("y", k - 1, 1)).alias("items"))
+        a = old.select(F.slice("items", 1, k - 2).alias("prefix"), F.element_at("items", -1).alias("p"))
+        candidates = a.join(a.withColumnRenamed("p", "q"), "prefix").filter("p < q").select(F.concat("prefix", F.array("p", "q")).alias("items"))
         for drop in range(k - 2):  # the other two subsets were joined
             subset = F.concat(F.slice("items", 1, drop), F.slice("items", drop + 2, k)) if drop else F.slice("items", 2, k)
             candidates = candidates.withColumn("s", subset).join(old.withColumnRenamed("items", "s"), "s", "left_semi").drop("s")
-        named = candidates.withColumn("set_id", F.array_join("items", "\x1f"))
-        counts = containing(named, baskets).groupBy("set_id").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
-        levels.append(counts.select(F.split("set_id", "\x1f").alias("items"), "count").persist())
+        keyed = candidates.select("items", F.col("items")[0].alias("x"), F.col("items")[1].alias("y"))
+        hits = pairs.join(keyed, ["x", "y"])
+        if k > 2:
+            hits = hits.filter(F.size(F.array_except(F.slice("items", 3, k), "held")) == 0)
+        levels.append(hits.groupBy("items").agg(F.count("*").alias("count")).filter(F.col("count") >= least).persist())
     return reduce(DataFrame.unionByName, levels)
 
 

@@ -19,15 +19,16 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, *, k1: float = 1.5, b: flo
 
     Okapi idf; negative ones are floor times the mean idf. Only postings of terms that a query has are scored.
     """
-    index = terms(docs, "doc_id")
-    lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    size = lengths.agg(F.avg("len").alias("mean"), F.count("*").alias("n"))
+    # texts are taken apart once; the postings carry their document's length
+    apart = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("t"))
+    index = apart.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")).persist()
+    size = index.groupBy("doc_id").agg(F.first("len").alias("len")).agg(F.avg("len").alias("mean"), F.count("*").alias("n"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(size.select("n"))).select("term", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     mean = raw.agg(F.avg("idf").alias("m"))
     idf = raw.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, floor * F.col("m")).otherwise(F.col("idf")).alias("idf"))
     asked = queries.select("query_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    hits = index.join(asked, "term").join(idf, "term").join(lengths, "doc_id").crossJoin(F.broadcast(size.select("mean")))
+    hits = index.join(asked.join(idf, "term"), "term").crossJoin(F.broadcast(size.select("mean")))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
     return top(scores, k)
@@ -59,3 +60,20 @@ def scored(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...]) -> DataFram
     """One row: mean reciprocal rank and recall at each k. gold: query_id, doc_id."""
     hit = gold.join(ranking.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.min("rank").alias("r"))
     return hit.agg(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))).alias("mrr"), *[F.avg(F.coalesce((F.col("r") <= k).cast("double"), F.lit(0.0))).alias(f"recall_{k}") for k in ks])
+
+
+def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, doc_id of documents (doc_id, text) that contain an item's text (query_id, item) as it is.
+
+    Within an item, words between white space are whole words of the document too; so documents meet items by their
+    second to fourth word and are checked then. Items of under five words are looked for in every document.
+    """
+    split = lambda c: F.split(c, r"\s+")
+    w = split(F.col("item"))
+    keyed = items.withColumn("key", F.when(F.size(w) >= 5, F.array_join(F.slice(w, 2, 3), " ")))
+    words = docs.select("doc_id", split(F.col("text")).alias("w")).filter(F.size("w") >= 3)
+    grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("key"))
+    met = grams.join(keyed.filter("key is not null").select("key", "query_id"), "key").select("doc_id", "query_id").distinct()
+    checked = met.join(docs, "doc_id").join(items, "query_id").filter(F.contains("text", F.col("item"))).select("query_id", "doc_id")
+    short = docs.join(keyed.filter("key is null"), F.contains("text", F.col("item"))).select("query_id", "doc_id")
+    return checked.unionByName(short)

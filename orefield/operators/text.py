@@ -11,7 +11,7 @@ from ..functions.scalars import bound, hash_form, shingles
 
 def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, keep_id: the smallest key with the same normal form. The smallest is found by an aggregate that combines first."""
-    hashed = docs.select(key, F.sha1(hash_form(F.col(text)).cast("binary")).alias("_h"))
+    hashed = docs.select(key, F.sha1(hash_form(F.col(text)).cast("binary")).alias("_h")).persist()  # read twice
     return hashed.join(hashed.groupBy("_h").agg(F.min(key).alias("keep_id")), "_h").select(key, "keep_id")
 
 

@@ -257,5 +257,5 @@ def r3_fusion(t: Tables) -> DataFrame:
 
 @query(f"WITH {_BM25}, g AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)), h AS (SELECT g.query_id, min(rank) FILTER (WHERE rank <= 20) AS r FROM g LEFT JOIN bm ON bm.query_id = g.query_id AND bm.doc_id = g.doc_id GROUP BY 1) SELECT round(avg(coalesce(1 / r, 0)), 8) AS mrr, round(avg(coalesce((r <= 1)::INT, 0)), 8) AS recall_1, round(avg(coalesce((r <= 10)::INT, 0)), 8) AS recall_10 FROM h")
 def r4_retrieval_scores(t: Tables) -> DataFrame:
-    gold = t.documents.join(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("item")), F.contains("text", F.col("item"))).select("query_id", "doc_id")
+    gold = R.holders(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("item")))
     return R.scored(lexical(t, 20), gold, (1, 10)).select(*[F.round(c, 8).alias(c) for c in ("mrr", "recall_1", "recall_10")])
