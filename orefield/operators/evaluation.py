@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .aggregates import average_rank
+from .ordering import running
 
 
 def regression_scores(df: DataFrame, y: str = "y", p: str = "p", within: float = 120.0) -> DataFrame:
@@ -36,8 +37,7 @@ def class_scores(y: Column, score: Column, threshold: float = 0.5) -> list[Colum
 def curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Per distinct score, from the highest: hits and misses at it and down to it. Rows of one score are one point."""
     by = df.groupBy(score).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return by.select(score, "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    return running(by, [f"-{score}"], {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import aggregates as A
 from ..operators import filters, joins, sampling
+from ..operators.ordering import placed, running
 from .base import Registry, Tables
 
 query = Registry()
@@ -438,8 +439,8 @@ def w9_running_best(t: Tables) -> DataFrame:
 @query("WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, least(floor((sum(n) OVER (ORDER BY n DESC, o_custkey) / (SELECT sum(n) FROM c)) * 10), 9)::INTEGER AS decile FROM c")
 def w11_mass_decile(t: Tables) -> DataFrame:
     c = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy(F.desc("n"), "o_custkey").rowsBetween(Window.unboundedPreceding, 0))
-    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("total")))).select("o_custkey", F.least(F.floor(upto / F.col("total") * 10), F.lit(9)).cast("int").alias("decile"))
+    upto = running(c, ["-n", "o_custkey"], {"upto": F.col("n")})
+    return upto.crossJoin(F.broadcast(c.agg(F.sum("n").alias("total")))).select("o_custkey", F.least(F.floor(F.col("upto") / F.col("total") * 10), F.lit(9)).cast("int").alias("decile"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice <= 100000 THEN 'low' WHEN o_totalprice <= 300000 THEN 'mid' ELSE 'high' END AS band FROM orders")
@@ -481,8 +482,7 @@ def l6_sample(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) WHERE (r - 1) % 10 = 0")
 def l8_every_tenth(t: Tables) -> DataFrame:
-    r = F.row_number().over(Window.orderBy("c_custkey"))
-    return t.customer.select("c_custkey", r.alias("r")).filter("(r - 1) % 10 = 0").select("c_custkey")
+    return placed(t.customer.select("c_custkey"), ["c_custkey"], "r").filter("(r - 1) % 10 = 0").select("c_custkey")
 
 
 @query("WITH c AS (SELECT quantile_cont(epoch_us(o_orderdate), 0.8) AS cut FROM orders) SELECT CASE WHEN epoch_us(o_orderdate) > cut THEN 'test' ELSE 'train' END AS split, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders, c GROUP BY 1")

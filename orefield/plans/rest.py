@@ -15,6 +15,7 @@ from ..operators import patterns as P
 from ..operators import quality as Q
 from ..operators import sampling
 from ..operators import text as K
+from ..operators.ordering import tiled
 from .base import Registry, Tables
 from .corpus import _FREQ, _PLACES, places
 from .mining import _RULES, pair_rules, shown
@@ -64,7 +65,7 @@ def l1_multi_sort(t: Tables) -> DataFrame:
 
 @query("WITH d AS (SELECT ntile(10) OVER (ORDER BY o_totalprice, o_orderkey) AS d FROM orders) SELECT d::INTEGER AS decile, least(count(*), 5) AS picked FROM d GROUP BY 1")
 def l14_decile_probe(t: Tables) -> DataFrame:
-    decile = t.orders.select("o_orderkey", F.ntile(10).over(Window.orderBy("o_totalprice", "o_orderkey")).alias("decile"))
+    decile = tiled(t.orders.select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 10, "decile")
     place = F.row_number().over(Window.partitionBy("decile").orderBy(sampling.hash_order("o_orderkey", 7), "o_orderkey"))
     return decile.withColumn("p", place).filter("p <= 5").groupBy("decile").agg(F.count("*").alias("picked"))
 
