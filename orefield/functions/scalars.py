@@ -112,3 +112,49 @@ def chunks(text: Column, size: int, overlap: int, least: int) -> Column:
 
 def label_pairs(columns: Sequence[str]) -> Column:
     return F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns])
+
+
+def sections(text: Column) -> Column:
+    """Array of (title, body): what follows each line that begins with #, the first without a title called (preamble)."""
+    def part(p: Column, i: Column) -> Column:
+        line = F.substring_index(p, "\n", 1)
+        body = F.when(i == 0, p).otherwise(F.substr(p, F.length(line) + 2))
+        return F.struct(F.when(i == 0, "(preamble)").otherwise(F.btrim(line)).alias("title"), body.alias("body"))
+
+    return F.transform(F.split(F.concat(F.lit("\n"), text), r"\n#+"), part)
+
+
+def cited_chunks(key: Column, text: Column, size: int = 160, overlap: int = 24, least: int = 20) -> Column:
+    """Array of (id, section, text): windows of the words of each section, named key#section#number, with the section's title before them.
+
+    A window that only repeats the end of the one before it is left out.
+    """
+    def of(s: Column) -> Column:
+        n = F.size(F.filter(F.split(s["body"], r"\s+"), lambda w: w != ""))
+        kept = F.filter(chunks(s["body"], size, overlap, least), lambda c: (c["at"] == 0) | (c["at"] + overlap < n))
+        return F.transform(kept, lambda c: F.struct(F.concat_ws("#", key.cast("string"), s["title"], (c["at"] / (size - overlap)).cast("int").cast("string")).alias("id"), s["title"].alias("section"), F.concat(s["title"], F.lit(". "), F.array_join(c["words"], " ")).alias("text")))
+
+    return F.flatten(F.transform(sections(text), of))
+
+
+def reading_grade(text: Column) -> Column:
+    """Struct of sentences, words, syllables, Flesch reading ease (0 to 100) and school grade (1 or more); null without a word or sentence.
+
+    Words are runs of ASCII letters, apostrophes and hyphens. A word has a syllable for each run of vowels, without a last e that no l precedes, and at least one.
+    """
+    def syllables(w: Column) -> Column:
+        low = F.lower(w)
+        silent = (low.endswith("e") & ~low.endswith("le")).cast("int")
+        return F.greatest(F.size(F.regexp_extract_all(low, F.lit("[aeiouy]+"), F.lit(0))) - silent, F.lit(1))
+
+    def counted(words: Column) -> Column:
+        said = F.aggregate(words, F.lit(0), lambda total, w: total + syllables(w))
+        ended = F.size(F.filter(F.split(text, r"[.!?]+"), lambda s: F.btrim(s, F.lit(" \t\n\x0b\x0c\r")) != ""))
+        return F.struct(ended.alias("sentences"), F.size(words).alias("words"), said.alias("syllables"))
+
+    def graded(c: Column) -> Column:
+        length, weight = c["words"] / c["sentences"], c["syllables"] / c["words"]
+        ease = F.greatest(F.least(206.835 - 1.015 * length - 84.6 * weight, F.lit(100.0)), F.lit(0.0))
+        return F.when((c["words"] > 0) & (c["sentences"] > 0), F.struct(c["sentences"].alias("sentences"), c["words"].alias("words"), c["syllables"].alias("syllables"), ease.alias("ease"), F.greatest(0.39 * length + 11.8 * weight - 15.59, F.lit(1.0)).alias("grade")))
+
+    return bound(bound(F.regexp_extract_all(text, F.lit(r"(?U)\b[a-zA-Z'-]+\b"), F.lit(0)), counted), graded)

@@ -156,3 +156,18 @@ def segment_index(df: DataFrame, segment: str, value: str) -> DataFrame:
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
+
+
+def soft_state(events: DataFrame, key: str, order: Sequence[str], kind: str, deleted: Sequence[str], restored: Sequence[str], done: Sequence[str], reopened: Sequence[str]) -> DataFrame:
+    """key, deleted, done: folded from change events, the last of each sort deciding. A row stays in the log when it is deleted."""
+    at = F.struct(*order)
+
+    def last(on, off):
+        return F.coalesce(F.max_by(F.col(kind).isin(list(on)), F.when(F.col(kind).isin([*on, *off]), at)), F.lit(False))
+
+    return events.groupBy(key).agg(last(deleted, restored).alias("deleted"), last(done, reopened).alias("done"))
+
+
+def clear_completed(state: DataFrame) -> DataFrame:
+    """State with what is done deleted too; cleared marks what this deleted."""
+    return state.withColumn("cleared", F.col("done") & ~F.col("deleted")).withColumn("deleted", F.col("deleted") | F.col("done"))

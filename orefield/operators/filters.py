@@ -75,3 +75,9 @@ def search_score(query: str, title: str, notes: str, tags: str) -> Column:
     """3 to 2 by the place in the title, else 2 in the notes, else 1 in a tag; null where it is nowhere."""
     at, q = F.instr(F.lower(F.col(title)), query.lower()), F.lit(query.lower())
     return F.coalesce(F.when(at > 0, 3 - (at - 1) / 1000.0), F.when(F.contains(F.lower(F.col(notes)), q), 2.0), F.when(F.exists(F.col(tags), lambda t: F.contains(F.lower(t), q)), 1.0))
+
+
+def valid(domains: Mapping[str, Sequence], ranges: Mapping[str, tuple]) -> Column:
+    """Whether each column has one of its known values and lies in its half-open range [from, to); null is false."""
+    known = [F.col(c).isin(list(v)) for c, v in domains.items()] + [(F.col(c) >= lo) & (F.col(c) < hi) for c, (lo, hi) in ranges.items()]
+    return F.coalesce(reduce(lambda a, b: a & b, known, F.lit(True)), F.lit(False))

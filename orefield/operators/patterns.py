@@ -246,3 +246,8 @@ class Itemsets:
         if support < self.support or longest > self.longest:
             raise ValueError("asked for more than was mined")
         return self.kept.filter((F.col("count") >= least_count(self.baskets, support)) & (F.size("items") <= longest))
+
+
+def attached(table: DataFrame, report: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rules with columns of a report on them; null where the report doesn't have the rule."""
+    return table.join(report.select("antecedent", "consequent", *columns), ["antecedent", "consequent"], "left")

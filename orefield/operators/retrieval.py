@@ -77,3 +77,10 @@ def holders(docs: DataFrame, items: DataFrame) -> DataFrame:
     checked = met.join(docs, "doc_id").join(items, "query_id").filter(F.contains("text", F.col("item"))).select("query_id", "doc_id")
     short = docs.join(keyed.filter("key is null"), F.contains("text", F.col("item"))).select("query_id", "doc_id")
     return checked.unionByName(short)
+
+
+def overlap(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score, rank of the k documents that hold most of a query's different terms."""
+    asked = terms(queries, "query_id").select("query_id", "term")
+    shared = terms(docs, "doc_id").join(asked, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+    return top(shared, k)

@@ -196,3 +196,13 @@ def bigram_entropy(train: DataFrame, test: DataFrame, text: str = "text") -> Dat
     asked = pairs(test).withColumnRenamed("n", "m").join(known, ["x", "y"], "left").join(firsts, "x", "left").crossJoin(types)  # one row
     nats = -F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("of_x", F.lit(0)) + F.col("types")))
     return asked.agg((F.sum(F.col("m") * nats) / F.sum("m")).alias("nats"), F.sum("m").alias("bigrams"))
+
+
+def repetition(docs: DataFrame, text: str = "text", k: int = 4) -> DataFrame:
+    """One row: k-grams of words, share of those that repeat an earlier one of their text, mean words of a text, types over tokens."""
+    w = docs.select(words(F.col(text)).alias("w"))
+    grams = F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>"))
+    by = w.select(F.size("w").alias("n"), bound(grams, lambda g: F.struct(F.size(g).alias("all"), F.size(F.array_distinct(g)).alias("own"))).alias("g"))
+    one = by.agg(F.sum("g.all").alias("grams"), (F.sum(F.col("g.all") - F.col("g.own")) / F.greatest(F.sum("g.all"), F.lit(1))).alias("repeated"), F.avg("n").alias("mean_words"))
+    types = w.select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n")).agg((F.count("*") / F.greatest(F.sum("n"), F.lit(1))).alias("type_token_ratio"))
+    return one.crossJoin(types)
