@@ -87,8 +87,23 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import as_text, edited_fingerprints, likeness
+
+    out = edited_fingerprints(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("fingerprint")).alias("fingerprint"),
+        as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_mix, op3_simhash, op4_exact_dedup, op5_warc, op6_url_filter, op7_token_count, op8_html_text, op9_toxicity, op10_line_dedup)
+    f.__name__: f for f in (op1_decontamination, op2_mix, op3_simhash, op4_exact_dedup, op5_warc, op6_url_filter, op7_token_count, op8_html_text, op9_toxicity, op10_line_dedup, op11_fingerprints)
 }
 
 _BLANK = r"[\x20\x09-\x0D]"
