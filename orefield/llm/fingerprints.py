@@ -29,7 +29,7 @@ PRIME, BASE = (1 << 31) - 1, 1_000_003
 LOW = (1 << 32) - 1
 WORDS = r"'[^\\x20\\x09-\\x0D]{1,32}'"
 #: Bytes of text in a slot of neighbours; cuts on either of the two levels that deal rows into slots.
-SLOT_BYTES, CUTS = 8 << 20, 512
+SLOT_BYTES, CUTS = 2 << 20, 512
 #: Partitions at most; beyond that each holds several slots.
 MOST_PARTITIONS = 16_384
 

@@ -102,8 +102,15 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import by_component, whitened
+
+    out = by_component(whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_mix, op3_simhash, op4_exact_dedup, op5_warc, op6_url_filter, op7_token_count, op8_html_text, op9_toxicity, op10_line_dedup, op11_fingerprints)
+    f.__name__: f for f in (op1_decontamination, op2_mix, op3_simhash, op4_exact_dedup, op5_warc, op6_url_filter, op7_token_count, op8_html_text, op9_toxicity, op10_line_dedup, op11_fingerprints, op12_whitening)
 }
 
 _BLANK = r"[\x20\x09-\x0D]"
