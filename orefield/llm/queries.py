@@ -109,8 +109,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_mix, op3_simhash, op4_exact_dedup, op5_warc, op6_url_filter, op7_token_count, op8_html_text, op9_toxicity, op10_line_dedup, op11_fingerprints, op12_whitening)
+    f.__name__: f for f in (op1_decontamination, op2_mix, op3_simhash, op4_exact_dedup, op5_warc, op6_url_filter, op7_token_count, op8_html_text, op9_toxicity, op10_line_dedup, op11_fingerprints, op12_whitening, op13_phrases)
 }
 
 _BLANK = r"[\x20\x09-\x0D]"
@@ -129,6 +135,30 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
         FROM n WINDOW w AS (PARTITION BY h)""",
+    "op13_phrases": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece,
+                   regexp_extract_all(p, '[^\x20\x09]+') AS w
+            FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                            '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+        total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+        grams AS (
+            SELECT lang, s AS size, array_to_string(list_slice(w, i, i + s - 1), ' ') AS phrase
+            FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS s) WHERE len(w) >= s)),
+        counted AS (SELECT lang, phrase, any_value(size) AS size, count(*) AS a, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+        cuts AS (SELECT c.*, unnest(range(1, size)) AS k FROM counted c WHERE size > 1),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+            FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+                        JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, k + 1, c.size), ' ')),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        held AS (
+            SELECT lang, array_to_string(list_slice(w, f, f + m - 1), ' ') AS phrase, max(a) AS most
+            FROM (SELECT *, unnest(range(1, size - m + 2)) AS f FROM (SELECT *, unnest(range(2, size)) AS m FROM counted WHERE size > 2))
+            GROUP BY 1, 2),
+        kept AS (SELECT b.* FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase WHERE most IS NULL OR 100 * most::HUGEINT < 80 * b.a::HUGEINT)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN total USING (lang) QUALIFY rank <= 2000""",
     "op10_line_dedup": rf"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
