@@ -1,8 +1,8 @@
 """Phrase collocations by SON partitioning.
 
-Texts are dealt into shards, about SHARD_BYTES each, in the tasks that read them. Every shard is mined whole, phrase length
-by length, at a local support lowered in proportion to its share of a language's words: a phrase of MIN_COUNT in all has
-its share in some shard. What shards find frequent is united, with the counts they found; a phrase that can't reach
+A shard is what one task reads, or as much of it as makes ENTRIES different phrases, counted block by block. Every shard is
+mined whole, phrase length by length, at a local support lowered in proportion to its share of a language's words: a
+phrase of MIN_COUNT in all has its share in some shard. What shards find frequent is united, with the counts they found; a phrase that can't reach
 MIN_COUNT even if it stands just below the local support in all other shards goes, and a longer phrase is mined only where
 both its parts are left. Then all candidates of all lengths are counted exactly over all texts.
 
@@ -30,7 +30,8 @@ from pyspark.sql.window import Window
 from .common import Scratch, ship
 
 MIN_COUNT, LONGEST, TOP, WITHIN = 30, 4, 2000, 80
-SHARD_BYTES, CHUNK_BYTES = 32 << 20, 1 << 20
+#: Bytes of text worked off at once, and taken apart at once; entries that a task holds; words a task reads where there are more tasks than the session has cores for.
+BLOCK_BYTES, CHUNK_BYTES, ENTRIES, TASK_WORDS = 8 << 20, 1 << 20, 1 << 22, 1 << 26
 #: Words of a language up to which shards have a local support of their own, and how many languages at most.
 LARGE, LISTED = 1 << 27, 1000
 FIELD_BITS = 27
@@ -61,7 +62,7 @@ class Field:
 
 
 class _Part:
-    """A shard's texts in one language: words by number."""
+    """A block's texts in one language: words by number."""
 
     def __init__(self) -> None:
         self.vocabulary, self.waiting, self.size, self.numbers = _Vocabulary({BREAK: 0}), [], 0, []
@@ -86,8 +87,8 @@ class _Part:
         return words, np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)), np.concatenate(self.numbers)
 
 
-def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
-    """A task's rows (lang, text) as shards of about most bytes, language by language."""
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+    """A task's rows (lang, text) as blocks of about most bytes, language by language."""
     parts: dict[str, _Part] = {}
     size = 0
     for batch in batches:
@@ -112,36 +113,69 @@ def places(hashes: np.ndarray, numbers: np.ndarray, fields: list[Field]) -> Iter
         yield here, fine
 
 
-def reports(fields: list[Field], listed: dict[str, int], shard: int):
-    """mapInArrow function: each shard's locally frequent phrases of the next length as (lang, hash, count beyond what may hide), and what may hide (no hash)."""
+class _Tally:
+    """Counts by hash of one language in a task, added up over its blocks of text."""
+
+    def __init__(self) -> None:
+        self.words, self.hashes, self.counts = 0, np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def add(self, words: int, hashes: np.ndarray) -> None:
+        found, counts = np.unique(hashes, return_counts=True)
+        both, where = np.unique(np.concatenate([self.hashes, found]), return_inverse=True)
+        self.counts = np.bincount(where, np.concatenate([self.counts, counts]), len(both)).astype(np.int64)
+        self.words, self.hashes = self.words + words, both
+
+
+def reports(fields: list[Field], listed: dict[str, int], block: int, entries: int):
+    """mapInArrow function: each shard's locally frequent phrases of the next length as (lang, hash, count beyond what may hide), and what may hide (no hash).
+
+    A shard is what a task reads until it holds that many entries.
+    """
+
+    def told(lang: str, tally: _Tally) -> pa.RecordBatch:
+        hidden = math.ceil(MIN_COUNT * tally.words / listed[lang]) - 1 if fields and tally.words and lang in listed else 0
+        most = tally.counts > hidden
+        h = pa.concat_arrays([pa.array(tally.hashes[most].view(np.int64)), pa.array([None], pa.int64())])
+        c = pa.array(np.append(tally.counts[most] - hidden, hidden if fields else tally.words).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), h, c], ["lang", "h", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, _, hashes, numbers in shards(batches, shard):
-            words = int((numbers > 0).sum())
+        tallies: dict[str, _Tally] = {}
+        for lang, _, hashes, numbers in blocks(batches, block):
             *_, (here, fine) = places(hashes, numbers, fields)
-            found, counts = np.unique(here[fine], return_counts=True)
-            hidden = math.ceil(MIN_COUNT * words / listed[lang]) - 1 if fields and words and lang in listed else 0
-            found, counts = found[counts > hidden], counts[counts > hidden] - hidden
-            h = pa.concat_arrays([pa.array(found.view(np.int64)), pa.array([None], pa.int64())])
-            c = pa.array(np.append(counts, hidden if fields else words).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), h, c], ["lang", "h", "c"])
+            tallies.setdefault(lang, _Tally()).add(int((numbers > 0).sum()), here[fine])
+            if sum(len(t.hashes) for t in tallies.values()) >= entries:
+                yield from (told(*x) for x in tallies.items())
+                tallies = {}
+        yield from (told(*x) for x in tallies.items())
 
     return run
 
 
-def counts(fields: list[Field], _: dict[str, int], shard: int):
-    """mapInArrow function: each shard's exact counts of all candidates as (lang, phrase, a)."""
+def counts(fields: list[Field], _: dict[str, int], block: int, entries: int):
+    """mapInArrow function: exact counts of all candidates as (lang, phrase, a); a task sends what it has when that many entries are held, and at its end."""
+
+    def told(lang: str, held: dict[bytes, int]) -> pa.RecordBatch:
+        columns = [pa.array([lang] * len(held), pa.string()), pa.array(held.keys(), pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "a"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, hashes, numbers in shards(batches, shard):
+        tallies: dict[str, dict[bytes, int]] = {}
+        for lang, words, hashes, numbers in blocks(batches, block):
+            held = tallies.setdefault(lang, {})
             for n, (here, fine) in enumerate(places(hashes, numbers, fields[:-1]), 1):
                 at = np.flatnonzero(fine & fields[n - 1].has(here))
                 key = numbers[at].astype(np.int64)
                 for j in range(1, n):  # numbers of the phrases, exact at each length
                     key = (np.unique(key, return_inverse=True)[1] if j > 1 else key) * len(words) + numbers[at + j]
                 _, first, a = np.unique(key, return_index=True, return_counts=True)
-                phrases = [b" ".join([words[w] for w in numbers[p : p + n]]) for p in at[first].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(a.astype(np.int64))], ["lang", "phrase", "a"])
+                for p, count in zip(at[first].tolist(), a.tolist()):
+                    phrase = b" ".join([words[w] for w in numbers[p : p + n].tolist()])
+                    held[phrase] = held.get(phrase, 0) + count
+            if sum(map(len, tallies.values())) >= entries:
+                yield from (told(*x) for x in tallies.items())
+                tallies = {}
+        yield from (told(*x) for x in tallies.items())
 
     return run
 
@@ -156,7 +190,7 @@ def _field(hashes: DataFrame, n: int) -> Field:
     return Field(bits, words)
 
 
-def counted_phrases(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", shard: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+def counted_phrases(docs: DataFrame, scratch: Scratch, text: str = "text", lang: str = "lang", block: int = BLOCK_BYTES, entries: int = ENTRIES) -> tuple[DataFrame, DataFrame]:
     """Exact counts (lang, phrase, a) of all phrases of 1 to LONGEST words with at least MIN_COUNT, and (lang, n) of all words."""
     spark = docs.sparkSession
     ship(spark)
@@ -165,10 +199,12 @@ def counted_phrases(docs: DataFrame, scratch: Scratch, text: str = "text", lang:
     listed: dict[str, int] = {}
     for n in range(1, LONGEST + 1):
         sent = spark.sparkContext.broadcast(fields)
-        reported = rows.mapInArrow(_with(reports, sent, listed, shard), "lang string, h long, c long").groupBy("lang", "h").agg(F.sum("c").alias("c"))
+        reported = rows.mapInArrow(_with(reports, sent, listed, block, entries), "lang string, h long, c long").groupBy("lang", "h").agg(F.sum("c").alias("c"))
         small = F.col("lang").isin(list(listed)) if listed else F.lit(False)
         united = scratch.written(reported.filter(F.col("h").isNull() | small | (F.col("c") >= MIN_COUNT)), f"united{n}")
         if n == 1:
+            words = united.filter("h is null").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+            rows = rows.coalesce(max(2 * spark.sparkContext.defaultParallelism, words // TASK_WORDS))
             total = united.filter("h is null").select("lang", F.col("c").alias("n"))
             listed = {r.lang: r.n for r in total.filter((F.col("n") <= LARGE) & (F.col("n") >= MIN_COUNT)).orderBy(F.desc("n"), "lang").limit(LISTED).collect()}
             left = united.filter(F.col("h").isNotNull() & (F.col("c") >= MIN_COUNT))
@@ -177,25 +213,25 @@ def counted_phrases(docs: DataFrame, scratch: Scratch, text: str = "text", lang:
             left = united.filter("h is not null").join(hidden, "lang").filter(F.col("c") >= MIN_COUNT - F.col("hidden"))
         fields = [*fields, _field(left, left.count())]
     sent = spark.sparkContext.broadcast(fields)
-    exact = rows.mapInArrow(_with(counts, sent, listed, shard), "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    exact = rows.mapInArrow(_with(counts, sent, listed, block, entries // 4), "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
     return scratch.written(exact.filter(F.col("a") >= MIN_COUNT), "counted"), total
 
 
-def _with(make, sent, listed: dict[str, int], shard: int):
-    return lambda batches: make(sent.value, listed, shard)(batches)
+def _with(make, sent, listed: dict[str, int], block: int, entries: int):
+    return lambda batches: make(sent.value, listed, block, entries)(batches)
 
 
 def _words(first: Column, n: Column) -> Column:
     return F.array_join(F.slice("words", first, n), " ")
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP, shard: int = SHARD_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP, block: int = BLOCK_BYTES, entries: int = ENTRIES) -> DataFrame:
     """Each language's first phrases by score: lang, rank, phrase, a, l, r, n, score.
 
     A cut of a phrase scores floor(2000000 a / (l + r)), l and r being the counts of its parts; the lowest cut counts, of
     equal ones the one after the fewest words. A phrase goes where a longer one that holds it has WITHIN percent of its count.
     """
-    counted, total = counted_phrases(docs, Scratch(docs.sparkSession, "phrases"), text, lang, shard)
+    counted, total = counted_phrases(docs, Scratch(docs.sparkSession, "phrases"), text, lang, block, entries)
     split = counted.withColumn("words", F.split("phrase", " ")).withColumn("size", F.size("words")).filter("size > 1")
     cuts = split.select("lang", "phrase", "a", "words", "size", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     parts = cuts.select("lang", "phrase", "a", "k", _words(F.lit(1), F.col("k")).alias("first"), _words(F.col("k") + 1, F.col("size") - F.col("k")).alias("rest"))

@@ -45,15 +45,15 @@ def corpus(seed=4, n=700):
     return out + [(None, "en"), ("", "xx"), ("rare words only", "yy")] + [("same text again and again", "zz")] * 40
 
 
-@pytest.mark.parametrize(("shard", "large", "bits"), [(32 << 20, 1 << 27, 27), (2000, 1 << 27, 27), (2000, 0, 27), (9000, 1 << 27, 6)])
-def test_same_as_one_dictionary(spark, monkeypatch, shard, large, bits):
+@pytest.mark.parametrize(("block", "entries", "large", "bits"), [(8 << 20, 1 << 22, 1 << 27, 27), (2000, 1, 1 << 27, 27), (2000, 1, 0, 27), (1000, 3000, 1 << 27, 6)])
+def test_same_as_one_dictionary(spark, monkeypatch, block, entries, large, bits):
     from orefield.llm import phrases as ph
 
     monkeypatch.setattr(ph, "LARGE", large)
     monkeypatch.setattr(ph, "FIELD_BITS", bits)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(rows)], DOCS).repartition(5)
-    got = {tuple(r) for r in ph.collocations(docs, shard=shard).collect()}
+    got = {tuple(r) for r in ph.collocations(docs, block=block, entries=entries).collect()}
     assert got == plain(rows) and len(got) > 20
 
 
