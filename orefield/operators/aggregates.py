@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from .filters import unpivoted
 from .ordering import running
+from .quantiles import column_quantiles, quantiles
 
 
 def average_rank(df: DataFrame, column: str, out: str, partition: Sequence[str] = ()) -> DataFrame:
@@ -94,16 +95,17 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def top_share(df: DataFrame, column: str, top: float) -> DataFrame:
     """One row: what share of the column's total the rows above its (1 - top) quantile hold."""
-    cut = df.agg(F.percentile(column, F.lit(1 - top)).alias("cut"))
+    cut = quantiles(df, column, [1 - top]).select(F.col("quantiles")[0].alias("cut"))
     return df.crossJoin(F.broadcast(cut)).agg(F.first("cut").alias("cut"), F.round(F.sum(F.when(F.col(column) >= F.col("cut"), F.col(column))) / F.sum(column), 6).alias("share"))
 
 
 def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: n, mean, sd, percentiles 5/25/50/75/95, skewness and excess kurtosis (population)."""
     def of(c):
-        q = F.percentile(c, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
+        q = F.first(f"_{c}")
         return F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), *[q[i].alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))], F.skewness(c).alias("skewness"), F.kurtosis(c).alias("kurtosis"))
-    return df.agg(F.array(*[of(c) for c in columns]).alias("x")).select(F.inline("x"))
+    cuts = column_quantiles(df, columns, (0.05, 0.25, 0.5, 0.75, 0.95))
+    return df.select(*columns).crossJoin(F.broadcast(cuts)).agg(F.array(*[of(c) for c in columns]).alias("x")).select(F.inline("x"))
 
 
 def two_periods(df: DataFrame, dimension: str, value: str, first: Column, second: Column) -> DataFrame:

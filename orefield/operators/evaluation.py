@@ -10,15 +10,18 @@ from pyspark.sql.window import Window
 
 from .aggregates import average_rank
 from .ordering import running
+from .quantiles import column_quantiles, quantiles
 
 
 def regression_scores(df: DataFrame, y: str = "y", p: str = "p", within: float = 120.0) -> DataFrame:
-    """RMSLE (predictions held at 0), MAE, median error, RMSE, R2 and the share within a bound, in one aggregate."""
+    """RMSLE (predictions held at 0), MAE, median error, RMSE, R2 and the share within a bound: one aggregate, and an exact median beside it."""
     e, held = F.col(p) - F.col(y), F.greatest(F.col(p), F.lit(0.0))
-    return df.agg(
-        F.sqrt(F.avg((F.log1p(held) - F.log1p(y)) ** 2)).alias("rmsle"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+    middle = quantiles(df.select(F.abs(e).alias("e")), "e", [0.5]).agg(F.first(F.col("quantiles")[0]).alias("medae"))
+    one = df.agg(
+        F.sqrt(F.avg((F.log1p(held) - F.log1p(y)) ** 2)).alias("rmsle"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         (1 - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"), F.avg((F.abs(e) <= within).cast("double")).alias("within"),
     )
+    return one.crossJoin(middle).select("rmsle", "mae", "medae", "rmse", "r2", "within")  # one row each
 
 
 def class_scores(y: Column, score: Column, threshold: float = 0.5) -> list[Column]:
@@ -72,7 +75,8 @@ def _under(column: str):
 
 def population_stability(expected: DataFrame, actual: DataFrame, columns: Sequence[str], bins: int = 10, eps: float = 1e-4) -> DataFrame:
     """column, psi: shares by the expected table's quantile bins. Both tables are read once each for all columns."""
-    cuts = expected.agg(*[F.array_distinct(F.percentile(c, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).alias(f"_{c}") for c in columns])
+    edges = column_quantiles(expected, columns, [i / bins for i in range(1, bins)])
+    cuts = edges.select(*[F.array_distinct(f"_{c}").alias(f"_{c}") for c in columns])
 
     def shares(df, name):
         rows = df.select(*columns).crossJoin(F.broadcast(cuts))
@@ -147,13 +151,13 @@ def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def imputed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Median in place of nulls, with a flag column for each."""
-    medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in columns])
+    medians = column_quantiles(df, columns, [0.5]).select(*[F.col(f"_{c}")[0].alias(f"_{c}") for c in columns])
     both = df.crossJoin(F.broadcast(medians))
     return both.withColumns({f"{c}_was_missing": F.col(c).isNull().cast("int") for c in columns}).withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
 def winsorised(df: DataFrame, columns: Sequence[str], low: float, high: float) -> DataFrame:
-    bounds = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in columns])
+    bounds = column_quantiles(df, columns, [low, high])
     return df.crossJoin(F.broadcast(bounds)).withColumns({c: F.least(F.greatest(F.col(c), F.col(f"_{c}")[0]), F.col(f"_{c}")[1]) for c in columns}).drop(*[f"_{c}" for c in columns])
 
 

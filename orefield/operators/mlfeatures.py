@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import quantiles
+
 
 def yeo_johnson(x: Column, lam: float) -> Column:
     up = F.log1p(x) if abs(lam) < 1e-9 else (F.pow(x + 1, F.lit(lam)) - 1) / lam
@@ -53,8 +55,8 @@ def impact_range(base: Column, low: float, mid: float, high: float) -> Column:
 
 def conformal(df: DataFrame, y: str, p: str, group: str, low: float, high: float) -> DataFrame:
     """group, lo, hi: residual quantiles per group of a calibration table."""
-    q = F.percentile(F.col(y) - F.col(p), F.array(F.lit(low), F.lit(high)))
-    return df.groupBy(group).agg(q[0].alias("lo"), q[1].alias("hi"))
+    off = quantiles(df.select(group, (F.col(y) - F.col(p)).alias("off")), "off", [low, high], [group])
+    return off.select(group, F.col("quantiles")[0].alias("lo"), F.col("quantiles")[1].alias("hi"))
 
 
 def coverage(df: DataFrame, bounds: DataFrame, y: str, p: str, group: str) -> DataFrame:

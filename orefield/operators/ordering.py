@@ -19,8 +19,8 @@ def _in_order(name: str, order: str) -> Column:
     return F.col(name).desc_nulls_last() if order.startswith("-") else F.col(name).asc_nulls_first()
 
 
-def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], parts: int = 64) -> DataFrame:
-    """df with running sums down to each row, itself included, in the order of the columns ("-name" falls; null comes before all numbers).
+def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], parts: int = 64, least: Mapping[str, Column] | None = None) -> DataFrame:
+    """df with running sums, and running minima of what is in least, down to each row, itself included, in the order of the columns ("-name" falls; null comes before all numbers).
 
     Quantiles of the first two columns, numbers or times, deal the rows into slots. A value that many rows share is itself a
     quantile and is split further by the second column. Slots are summed apart, and only their totals, at most
@@ -31,13 +31,19 @@ def running(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], par
     cuts = df.agg(*[F.array_distinct(F.percentile_approx(n, at)).alias(f"_c{i}") for i, n in enumerate(names[:2])])
     dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_s0", _slot(F.col(names[0]), F.col("_c0")))
     second = F.when(F.pmod("_s0", F.lit(2)) == 1, _slot(F.col(names[1]), F.col("_c1"))).otherwise(0) if len(names) > 1 else F.lit(0)
-    dealt = dealt.withColumn("_s1", second).withColumns({f"_v{i}": v for i, v in enumerate(sums.values())})
+    folds = {**{out: (value, F.sum) for out, value in sums.items()}, **{out: (value, F.min) for out, value in (least or {}).items()}}
+    dealt = dealt.withColumn("_s1", second).withColumns({f"_v{i}": v for i, (v, _) in enumerate(folds.values())})
     above = Window.orderBy(*[_in_order(s, o) for s, o in zip(("_s0", "_s1"), order)]).rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("_s0", "_s1").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))])
-    before = totals.select("_s0", "_s1", *[F.coalesce(F.sum(f"_t{i}").over(above), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))])
+    totals = dealt.groupBy("_s0", "_s1").agg(*[fold(f"_v{i}").alias(f"_t{i}") for i, (_, fold) in enumerate(folds.values())])
+    before = totals.select("_s0", "_s1", *[fold(f"_t{i}").over(above).alias(f"_b{i}") for i, (_, fold) in enumerate(folds.values())])
     inside = Window.partitionBy("_s0", "_s1").orderBy(*[_in_order(n, o) for n, o in zip(names, order)]).rowsBetween(Window.unboundedPreceding, 0)
-    upto = [(F.col(f"_b{i}") + F.sum(f"_v{i}").over(inside)).alias(out) for i, out in enumerate(sums)]
-    return dealt.join(F.broadcast(before), ["_s0", "_s1"]).select(*df.columns, *upto)
+
+    def upto(i: int, fold) -> Column:
+        here = fold(f"_v{i}").over(inside)
+        return F.coalesce(F.col(f"_b{i}"), F.lit(0)) + here if fold is F.sum else F.least(F.col(f"_b{i}"), here)
+
+    found = [upto(i, fold).alias(out) for i, (out, (_, fold)) in enumerate(folds.items())]
+    return dealt.join(F.broadcast(before), ["_s0", "_s1"]).select(*df.columns, *found)
 
 
 def placed(df: DataFrame, order: Sequence[str], out: str = "place") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
@@ -10,8 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.measures import measured
+from ..functions.measures import MEASURES, Table, measured
+from ..functions.special import fisher_right
+from ..sources.shared import written
+from .aggregates import average_rank
 from .joins import containing
+from .quantiles import quantiles
+from .stats import corrected
 
 
 def least_count(baskets: DataFrame, support: float) -> int:
@@ -128,21 +134,52 @@ def recounted(sets: DataFrame, baskets: DataFrame, name: str) -> DataFrame:
 
 
 def holdout(table: DataFrame, baskets: DataFrame) -> DataFrame:
-    """Rules with their counts, confidence, lift and leverage on other baskets: h11, h1, hm1, hn, h_confidence ..."""
-    n = baskets.select("basket_id").distinct().count()
-    whole = table.withColumn("items", F.array_sort(F.concat("antecedent", "consequent")))
-    sets = whole.select("items").union(table.select("antecedent")).union(table.select("consequent"))
-    counts = recounted(sets, baskets, "h").select(F.col("items").alias("s"), "h")
+    """Rules with their counts, confidence, lift and leverage on baskets that they weren't mined from: h11, h1, hm1, hn, h_confidence ..."""
+    n = baskets.select("basket_id").distinct().agg(F.count("*").alias("hn"))
+    whole = written(table.withColumn("items", F.array_sort(F.concat("antecedent", "consequent"))), "rules")
+    sets = whole.select(F.explode(F.array("items", "antecedent", "consequent")).alias("items"))
+    counts = written(recounted(sets, baskets, "h").select(F.col("items").alias("s"), "h"), "counts")
     out = whole
     for column, name in (("items", "h11"), ("antecedent", "h1"), ("consequent", "hm1")):
         out = out.join(counts.select(F.col("s").alias(column), F.col("h").alias(name)), column, "left")
-    out = out.drop("items").withColumn("hn", F.lit(n).cast("long"))
-    from ..functions.measures import MEASURES, Table
-
+    out = out.drop("items").crossJoin(F.broadcast(n))
     t = Table("h11", "h1", "hm1", "hn")
     return out.select("*", *[MEASURES[m](t).alias(f"h_{m}") for m in ("confidence", "lift", "leverage")])
 
 
+def replicated(report: DataFrame, confidence: float, lift: float, least: int = 5, alpha: float = 0.05, method: str = "bh") -> DataFrame:
+    """holdout's rows with h_p and h_q (Fisher's right tail there, corrected), replicated (least baskets there, confidence and lift reached) and validated (and h_q at most alpha)."""
+    p = written(report.withColumn("h_p", fisher_right(*map(F.col, ("h11", "h1", "hm1", "hn")))), "holdout")
+    q = corrected(p, "h_p", method).withColumnRenamed("q", "h_q")
+    held = (F.col("h11") >= least) & (F.col("h_confidence") >= confidence) & (F.col("h_lift") >= lift)
+    return q.withColumn("replicated", held).withColumn("validated", held & (F.col("h_q") <= alpha))
+
+
+def holdout_report(judged: DataFrame, baskets: DataFrame, least: int = 5) -> DataFrame:
+    """One row about replicated's rules, which also have confidence and lift of the baskets they were mined from.
+
+    coverage: share of baskets in which a rule fires at all (its antecedent is there); firing_precision: share of firings
+    whose consequent is there too; drift is holdout less mining; lifts are ranked with ties at their average, and the correlation
+    of ranks that are all equal is 0.
+    """
+    rules = written(judged, "judged").withColumns({c: F.round(c, 12) for c in ("lift", "h_lift")}).withColumn("id", F.concat_ws("\x1f", F.concat_ws("\x1e", "antecedent"), F.concat_ws("\x1e", "consequent")))
+    fires = containing(rules.select("antecedent").distinct().select(F.concat_ws("\x1e", "antecedent").alias("set_id"), F.col("antecedent").alias("items")), baskets)
+    covered = fires.select("basket_id").distinct().agg(F.count("*").alias("fired"))
+    ranks = average_rank(rules.select("id", "lift"), "lift", "r").join(average_rank(rules.select("id", "h_lift"), "h_lift", "hr"), "id")
+    middle = quantiles(rules, "h_p", [0.5]).select(F.col("quantiles")[0].alias("median_h_p"))
+    total, share = F.count("*"), lambda c: F.count_if(c) / F.count("*")
+    drift = F.col("h_confidence") - F.col("confidence")
+    same = F.coalesce(F.try_divide(F.covar_pop("r", "hr"), F.stddev_pop("r") * F.stddev_pop("hr")), F.lit(0.0))
+    one = rules.agg(
+        total.alias("n_rules"), F.max("hn").alias("n_baskets"), F.count_if(F.col("h11") >= least).alias("n_with_least"),
+        F.count_if("replicated").alias("n_replicated"), share(F.col("replicated")).alias("replication_rate"), F.count_if("validated").alias("n_validated"), share(F.col("validated")).alias("validated_rate"),
+        F.try_divide(F.sum("h11"), F.sum("h1")).alias("firing_precision"), F.avg(drift).alias("confidence_drift_mean"), F.avg(F.abs(drift)).alias("confidence_drift_mae"),
+        F.avg(F.col("h_lift") - F.col("lift")).alias("lift_drift_mean"),
+    )
+    out = one.crossJoin(covered).crossJoin(ranks.agg(same.alias("lift_rank_spearman"))).crossJoin(middle)  # one row each
+    return out.withColumn("coverage", F.try_divide("fired", "n_baskets")).drop("fired")
+
+
 def recommend(table: DataFrame, baskets: DataFrame, k: int) -> DataFrame:
     """Per basket the k items not in it that rules whose antecedent it holds point to, by the best rule's confidence."""
     keyed = table.select(rule_label().alias("set_id"), F.col("antecedent").alias("items"), "consequent", "confidence")
@@ -201,8 +238,6 @@ def productive(table: DataFrame, itemsets: DataFrame, alpha: float = 0.05) -> Da
 
     table: antecedent, consequent, n11, n1, m1, n. itemsets: items, count of all frequent sets.
     """
-    from ..functions.special import fisher_right
-
     counts = itemsets.select("items", "count")
     row = table.select("antecedent", "consequent", "n11", "n1", "m1", "n", F.explode("antecedent").alias("x"))
     row = row.withColumn("rest", F.array_remove("antecedent", F.col("x"))).withColumn("with_rest", F.array_sort(F.concat(F.array_remove("antecedent", F.col("x")), "consequent")))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import column_quantiles
+
 
 def _rows(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
     return df.agg(F.array(*structs).alias("_x")).select(F.inline("_x"))
@@ -51,7 +53,9 @@ def freshness(df: DataFrame, ts: str, as_of: str, most_days: int) -> DataFrame:
 
 def outliers(df: DataFrame, columns: Sequence[str], k: float = 1.5, z: float = 3.0) -> DataFrame:
     """column, fences, how many lie outside them and how many beyond z standard deviations."""
-    stats = df.agg(*[F.struct(F.percentile(c, F.lit(0.25)).alias("q1"), F.percentile(c, F.lit(0.75)).alias("q3"), F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"_{c}") for c in columns])
+    quarters = column_quantiles(df, columns, [0.25, 0.75], "q_")
+    moments = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(f"m_{c}") for c in columns])
+    stats = quarters.crossJoin(moments).select(*[F.struct(F.col(f"q_{c}")[0].alias("q1"), F.col(f"q_{c}")[1].alias("q3"), f"m_{c}.m", f"m_{c}.s").alias(f"_{c}") for c in columns])
     both = df.select(*columns).crossJoin(F.broadcast(stats))
 
     def of(c):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import quantiles
+
 
 def hash_order(key: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.col(key))
@@ -26,7 +28,8 @@ def random_split(df: DataFrame, test: float, key: str, seed: int = 7) -> DataFra
 
 def temporal_split(df: DataFrame, ts: str, test: float) -> DataFrame:
     """The newest share is test. The cut is a timestamp, so rows of one instant are never parted."""
-    cut = df.agg(F.percentile(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(1 - test)).alias("_cut"))
+    at = df.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    cut = quantiles(at, "at", [1 - test]).agg(F.first(F.col("quantiles")[0]).alias("_cut"))
     late = F.unix_micros(F.col(ts).cast("timestamp")) > F.col("_cut")
     return df.crossJoin(F.broadcast(cut)).withColumn("split", F.when(late, "test").otherwise("train")).drop("_cut")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as X
 from ..operators import retrieval as R
 from ..operators import text as K
+from ..operators.quantiles import quantiles
 from .base import Registry, Tables
 
 query = Registry()
@@ -173,7 +174,9 @@ def k6_leaks(t: Tables) -> DataFrame:
 @query("SELECT lang, count(*) AS docs, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes, quantile_cont(length(text), 0.5) AS p50, quantile_cont(length(text), 0.95) AS p95 FROM documents GROUP BY 1")
 def k8_profile(t: Tables) -> DataFrame:
     n = F.length("text")
-    return t.documents.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(n).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"), F.percentile(n, F.lit(0.5)).alias("p50"), F.percentile(n, F.lit(0.95)).alias("p95"))
+    sums = t.documents.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(n).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
+    found = quantiles(t.documents.select("lang", n.alias("n")), "n", [0.5, 0.95], ["lang"]).withColumnRenamed("lang", "_lang")
+    return sums.join(found, F.col("lang").eqNullSafe(F.col("_lang")), "left").select("lang", "docs", "chars", "bytes", F.col("quantiles")[0].alias("p50"), F.col("quantiles")[1].alias("p95"))
 
 
 _FREQ = r"f AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '\s+')) AS token FROM documents) WHERE token <> '' GROUP BY 1)"

@@ -14,6 +14,8 @@ from .base import Registry, Tables
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 SUPPORT = 0.014
+#: What a rule must reach in other baskets, and the share of false findings allowed there.
+CONFIDENCE, LIFT, ALPHA = 0.1, 1.0, 0.05
 
 _B = "b AS (SELECT DISTINCT l_orderkey AS k, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey)"
 _SETS = f"""{_B}, n AS (SELECT count(DISTINCT k) AS n FROM b), least AS (SELECT ceil({SUPPORT} * n) AS c FROM n),
@@ -30,9 +32,9 @@ def baskets(t: Tables) -> DataFrame:
     return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("basket_id"), F.col("p_brand").alias("item")).distinct()
 
 
-def pair_rules(t: Tables) -> DataFrame:
-    """Rules of one item each from the pairs, with counts."""
-    b = baskets(t)
+def pair_rules(t: Tables, half: int | None = None) -> DataFrame:
+    """Rules of one item each from the pairs, with counts; of all baskets, or of those whose number modulo 2 is half."""
+    b = baskets(t) if half is None else baskets(t).filter(F.col("basket_id") % 2 == half)
     return P.rules(P.eclat(b, SUPPORT, 2), b.select("basket_id").distinct().count(), 1)
 
 
@@ -144,15 +146,41 @@ def g7_summary(t: Tables) -> DataFrame:
     return stats.corrected(tested(t), "p", "bonferroni").agg(F.count("*").alias("tests"), F.count_if(F.col("p") <= 0.05).alias("raw"), F.count_if(F.col("q") <= 0.05).alias("bonferroni"))
 
 
-_HALF = "l_orderkey % 2 = {h}"
-_HB = f"""ht AS (SELECT DISTINCT l_orderkey AS k, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 2 = 1), hn AS (SELECT count(DISTINCT k) AS n FROM ht),
+#: Rules of the baskets with even numbers, and counts in those with odd ones.
+_TRAINED = _RULES.replace(" ON l_partkey = p_partkey)", " ON l_partkey = p_partkey WHERE l_orderkey % 2 = 0)", 1)
+_HB = """ht AS (SELECT DISTINCT l_orderkey AS k, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 2 = 1), hn AS (SELECT count(DISTINCT k) AS n FROM ht),
     h1 AS (SELECT i, count(*) AS n FROM ht GROUP BY i), h2 AS (SELECT x.i AS a, y.i AS c, count(*) AS n FROM ht x JOIN ht y ON x.k = y.k AND x.i <> y.i GROUP BY 1, 2)"""
+_REPLICATED = f"""WITH {_TRAINED}, {_HB}, h AS (SELECT r.a, r.c, r.n11 / r.n1 AS confidence, round(r.n11 * r.n / (r.n1 * r.m1), 12) AS lift, coalesce(h2.n, 0) AS n11, coalesce(x.n, 0) AS n1, coalesce(y.n, 0) AS m1, hn.n AS n
+        FROM hn, r LEFT JOIN h2 ON r.a = h2.a AND r.c = h2.c LEFT JOIN h1 x ON x.i = r.a LEFT JOIN h1 y ON y.i = r.c),
+    p AS (SELECT *, n11 / n1 AS h_confidence, round(n11 * n / (n1 * m1), 12) AS h_lift, round({_FISHER}, 9) AS h_p FROM h), k AS (SELECT *, row_number() OVER (ORDER BY h_p) AS k, count(*) OVER () AS tests FROM p),
+    q AS (SELECT *, least(1, min(h_p * tests / k) OVER (ORDER BY h_p DESC)) AS h_q FROM k), v AS (SELECT *, n11 >= 5 AND h_confidence >= {CONFIDENCE} AND h_lift >= {LIFT} AS replicated FROM q),
+    judged AS (SELECT *, replicated AND h_q <= {ALPHA} AS validated FROM v)"""
 
 
-@query(f"WITH {_RULES}, {_HB} SELECT r.a, r.c, coalesce(h2.n, 0) AS h11, coalesce(x.n, 0) AS h1, coalesce(y.n, 0) AS hm1, hn.n AS hn, round(coalesce(h2.n, 0) / x.n, 8) AS h_confidence FROM hn, r LEFT JOIN h2 ON r.a = h2.a AND r.c = h2.c LEFT JOIN h1 x ON x.i = r.a LEFT JOIN h1 y ON y.i = r.c")
-def p13_holdout(t: Tables) -> DataFrame:
+def judged(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Rules mined from half of the baskets and judged in the other half; those baskets."""
     odd = baskets(t).filter("basket_id % 2 = 1")
-    return shown(P.holdout(pair_rules(t), odd), "h11", "h1", "hm1", "hn", F.round("h_confidence", 8).alias("h_confidence"))
+    rules = measured(pair_rules(t, 0), ["confidence", "lift"])
+    held = P.holdout(rules, odd).withColumn("h_lift", F.round("h_lift", 12))
+    return P.replicated(held, CONFIDENCE, LIFT, alpha=ALPHA), odd
+
+
+@query(f"{_REPLICATED} SELECT a, c, n11 AS h11, n1 AS h1, m1 AS hm1, n AS hn, round(h_confidence, 8) AS h_confidence, round(h_lift, 8) AS h_lift, round(h_p, 6) AS h_p, round(h_q, 5) AS h_q, replicated, validated FROM judged")
+def p13_holdout(t: Tables) -> DataFrame:
+    found = judged(t)[0]
+    return shown(found, "h11", "h1", "hm1", "hn", *[F.round(c, d).alias(c) for c, d in (("h_confidence", 8), ("h_lift", 8), ("h_p", 6), ("h_q", 5))], "replicated", "validated")
+
+
+@query(f"""{_REPLICATED}, fired AS (SELECT count(DISTINCT ht.k) AS n FROM ht JOIN judged ON ht.i = judged.a),
+    lr AS (SELECT rank() OVER (ORDER BY lift) + (count(*) OVER (PARTITION BY lift) - 1) / 2 AS x, rank() OVER (ORDER BY h_lift) + (count(*) OVER (PARTITION BY h_lift) - 1) / 2 AS y FROM judged)
+    SELECT count(*) AS n_rules, max(n) AS n_baskets, count(*) FILTER (WHERE n11 >= 5) AS n_with_least, count(*) FILTER (WHERE replicated) AS n_replicated, round(avg(replicated::INT), 8) AS replication_rate,
+        count(*) FILTER (WHERE validated) AS n_validated, round(avg(validated::INT), 8) AS validated_rate, round((SELECT n FROM fired) / max(n), 8) AS coverage, round(sum(n11) / sum(n1), 8) AS firing_precision,
+        round((SELECT corr(x, y) FROM lr), 8) AS lift_rank_spearman, round(avg(h_confidence - confidence), 8) AS confidence_drift_mean, round(avg(abs(h_confidence - confidence)), 8) AS confidence_drift_mae,
+        round(avg(h_lift - lift), 8) AS lift_drift_mean, round(quantile_cont(h_p, 0.5), 6) AS median_h_p FROM judged""")
+def p13_report(t: Tables) -> DataFrame:
+    found, odd = judged(t)
+    out = P.holdout_report(found, odd)
+    return out.select(*[F.round(c, 6 if c == "median_h_p" else 8).alias(c) if kind == "double" else c for c, kind in out.dtypes])
 
 
 @query(f"""WITH {_RULES}, m AS (SELECT a, c, round(n11 / n1, 10) AS conf FROM r WHERE n11 * n / (n1 * m1) >= 0.9), o AS (SELECT b.k AS basket_id, m.c AS item, max(conf) AS confidence FROM b JOIN m ON b.i = m.a ANTI JOIN b x ON x.k = b.k AND x.i = m.c GROUP BY 1, 2),

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..operators import aggregates as A
 from ..operators import filters, joins, sampling
 from ..operators.ordering import placed, running
+from ..operators.quantiles import quantiles
 from .base import Registry, Tables
 
 query = Registry()
@@ -264,7 +265,8 @@ def a1_basic(t: Tables) -> DataFrame:
 
 @query("SELECT l_linestatus, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.01) AS p01, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1")
 def a2_quantiles(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy("l_linestatus").agg(*[F.percentile("l_extendedprice", F.lit(p)).alias(n) for n, p in (("p50", 0.5), ("p01", 0.01), ("p99", 0.99))])
+    found = quantiles(t.lineitem, "l_extendedprice", [0.5, 0.01, 0.99], ["l_linestatus"])
+    return found.select("l_linestatus", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("p50", "p01", "p99"))])
 
 
 @query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1")

@@ -21,7 +21,7 @@ from ..operators.evaluation import regression_scores
 from ..operators.sampling import fold_of
 from .base import Registry, Tables
 from .corpus import _BM25, _NORM, lexical, places
-from .mining import _FISHER, _HB, _RULES, baskets, pair_rules, shown, tested
+from .mining import _FISHER, _HB, _RULES, _TRAINED, baskets, pair_rules, shown, tested
 from .modelling import lines
 
 query = Registry()
@@ -118,9 +118,9 @@ def g4_corrections(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(f"WITH {_RULES}, {_HB} SELECT r.a, r.c, r.n11, coalesce(h2.n, 0) AS h11, round(coalesce(h2.n, 0) / x.n, 8) AS h_confidence FROM r LEFT JOIN h2 ON r.a = h2.a AND r.c = h2.c LEFT JOIN h1 x ON x.i = r.a")
+@query(f"WITH {_TRAINED}, {_HB} SELECT r.a, r.c, r.n11, coalesce(h2.n, 0) AS h11, round(coalesce(h2.n, 0) / x.n, 8) AS h_confidence FROM r LEFT JOIN h2 ON r.a = h2.a AND r.c = h2.c LEFT JOIN h1 x ON x.i = r.a")
 def p14_holdout_columns(t: Tables) -> DataFrame:
-    rules = pair_rules(t)
+    rules = pair_rules(t, 0)
     report = P.holdout(rules, baskets(t).filter("basket_id % 2 = 1"))
     return shown(P.attached(rules, report, ["h11", "h_confidence"]), "n11", "h11", F.round("h_confidence", 8).alias("h_confidence"))
 

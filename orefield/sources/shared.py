@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
@@ -16,3 +16,10 @@ def new_folder(spark: SparkSession, what: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='orefield-')}"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df from a table in a new folder: its lineage ends there, so what follows neither repeats its work nor its plan."""
+    path = new_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
