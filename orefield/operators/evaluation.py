@@ -73,23 +73,36 @@ def _under(column: str):
     return lambda edge: edge < F.col(column)
 
 
-def population_stability(expected: DataFrame, actual: DataFrame, columns: Sequence[str], bins: int = 10, eps: float = 1e-4) -> DataFrame:
-    """column, psi: shares by the expected table's quantile bins. Both tables are read once each for all columns."""
+def quantile_cuts(expected: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """One row: for each column, under its name after "_", the distinct inner edges of the table's quantile bins."""
     edges = column_quantiles(expected, columns, [i / bins for i in range(1, bins)])
-    cuts = edges.select(*[F.array_distinct(f"_{c}").alias(f"_{c}") for c in columns])
+    return edges.select(*[F.array_distinct(f"_{c}").alias(f"_{c}") for c in columns])
+
+
+def bin_counts(df: DataFrame, cuts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, bin, n: how many rows lie in each bin of the cuts."""
+    rows = df.select(*columns).crossJoin(F.broadcast(cuts))  # one row
+    at = [F.struct(F.lit(c).alias("column"), F.size(F.filter(F.col(f"_{c}"), _under(c))).alias("bin")) for c in columns]
+    return rows.select(F.inline(F.array(*at))).groupBy("column", "bin").agg(F.count("*").alias("n"))
+
 
-    def shares(df, name):
-        rows = df.select(*columns).crossJoin(F.broadcast(cuts))
-        at = [F.struct(F.lit(c).alias("column"), F.size(F.filter(F.col(f"_{c}"), _under(c))).alias("bin")) for c in columns]
-        counts = rows.select(F.inline(F.array(*at))).groupBy("column", "bin").agg(F.count("*").alias("n"))
-        total = df.agg(F.count("*").alias("t"))
-        return counts.crossJoin(F.broadcast(total)).select("column", "bin", (F.col("n") / F.col("t")).alias(name))
+def stability(expected: DataFrame, actual: DataFrame, eps: float = 1e-4) -> DataFrame:
+    """column, psi of two tables of bin counts; a share is at least eps."""
+    def shares(counts: DataFrame, name: str) -> DataFrame:
+        total = counts.groupBy("column").agg(F.sum("n").alias("t"))
+        return counts.join(total, "column").select("column", "bin", (F.col("n") / F.col("t")).alias(name))
 
     both = shares(expected, "e").join(shares(actual, "a"), ["column", "bin"], "full_outer")
     e, a = F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(eps)), F.greatest(F.coalesce("a", F.lit(0.0)), F.lit(eps))
     return both.groupBy("column").agg(F.sum((a - e) * F.ln(a / e)).alias("psi"))
 
 
+def population_stability(expected: DataFrame, actual: DataFrame, columns: Sequence[str], bins: int = 10, eps: float = 1e-4) -> DataFrame:
+    """column, psi: shares by the expected table's quantile bins. Both tables are read once each for all columns."""
+    cuts = quantile_cuts(expected, columns, bins)
+    return stability(bin_counts(expected, cuts, columns), bin_counts(actual, cuts, columns), eps)
+
+
 def mean_drift(reference: DataFrame, batch: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, z of the batch's mean against the reference's mean and deviation."""
     a = reference.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns])

@@ -129,7 +129,7 @@ def rule_label(antecedent: str = "antecedent", consequent: str = "consequent") -
 def recounted(sets: DataFrame, baskets: DataFrame, name: str) -> DataFrame:
     """items and how many of the baskets hold them all, under that name; 0 where none does."""
     distinct = sets.select("items").distinct().withColumn("set_id", F.array_join("items", "\x1f"))
-    counts = containing(distinct, baskets.distinct()).groupBy("set_id").agg(F.count("*").alias(name))
+    counts = containing(distinct, baskets).groupBy("set_id").agg(F.count("*").alias(name))
     return distinct.join(counts, "set_id", "left").select("items", F.coalesce(name, F.lit(0)).alias(name))
 
 
@@ -183,9 +183,9 @@ def holdout_report(judged: DataFrame, baskets: DataFrame, least: int = 5) -> Dat
 def recommend(table: DataFrame, baskets: DataFrame, k: int) -> DataFrame:
     """Per basket the k items not in it that rules whose antecedent it holds point to, by the best rule's confidence."""
     keyed = table.select(rule_label().alias("set_id"), F.col("antecedent").alias("items"), "consequent", "confidence")
-    fired = containing(keyed, baskets.distinct()).join(keyed.select("set_id", "consequent", "confidence"), "set_id")
+    fired = containing(keyed, baskets).join(keyed.select("set_id", "consequent", "confidence"), "set_id")
     offered = fired.select("basket_id", F.explode("consequent").alias("item"), "confidence", F.col("set_id").alias("rule"))
-    new = offered.join(baskets.distinct(), ["basket_id", "item"], "left_anti")
+    new = offered.join(baskets, ["basket_id", "item"], "left_anti")
     best = new.groupBy("basket_id", "item").agg(F.max(F.struct("confidence", "rule")).alias("b")).select("basket_id", "item", "b.confidence", "b.rule")
     place = F.row_number().over(Window.partitionBy("basket_id").orderBy(F.desc("confidence"), "item"))
     return best.withColumn("place", place).filter(F.col("place") <= k)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
 from .ordering import running
 from .sampling import hash_order
 
@@ -17,13 +18,15 @@ from .sampling import hash_order
 def benjamini_hochberg(df: DataFrame, p: str, n_tests: int | None = None) -> DataFrame:
     """df with q: p n / rank, and the least of those of all larger p; equal p have the last of their ranks, and a null p has no q.
 
-    Ranks and the minimum from above run over the distinct p in slots, so no task orders all tests.
+    Ranks and the minimum from above run over the distinct p in slots, so no task orders all tests. The table of tests is written, as
+    it is read several times.
     """
+    df = written(df, "tests")
     counts = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
     ranks = running(counts, ["_p"], {"_rank": F.col("_n")})
     n = F.lit(float(n_tests)) if n_tests else F.col("_all")
     raw = ranks.crossJoin(F.broadcast(df.agg(F.count("*").alias("_all")))).withColumn("_raw", F.col("_p") * n / F.col("_rank"))
-    q = running(raw.select("_p", "_raw"), ["-_p"], {}, least={"_q": F.col("_raw")}).select("_p", F.least("_q", F.lit(1.0)).alias("q"))
+    q = running(written(raw.select("_p", "_raw"), "ranks"), ["-_p"], {}, least={"_q": F.col("_raw")}).select("_p", F.least("_q", F.lit(1.0)).alias("q"))
     return df.join(q, F.col(p) == F.col("_p"), "left").drop("_p")
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 LATE = "10 minutes"
@@ -73,10 +76,68 @@ def flagged(windows: DataFrame, baseline: DataFrame, keys: Sequence[str], value:
     return joined.withColumn("z", (F.col(value) - F.col("mean")) / F.col("sd")).filter(F.abs("z") >= z)
 
 
-def upsert_batches(changes: DataFrame, fold: Callable[[DataFrame], DataFrame], read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Keep a latest-state table: each micro-batch is folded with the state before it and written as a new version."""
+class Versions:
+    """A table kept as one version for each epoch of a stream, in a shared folder; of those before the last two nothing is kept."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def _folder(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def epochs(self) -> list[int]:
+        """Epochs whose version is whole."""
+        path, files = self._folder()
+        names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+        whole = lambda n: files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
+        return sorted(int(n.removeprefix("epoch-")) for n in names if n.startswith("epoch-") and whole(n))
+
+    def before(self, epoch: int | None = None) -> DataFrame | None:
+        """The newest version of an epoch before that one; of all without one."""
+        known = [e for e in self.epochs() if epoch is None or e < epoch]
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/epoch-{known[-1]}") if known else None
+
+    def write(self, table: DataFrame, epoch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{self.path}/epoch-{epoch}")
+        path, files = self._folder()
+        for old in [e for e in self.epochs() if e < epoch][:-1]:
+            files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/epoch-{old}"), True)
+
+
+def upsert_batches(changes: DataFrame, fold: Callable[[DataFrame], DataFrame], state: Versions, checkpoint: str) -> StreamingQuery:
+    """Keep a latest-state table: each micro-batch is folded with the version before its epoch and written as that epoch's.
+
+    A batch that is run again after a failure starts from the same version as before and overwrites its own, so nothing is folded in twice.
+    """
     def step(batch: DataFrame, epoch: int) -> None:
-        before = read()
-        write(fold(batch if before is None else before.unionByName(batch, allowMissingColumns=True)), epoch)
+        before = state.before(epoch)
+        state.write(fold(batch if before is None else before.unionByName(batch, allowMissingColumns=True)), epoch)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def running_counters(events: DataFrame, user: str, mark: Column, path: str, checkpoint: str) -> StreamingQuery:
+    """Per user and micro-batch with events of theirs: n and marked since the stream began, from state that Spark keeps by user.
+
+    The state is two numbers a user. Each epoch's rows go into a folder of its own, which a repeated batch overwrites.
+    """
+    counted = events.select(F.col(user).alias("user"), F.coalesce(mark, F.lit(False)).alias("marked"))
+
+    def add(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, marked = state.get if state.exists else (0, 0)
+        for frame in frames:
+            n, marked = n + len(frame), marked + int(frame["marked"].sum())
+        state.update((n, marked))
+        yield pd.DataFrame({"user": [key[0]], "n": [n], "marked": [marked]})
+
+    kind = events.schema[user].dataType.simpleString()
+    rows = counted.groupBy("user").applyInPandasWithState(add, f"user {kind}, n long, marked long", "n long, marked long", "update", GroupStateTimeout.NoTimeout)
+    step = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    return rows.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_counters(spark: SparkSession, path: str, user_type: str) -> DataFrame:
+    """user, n, marked after all epochs that running_counters has written."""
+    rows = spark.read.schema(f"user {user_type}, n long, marked long, epoch long").parquet(path)
+    return rows.groupBy("user").agg(F.max("n").alias("n"), F.max("marked").alias("marked"))
