@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+
 
 def _slot(column: Column, cuts: Column) -> Column:
     """Odd numbers are a cut itself, even ones what lies between two; null is -1."""
@@ -58,3 +60,18 @@ def tiled(df: DataFrame, order: Sequence[str], n: int, out: str = "tile") -> Dat
     edge = (F.col("_n") % n) * (size + 1)
     tile = F.when(r <= edge, F.ceil(r / (size + 1))).otherwise(F.col("_n") % n + F.ceil((r - edge) / F.greatest(size, F.lit(1))))
     return both.withColumn(out, tile.cast("int")).drop("_r", "_n")
+
+
+def running_by_range(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
+    """running for columns of any type that has an order, strings among them: a vocabulary, say.
+
+    Spark deals the rows into ranges of even size and they are written as dealt; ranges are summed apart, and only their
+    totals, a row for each task, are ordered together. The order should tell all rows apart.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumns({"_part": F.spark_partition_id(), **{f"_v{i}": v for i, v in enumerate(sums.values())}}), "ranges")
+    totals = dealt.groupBy("_part").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))])
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("_part").alias("_of"), *[F.coalesce(F.sum(f"_t{i}").over(above), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = [(F.col(f"_b{i}") + F.sum(f"_v{i}").over(inside)).alias(out) for i, out in enumerate(sums)]
+    return dealt.join(F.broadcast(before), F.col("_part") == F.col("_of")).select(*df.columns, *upto)

@@ -16,6 +16,7 @@ from ..functions.special import fisher_right
 from ..sources.shared import written
 from .aggregates import average_rank
 from .joins import containing
+from .ordering import running_by_range
 from .quantiles import quantiles
 from .stats import corrected
 
@@ -32,7 +33,7 @@ def frequent_items(baskets: DataFrame, least: int) -> DataFrame:
 def item_codes(baskets: DataFrame) -> DataFrame:
     """item, count and code: 0 for the most frequent, ties by item."""
     counts = baskets.distinct().groupBy("item").agg(F.count("*").alias("count"))
-    return counts.withColumn("code", F.row_number().over(Window.orderBy(F.desc("count"), "item")) - 1)
+    return running_by_range(counts, [F.desc("count"), F.asc("item")], {"code": F.lit(1)}).withColumn("code", (F.col("code") - 1).cast("int"))
 
 
 def build_baskets(lines: DataFrame, least: int, smallest: int, largest: int) -> DataFrame:

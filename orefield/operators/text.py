@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import bound, hash_form, shingles
+from .ordering import running_by_range
 
 
 def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -75,8 +76,8 @@ def coverage(counts: DataFrame, tops: list[int]) -> DataFrame:
 
 
 def zipf(counts: DataFrame, ranks: list[int]) -> DataFrame:
-    best = counts.orderBy(F.desc("n"), "token").limit(max(ranks)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "token")))
-    return best.filter(F.col("rank").isin(ranks)).select("rank", "token", "n")
+    placed = running_by_range(counts, [F.desc("n"), F.asc("token")], {"rank": F.lit(1)})
+    return placed.filter(F.col("rank").isin(ranks)).select(F.col("rank").cast("int").alias("rank"), "token", "n")
 
 
 def pair_counts(counts: DataFrame) -> DataFrame:

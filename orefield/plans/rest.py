@@ -15,7 +15,7 @@ from ..operators import patterns as P
 from ..operators import quality as Q
 from ..operators import sampling
 from ..operators import text as K
-from ..operators.ordering import tiled
+from ..operators.ordering import running_by_range, tiled
 from .base import Registry, Tables
 from .corpus import _FREQ, _PLACES, places
 from .mining import _RULES, pair_rules, shown
@@ -154,8 +154,7 @@ def b34_extraction_scores(t: Tables) -> DataFrame:
 @query(f"WITH {_FREQ}, r AS (SELECT token, n, sum(n) OVER (ORDER BY n DESC, token) / (SELECT sum(n) FROM f) AS c FROM f) SELECT least(floor(c * 10), 9)::INTEGER AS decile, count(*) AS types, round(avg(length(token)), 8) AS letters FROM r GROUP BY 1")
 def k16_frequency_deciles(t: Tables) -> DataFrame:
     f = K.frequencies(t.documents)
-    upto = F.sum("n").over(Window.orderBy(F.desc("n"), "token").rowsBetween(Window.unboundedPreceding, 0))
-    both = f.withColumn("c", upto).crossJoin(F.broadcast(f.agg(F.sum("n").alias("total"))))
+    both = running_by_range(f, [F.desc("n"), F.asc("token")], {"c": F.col("n")}).crossJoin(F.broadcast(f.agg(F.sum("n").alias("total"))))
     return both.groupBy(F.least(F.floor(F.col("c") / F.col("total") * 10), F.lit(9)).cast("int").alias("decile")).agg(F.count("*").alias("types"), F.round(F.avg(F.length("token")), 8).alias("letters"))
 
 

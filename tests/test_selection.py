@@ -79,3 +79,19 @@ def test_holdout_report_by_hand(spark):
     report = P.holdout_report(judged, o).first()
     assert (report.n_rules, report.n_baskets, report.n_replicated, report.n_validated, report.coverage) == (2, 20, 2, 2, 0.5)
     assert report.firing_precision == pytest.approx(16 / 18) and report.confidence_drift_mean == pytest.approx((1 - 6 / 8 + 0.8 - 6 / 8) / 2)
+
+
+def test_running_sums_over_strings(spark):
+    from pyspark.sql import functions as F
+
+    from orefield.operators.ordering import running_by_range
+
+    r = random.Random(2)
+    rows = [(f"w{i}", r.randint(1, 5)) for i in range(500)] + [(None, 3)]
+    df = spark.createDataFrame(rows, "token string, n long").repartition(5)
+    got = {x.token: (x.rank, x.upto) for x in running_by_range(df, [F.desc("n"), F.asc_nulls_first("token")], {"rank": F.lit(1), "upto": F.col("n")}).collect()}
+    total = 0
+    for place, (token, n) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0] or "")), 1):
+        total += n
+        assert got[token] == (place, total)
+    assert running_by_range(df.limit(0), [F.asc("token")], {"rank": F.lit(1)}).count() == 0
