@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DatetimeType, NumericType
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
 from .filters import unpivoted
-from .ordering import running
+from .ordering import running, running_by_range
 from .quantiles import column_quantiles, quantiles
 
 
@@ -93,6 +94,40 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return correlations(ranked.select(*[F.col(f"_r_{c}").alias(c) for c in columns]), columns)
 
 
+def kendall(df: DataFrame, x: str, y: str, slots: int = 1024) -> DataFrame:
+    """One row: tau, Kendall's tau-b of two columns of any number of values; rows with a null don't count, 0 where a column has one value.
+
+    Distinct values get numbers in their order. As in a merge sort, two x meet at the level of the highest bit in which
+    their numbers differ: there one is on the left of its block, the other on the right. A level's blocks are cut into
+    slots of y numbers; weights on the left are added up within a slot, and slot totals before it, at most slots a block.
+    So there are rows times levels of work and no pairs of rows, and no task orders more than a slot.
+    """
+    counts = written(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n")), "kendall")
+    ties = {}
+    for c in ("x", "y"):
+        each = counts.groupBy(c).agg(F.sum("n").alias("t"))
+        ties[c] = written(running_by_range(each, [F.asc(c)], {"place": F.lit(1)}).select(c, (F.col("place") - 1).cast("long").alias(f"r{c}"), "t"), f"kendall-{c}")
+    wide = lambda c: c.cast("decimal(19,0)")
+    pairs = lambda n: wide(n) * wide(n - 1) / 2
+    last_x, last_y = (ties[c].agg(F.max(f"r{c}")).first()[0] or 0 for c in ("x", "y"))
+    placed = counts.join(ties["x"].drop("t"), "x").join(ties["y"].drop("t"), "y").select("rx", "ry", "n")
+    level = F.explode(F.sequence(F.lit(0), F.lit(max(last_x.bit_length() - 1, 0)))).alias("level")
+    rows = placed.select("rx", "ry", "n", level).select("level", F.expr("shiftright(rx, level + 1)").alias("block"), "ry", F.expr(f"ry div {last_y // slots + 1}").alias("slot"), F.expr("shiftright(rx, level) & 1").alias("side"), "n")
+    side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(("l", "r")[s])
+    cells = rows.groupBy("level", "block", "slot", "ry").agg(side(0), side(1))
+    block = Window.partitionBy("level", "block")
+    totals = cells.groupBy("level", "block", "slot").agg(F.sum("l").alias("here"))
+    before = totals.select("level", "block", "slot", F.sum("here").over(block).alias("all"), (F.sum("here").over(block.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("here")).alias("before"))
+    inside = F.sum("l").over(Window.partitionBy("level", "block", "slot").orderBy("ry").rowsBetween(Window.unboundedPreceding, 0))
+    upto = cells.withColumn("inside", inside).join(before, ["level", "block", "slot"]).filter("r > 0")
+    less, more = F.col("before") + F.col("inside") - F.col("l"), F.col("all") - F.col("before") - F.col("inside")
+    s = upto.agg(F.coalesce(F.sum(wide(F.col("r")) * wide(less - more)), F.lit(0)).cast("double").alias("s"))
+    tied = [ties[c].agg(F.coalesce(F.sum(pairs(F.col("t"))), F.lit(0)).cast("double").alias(f"t{c}")) for c in ("x", "y")]
+    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(pairs(F.col("n")).cast("double").alias("all"))
+    one = s.crossJoin(tied[0]).crossJoin(tied[1]).crossJoin(whole)  # one row each
+    return one.select(F.coalesce(F.try_divide("s", F.sqrt(F.col("all") - F.col("tx")) * F.sqrt(F.col("all") - F.col("ty"))), F.lit(0.0)).alias("tau"))
+
+
 def top_share(df: DataFrame, column: str, top: float) -> DataFrame:
     """One row: what share of the column's total the rows above its (1 - top) quantile hold."""
     cut = quantiles(df, column, [1 - top]).select(F.col("quantiles")[0].alias("cut"))

@@ -27,14 +27,16 @@ QUERIES, SQL = query.queries, query.sql
 @query("""WITH c AS (SELECT l_linenumber AS x, l_discount AS y, count(*) AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT sum(a.n * b.n * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM c a, c b), t AS (SELECT sum(n) AS n FROM c),
     tx AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT sum(n) AS n FROM c GROUP BY x)), ty AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT sum(n) AS n FROM c GROUP BY y)) SELECT round(s / sqrt((t.n * (t.n - 1) / 2 - tx.t) * (t.n * (t.n - 1) / 2 - ty.t)), 8) AS tau FROM p, t, tx, ty""")
 def a15_kendall(t: Tables) -> DataFrame:
-    """Tau-b of two columns of few values, by their contingency table: only distinct values meet each other."""
-    c = t.lineitem.groupBy(F.col("l_linenumber").alias("x"), F.col("l_discount").alias("y")).agg(F.count("*").cast("double").alias("n"))
-    d = c.select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("n").alias("m"))
-    s = c.join(d, F.lit(True)).agg((F.sum(F.col("n") * F.col("m") * F.signum(F.col("x") - F.col("u")) * F.signum(F.col("y") - F.col("v"))) / 2).alias("s"))
-    ties = lambda k: c.groupBy(k).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(f"t{k}"))
-    whole = c.agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("all"))
-    one = s.crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(whole)
-    return one.select(F.round(F.col("s") / F.sqrt((F.col("all") - F.col("tx")) * (F.col("all") - F.col("ty"))), 8).alias("tau"))
+    """Tau-b of two columns of few values."""
+    return A.kendall(t.lineitem, "l_linenumber", "l_discount").select(F.round("tau", 8).alias("tau"))
+
+
+@query("""WITH c AS (SELECT o_totalprice AS x, o_orderdate AS y FROM orders), p AS (SELECT sum(CASE WHEN (a.x < b.x) = (a.y < b.y) THEN 1 ELSE -1 END) FILTER (WHERE a.x <> b.x AND a.y <> b.y) / 2 AS s FROM c a, c b),
+    t AS (SELECT count(*) AS n FROM c), tx AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT count(*) AS n FROM c GROUP BY x)), ty AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT count(*) AS n FROM c GROUP BY y))
+    SELECT round(s / sqrt((t.n * (t.n - 1) / 2 - tx.t) * (t.n * (t.n - 1) / 2 - ty.t)), 8) AS tau FROM p, t, tx, ty""")
+def a15_kendall_many(t: Tables) -> DataFrame:
+    """Tau-b of two columns of many values."""
+    return A.kendall(t.orders, "o_totalprice", "o_orderdate").select(F.round("tau", 8).alias("tau"))
 
 
 @query("WITH s AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1), o AS (SELECT *, lag(n) OVER (ORDER BY event_type) AS b FROM s) SELECT event_type, n, round(n / b, 8) AS ratio FROM o")

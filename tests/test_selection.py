@@ -95,3 +95,17 @@ def test_running_sums_over_strings(spark):
         total += n
         assert got[token] == (place, total)
     assert running_by_range(df.limit(0), [F.asc("token")], {"rank": F.lit(1)}).count() == 0
+
+
+@pytest.mark.parametrize("slots", [1024, 3])
+def test_kendall_against_all_pairs(spark, slots):
+    from orefield.operators.aggregates import kendall
+
+    r = random.Random(6)
+    rows = [(v := r.choice([r.random(), float(r.randint(0, 3))]), f"{int(v * 20 + r.randint(0, 9)):03d}") for _ in range(150)]
+    sign = lambda a, b: (a > b) - (a < b)
+    s = sum(sign(a[0], b[0]) * sign(a[1], b[1]) for a, b in itertools.combinations(rows, 2))
+    tied = [sum(a[i] != b[i] for a, b in itertools.combinations(rows, 2)) for i in (0, 1)]
+    df = spark.createDataFrame([*rows, (None, "1"), (1.0, None)], "x double, y string")
+    assert kendall(df, "x", "y", slots).first().tau == pytest.approx(s / (tied[0] * tied[1]) ** 0.5)
+    assert kendall(df.limit(0), "x", "y").first().tau == 0 and kendall(df.filter("x = 1"), "x", "y").first().tau == 0
