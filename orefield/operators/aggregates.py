@@ -7,20 +7,19 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DatetimeType, NumericType
 from pyspark.sql.window import Window
 
 from ..sources.shared import written
 from .filters import unpivoted
-from .ordering import running, running_by_range
+from .ordering import running_by_range
 from .quantiles import column_quantiles, quantiles
 
 
 def average_rank(df: DataFrame, column: str, out: str, partition: Sequence[str] = ()) -> DataFrame:
     """df with the average rank of the column (ties share it). Ranks come from counts per distinct value."""
     counts = df.groupBy(*partition, column).agg(F.count("*").alias("_n"))
-    if not partition and isinstance(counts.schema[column].dataType, (NumericType, DatetimeType)):
-        upto = running(counts, [column], {"_upto": F.col("_n")})
+    if not partition:
+        upto = running_by_range(counts, [F.asc(column)], {"_upto": F.col("_n")})
         return df.join(upto.select(column, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out)), column)
     below = F.sum("_n").over(Window.partitionBy(*partition).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     ranks = counts.select(*partition, column, (below + (F.col("_n") + 1) / 2).alias(out))

@@ -36,9 +36,27 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str]
         same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in names])
         return rows.join(other, same & F.col("_v").between(F.col("lo"), F.col("hi"))).drop(*[f"_r{k}" for k in names])
 
-    whole = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    wanted = F.posexplode(F.array(*[F.lit(float(q)) for q in at])).alias("i", "q")
-    state = kept(whole.select(*names, "n", "lo", "hi", wanted).select(*names, "i", (F.col("q") * (F.col("n") - 1)).alias("k"), "lo", "hi", F.lit(0).cast("long").alias("under"), F.col("n").alias("rows"), F.col("n").alias("open")))
+    grid = F.percentile_approx("_v", [j / PARTS for j in range(PARTS + 1)], 16 * PARTS)
+    # the first cut is one for all quantiles of a group, so it takes a row a group
+    whole = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), grid.alias("g"))
+    k = [F.lit(float(q)) * (F.col("n") - 1) for q in at]
+    cut = lambda i, step: F.element_at("g", F.least(F.greatest(F.floor(k[i] / F.col("n") * PARTS).cast("int") + step, F.lit(1)), F.lit(PARTS + 1)))
+    few = F.col("n") <= held
+    ends = {f"{name}{i}": F.when(few, F.col(end)).otherwise(cut(i, step)) for i in range(len(at)) for name, step, end in (("low", 0, "lo"), ("high", 3, "hi"))}
+    first = kept(whole.select(*names, "n", "lo", "hi", *[v.alias(c) for c, v in ends.items()]))
+    other = first.select(*[F.col(x).alias(f"_r{x}") for x in names], *first.columns[len(names) :])
+    same = reduce(Column.__and__, [F.col(x).eqNullSafe(F.col(f"_r{x}")) for x in names])
+    v = F.col("_v")
+    sums = [f for i in range(len(at)) for f in (F.count_if(v < F.col(f"low{i}")).alias(f"under{i}"), F.count_if(v.between(F.col(f"low{i}"), F.col(f"high{i}"))).alias(f"rows{i}"), F.count_if((v > F.col(f"low{i}")) & (v < F.col(f"high{i}"))).alias(f"open{i}"))]
+    counted = rows.join(other, same).groupBy(*names).agg(*sums, *[F.first(c).alias(c) for c in first.columns[len(names) :]])
+
+    def ranged(i: int) -> Column:
+        """The cut where it holds both order statistics, else the whole."""
+        holds = (F.floor(k[i]) >= F.col(f"under{i}")) & (F.ceil(k[i]) < F.col(f"under{i}") + F.col(f"rows{i}"))
+        parts = {"lo": (f"low{i}", F.col("lo")), "hi": (f"high{i}", F.col("hi")), "under": (f"under{i}", F.lit(0)), "rows": (f"rows{i}", F.col("n")), "open": (f"open{i}", F.col("n"))}
+        return F.struct(F.lit(i).alias("i"), k[i].alias("k"), *[F.when(holds, F.col(new)).otherwise(old).alias(c) for c, (new, old) in parts.items()])
+
+    state = kept(counted.select(*names, F.inline(F.array(*[ranged(i) for i in range(len(at))]))))
     columns = state.columns
     while True:
         wide = (F.col("open") > held) & (F.col("lo") < F.col("hi"))
@@ -46,11 +64,10 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float], by: Sequence[str]
         if todo.isEmpty():
             break
         near = inside(todo)
-        grid = F.percentile_approx("_v", [j / PARTS for j in range(PARTS + 1)], 16 * PARTS)
         cell = F.floor((F.col("k") - F.col("under")) / F.col("rows") * PARTS).cast("int")
         cuts = near.groupBy(*names, "i").agg(grid.alias("g"), *[F.first(c).alias(c) for c in ("k", "lo", "hi", "under", "rows", "open")])
         cuts = kept(cuts.withColumns({"low": F.element_at("g", F.greatest(cell, F.lit(1))), "high": F.element_at("g", F.least(cell + 3, F.lit(PARTS + 1)))}).drop("g"))
-        v, low, high = F.col("_v"), F.col("low"), F.col("high")
+        low, high = F.col("low"), F.col("high")
         counts = inside(cuts).groupBy(*names, "i").agg(
             F.count_if(v < low).alias("below"), F.count_if(v.between(low, high)).alias("new_rows"), F.count_if((v > low) & (v < high)).alias("new_open"), *[F.first(c).alias(c) for c in (*columns[len(names) + 1 :], "low", "high")]
         )
