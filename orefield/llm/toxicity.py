@@ -1,14 +1,15 @@
 r"""Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled texts: one on the windows of ordinary texts, one on those of toxic
-texts. A window is compressed with each, and the pair of lengths is looked up in a table of log odds, which is
-calibrated on labelled texts that no dictionary has seen. A logistic curve over what a document's windows give is its
+Zstandard dictionaries are trained on labelled texts: one on the windows of ordinary texts, one on those of each half of the
+toxic texts. A window is compressed with each; its bare length and the two compressed ones are looked up in a table of log odds, which is
+calibrated on labelled texts that the dictionaries measuring them have not seen. A logistic curve over what a document's windows give is its
 score. Windows are WINDOW_WORDS words, tiled to TILE bytes so that the block is always entropy-coded; they cover all
-words of a text, and each is compressed with both dictionaries.
+words of a text, and each is compressed with all of them.
 
-Most of a toxic text is ordinary. So the toxic dictionary is trained in ROUNDS: the toxic texts are split in two
-halves, and a dictionary of the one half measures the other half's windows. Windows whose pair of lengths is far
-commoner in toxic than in ordinary texts (log odds over PURE) are the toxic text of the next round.
+Most of a toxic text is ordinary. So the toxic texts are split in two halves, and their dictionaries are trained in
+ROUNDS. In each round a dictionary of the one half measures the other half's windows. Windows whose lengths are far commoner in toxic than in ordinary
+texts (log odds over PURE) are the toxic text of the next round. The lengths of the last round, each text measured by
+the half that it isn't in, calibrate the log odds and the curve. A score takes the mean of what both halves give.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,14 @@ from .common import WORD, ship
 SAMPLE = 2000
 WINDOW_WORDS, TILE = 1, 64
 #: Bytes of the dictionaries at most, and at least that much training text for each byte; segments and their parts as zstandard's trainer takes them.
-DICTIONARY, REFINED, TEXT_PER_BYTE, SEGMENT, PART = 65536, 16384, 2, 48, 6
+ORDINARY, TOXIC, REFINED, TEXT_PER_BYTE, SEGMENT, PART = 131072, 65536, 16384, 2, 48, 8
 ROUNDS, PURE = 4, 1.5
+#: Bare lengths (bytes) from here on are one.
+LONGEST = 24
 #: Windows whose log odds a worker remembers, and the longest (in code points) that it remembers.
 KEPT, KEPT_CHARS = 1_000_000, 60
 
-Lengths = tuple[int, int]
+Lengths = tuple[int, int, int]  # bare, under the ordinary dictionary, under the toxic one
 
 
 def windows(text: str, size: int = WINDOW_WORDS) -> list[str]:
@@ -64,7 +68,7 @@ class Ruler:
     def __init__(self, content: bytes):
         held = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_FULLDICT)
         params = zstd.ZstdCompressionParameters(
-            format=zstd.FORMAT_ZSTD1_MAGICLESS, strategy=zstd.STRATEGY_LAZY2, window_log=18, chain_log=15, hash_log=15, search_log=5,
+            format=zstd.FORMAT_ZSTD1_MAGICLESS, strategy=zstd.STRATEGY_LAZY2, window_log=19, chain_log=17, hash_log=17, search_log=5,
             min_match=4, target_length=32, write_content_size=0, write_checksum=0, write_dict_id=0,
         )
         held.precompute_compress(compression_params=params)
@@ -74,29 +78,50 @@ class Ruler:
         return len(self.compress(tiled(window)))
 
 
+def bare(window: str) -> int:
+    return min(len(window.encode()), LONGEST)
+
+
 def tiled(window: str) -> bytes:
     b = f" {window} ".encode()
     return b * max(1, -(-TILE // len(b)))
 
 
 def measured(texts: Iterable[list[str]], ordinary: dict[str, int], toxic: Ruler) -> list[list[Lengths]]:
-    """The pair of lengths of each window of each text; ordinary has the first of them."""
+    """The lengths of each window of each text; ordinary has those under the ordinary dictionary."""
     texts = list(texts)
-    pair = {w: (ordinary[w], toxic.length(w)) for w in set(chain.from_iterable(texts))}
-    return [[pair[w] for w in ws] for ws in texts]
+    found = {w: (bare(w), ordinary[w], toxic.length(w)) for w in set(chain.from_iterable(texts))}
+    return [[found[w] for w in ws] for ws in texts]
+
 
+class Odds:
+    """How much commoner lengths are among the windows of toxic texts, and how much commoner toxic texts with such a window are."""
 
-def log_odds(toxic: list[list[Lengths]], ordinary: list[list[Lengths]]) -> dict[Lengths, float]:
-    """How much commoner a pair of lengths is among the windows of toxic texts."""
-    a, b = Counter(chain.from_iterable(toxic)), Counter(chain.from_iterable(ordinary))
-    n_a, n_b = max(1, sum(a.values())), max(1, sum(b.values()))
-    return {c: float(np.log((a[c] + 2) / n_a / ((b[c] + 2) / n_b))) for c in a.keys() | b.keys()}
+    def __init__(self, toxic: list[list[Lengths]], ordinary: list[list[Lengths]]):
+        self.windows = [Counter(chain.from_iterable(x)) for x in (toxic, ordinary)]
+        self.texts = [Counter(chain.from_iterable(map(set, x))) for x in (toxic, ordinary)]
+        self.n_texts = [len(toxic), len(ordinary)]
 
+    def table(self) -> dict[Lengths, tuple[float, float]]:
+        return self.of(self.windows[0].keys() | self.windows[1].keys())
 
-def document_log_odds(toxic: list[list[Lengths]], ordinary: list[list[Lengths]]) -> dict[Lengths, float]:
-    """How much commoner toxic texts with such a window are."""
-    a, b = (Counter(chain.from_iterable(map(set, x))) for x in (toxic, ordinary))
-    return {c: float(np.log((a[c] + 1) / (len(toxic) + 2) / ((b[c] + 1) / (len(ordinary) + 2)))) for c in a.keys() | b.keys()}
+    def of(self, found: Iterable[Lengths], less: list[Lengths] = (), side: int = 0) -> dict[Lengths, tuple[float, float]]:
+        """Both log odds of the lengths found, without the one text of a side (0 toxic, 1 ordinary) whose lengths are less."""
+        own, n = Counter(less), [max(1, x.total()) for x in self.windows]
+        n_texts = list(self.n_texts)
+        if less:
+            n[side], n_texts[side] = max(1, n[side] - len(less)), n_texts[side] - 1
+        out = {}
+        for c in found:
+            w, t = [x[c] for x in self.windows], [x[c] for x in self.texts]
+            w[side], t[side] = w[side] - own[c], t[side] - (c in own)
+            out[c] = (log((w[0] + 2) / n[0] / ((w[1] + 2) / n[1])), log((t[0] + 1) / (n_texts[0] + 2) / ((t[1] + 1) / (n_texts[1] + 2))))
+        return out
+
+    def features_without(self, text: list[Lengths], side: int) -> list[float]:
+        """What the text's windows give by the log odds of all other texts."""
+        odds = self.of(set(text), text, side)
+        return features([odds[c] for c in text])
 
 
 @dataclass
@@ -105,8 +130,8 @@ class ToxicityModel:
 
     base: float
     ordinary: bytes | None = None
-    toxic: bytes | None = None
-    odds: dict[Lengths, tuple[float, float]] = field(default_factory=dict)
+    toxic: list[bytes] = field(default_factory=list)
+    odds: list[dict[Lengths, tuple[float, float]]] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
     centre: list[float] = field(default_factory=list)
     spread: list[float] = field(default_factory=list)
@@ -115,8 +140,8 @@ class ToxicityModel:
         self.open()
 
     def open(self) -> None:
-        self._kept: dict[str, tuple[float, float]] = {}
-        self._rulers = [Ruler(x) for x in (self.ordinary, self.toxic)] if self.ordinary and self.toxic else []
+        self._kept: dict[str, list[tuple[float, float]]] = {}
+        self._rulers = [Ruler(x) for x in (self.ordinary, *self.toxic)] if self.ordinary and self.toxic else []
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -125,15 +150,16 @@ class ToxicityModel:
         self.__dict__.update(state)
         self.open()
 
-    def lengths(self, window: str) -> Lengths:
-        ordinary, toxic = self._rulers
+    def lengths(self, window: str) -> list[Lengths]:
+        """The window's lengths for each of the toxic dictionaries."""
         b = tiled(window)
-        return len(ordinary.compress(b)), len(toxic.compress(b))
+        ordinary, *toxic = (len(r.compress(b)) for r in self._rulers)
+        return [(bare(window), ordinary, x) for x in toxic]
 
-    def window_odds(self, window: str) -> tuple[float, float]:
+    def window_odds(self, window: str) -> list[tuple[float, float]]:
         x = self._kept.get(window)
         if x is None:
-            x = self.odds.get(self.lengths(window), (0.0, 0.0))
+            x = [odds.get(c, (0.0, 0.0)) for odds, c in zip(self.odds, self.lengths(window))]
             if len(self._kept) < KEPT and len(window) <= KEPT_CHARS:
                 self._kept[window] = x
         return x
@@ -141,7 +167,9 @@ class ToxicityModel:
     def score(self, text: str) -> float:
         if not self.weights:
             return self.base
-        z = (np.array(features(list(map(self.window_odds, windows(text))))) - self.centre) / self.spread
+        by_dictionary = zip(*map(self.window_odds, windows(text))) if WORD.search(text) else [[]]
+        x = np.mean([features(list(odds)) for odds in by_dictionary], axis=0)
+        z = (x - self.centre) / self.spread
         return float(1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -35, 35))))
 
 
@@ -154,41 +182,58 @@ def features(odds: list[tuple[float, float]]) -> list[float]:
     return [by_window.sum(), by_window.mean(), most.sum(), np.log1p(n), np.maximum(by_window, 0).sum() / np.sqrt(n), sum(by_document[-3:])]
 
 
+@dataclass
+class Crossed:
+    """A dictionary of one half of the toxic texts, and the lengths of the other half and of half of the ordinary texts."""
+
+    content: bytes
+    toxic: list[list[Lengths]]
+    ordinary: list[list[Lengths]]
+
+    def odds(self) -> Odds:
+        return Odds(self.toxic, self.ordinary)
+
+
+def crossed(pure: list[list[str]], size: int, toxic: list[list[str]], ordinary: list[list[str]], lengths: dict[str, int]) -> list[Crossed]:
+    """One for each half; none where a half of pure has too little text for a dictionary."""
+    out = []
+    for half in (0, 1):
+        content = dictionary(list(chain.from_iterable(pure[1 - half :: 2])), size)
+        if not content:
+            return []
+        other = Ruler(content)
+        out.append(Crossed(content, measured(toxic[half::2], lengths, other), measured(ordinary[half::2], lengths, other)))
+    return out
+
+
 def train(toxic: list[str], ordinary: list[str], prior: float) -> ToxicityModel:
     """toxic and ordinary: labelled texts; prior: the share of toxic ones among all labelled rows.
 
-    Every second text of each class is for the dictionaries, the others are for calibration.
+    Every second ordinary text is for the ordinary dictionary, the others are for calibration; a toxic text is in one
+    half's dictionary and calibrates the other. The curve sees each text by the log odds of the other texts.
     """
     model = ToxicityModel(prior)
-    fit_t, cal_t, fit_o, cal_o = ([windows(x) for x in half] for half in (toxic[::2], toxic[1::2], ordinary[::2], ordinary[1::2]))
-    model.ordinary = dictionary(list(chain.from_iterable(fit_o)), DICTIONARY)
-    if not model.ordinary:
+    of_t, of_o, cal_o = ([windows(x) for x in texts] for texts in (toxic, ordinary[::2], ordinary[1::2]))
+    model.ordinary = dictionary(list(chain.from_iterable(of_o)), ORDINARY)
+    if not model.ordinary or len(of_t) < 2 or len(cal_o) < 2:
         return model
     ruler = Ruler(model.ordinary)
-    lengths = {w: ruler.length(w) for w in set(chain.from_iterable(chain(fit_t, cal_t, cal_o)))}
-    pure, size = fit_t, DICTIONARY
-    for _ in range(ROUNDS):
-        chosen: list[list[str]] = [[] for _ in fit_t]
-        for half in (0, 1):
-            content = dictionary(list(chain.from_iterable(pure[half::2])), size)
-            if not content:
-                break
-            other = Ruler(content)
-            pairs = measured(fit_t[1 - half :: 2], lengths, other)
-            odds = log_odds(pairs, measured(cal_o[half::2], lengths, other))
-            chosen[1 - half :: 2] = [[w for w, x in zip(ws, p) if odds[x] > PURE] for ws, p in zip(fit_t[1 - half :: 2], pairs)]
-        if not content or not dictionary(list(chain.from_iterable(chosen)), REFINED):
+    lengths = {w: ruler.length(w) for w in set(chain.from_iterable(chain(of_t, cal_o)))}
+    pure, size, last = of_t, TOXIC, []
+    for _ in range(ROUNDS + 1):
+        found = crossed(pure, size, of_t, cal_o, lengths)
+        if not found:
             break
-        pure, size = chosen, REFINED
-    model.toxic = dictionary(list(chain.from_iterable(pure)), size)
-    if not model.toxic or not cal_t or not cal_o:
+        last, pure, size = found, [[] for _ in of_t], REFINED
+        for half, x in enumerate(last):
+            odds = x.odds().table()
+            pure[half::2] = [[w for w, c in zip(ws, sizes) if odds[c][0] > PURE] for ws, sizes in zip(of_t[half::2], x.toxic)]
+    if not last:
         return model
+    model.toxic, model.odds = [x.content for x in last], [x.odds().table() for x in last]
     model.open()
-    seen = [measured(x, lengths, model._rulers[1]) for x in (cal_t, cal_o)]
-    by_window, by_document = log_odds(*seen), document_log_odds(*seen)
-    model.odds = {c: (by_window[c], by_document[c]) for c in by_window}
-    x = np.array([features([model.odds[c] for c in pairs]) for pairs in chain(*seen)])
-    y = np.array([1.0] * len(cal_t) + [0.0] * len(cal_o))
+    rows = [(odds.features_without(text, side), 1.0 - side) for x in last for odds in [x.odds()] for side, texts in enumerate((x.toxic, x.ordinary)) for text in texts]
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     model.centre, model.spread = x.mean(0).tolist(), (x.std(0) + 1e-6).tolist()
     model.weights = logistic((x - model.centre) / model.spread, y, prior)
     return model
@@ -252,7 +297,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text: str = "text"
     """
     spark = docs.sparkSession
     ship(spark)
-    handle = spark.sparkContext.broadcast(model)  # two dictionaries and a table of pairs of lengths: under 300 KB
+    handle = spark.sparkContext.broadcast(model)  # three dictionaries and tables of lengths: under 500 KB
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return rows.mapInArrow(scored(handle, id(model) ^ random.getrandbits(60)), f"id {kind}, score double").select(F.col("id").alias(key), "score")

@@ -423,26 +423,37 @@ def test_toxicity_measures_every_window_with_both_dictionaries():
     text = "Lorem, JERKFACE! ipsum_1 dolor\nnumbskull " + "x" * 5000
     assert windows(text) == ["lorem", "jerkface", "ipsum_1", "dolor", "numbskull", "x" * 5000]
     assert windows("a b c d e", 2) == ["a b", "c d", "e"]
-    for content in (model.ordinary, model.toxic):
+    for content in (model.ordinary, *model.toxic):
         assert zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_FULLDICT).dict_id()  # trained, not raw
     for w in windows(text):
         b = f" {w} ".encode()
         b *= max(1, -(-TILE // len(b)))
         plain = []
-        for content in (model.ordinary, model.toxic):
-            params = zstd.ZstdCompressionParameters(format=zstd.FORMAT_ZSTD1_MAGICLESS, strategy=zstd.STRATEGY_LAZY2, window_log=18, chain_log=15, hash_log=15, search_log=5, min_match=4, target_length=32, write_content_size=0, write_checksum=0, write_dict_id=0)
+        for content in (model.ordinary, *model.toxic):
+            params = zstd.ZstdCompressionParameters(format=zstd.FORMAT_ZSTD1_MAGICLESS, strategy=zstd.STRATEGY_LAZY2, window_log=19, chain_log=17, hash_log=17, search_log=5, min_match=4, target_length=32, write_content_size=0, write_checksum=0, write_dict_id=0)
             plain.append(len(zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(content), compression_params=params).compress(b)))
-        assert model.lengths(w) == tuple(plain)
+        assert model.lengths(w) == [(min(len(w.encode()), 24), plain[0], x) for x in plain[1:]]
     words = [w for _, t, y in corpus for w in windows(t)]
-    gain = lambda w: model.lengths(w)[0] - model.lengths(w)[1]
+    gain = lambda w: sum(x[1] - x[2] for x in model.lengths(w))
     assert sum(map(gain, ["jerkface", "numbskull", "blockhead"])) / 3 > sum(map(gain, words)) / len(words)
     odds = [model.window_odds(w) for w in windows(text)]
     again = random.Random(3).sample(words, 500)
     for w in again:  # what is remembered is what is measured
-        assert model.window_odds(w) == model.odds.get(model.lengths(w), (0.0, 0.0)) == model.window_odds(w)
+        assert model.window_odds(w) == [odds.get(c, (0.0, 0.0)) for odds, c in zip(model.odds, model.lengths(w))] == model.window_odds(w)
     assert len(odds) == 6
 
 
+def test_toxicity_odds_without_a_text_are_those_of_the_others():
+    from orefield.llm.toxicity import Odds, features
+
+    toxic, ordinary = [[(4, 9, 5), (4, 9, 5), (5, 9, 9)], [(4, 9, 5)], []], [[(5, 9, 9)] * 3, [(6, 8, 9), (5, 9, 9)]]
+    for side, texts in enumerate((toxic, ordinary)):
+        for i, text in enumerate(texts):
+            rest = [[x for j, x in enumerate(y) if (s, j) != (side, i)] for s, y in enumerate((toxic, ordinary))]
+            odds = Odds(*rest).of(set(text))
+            assert Odds(toxic, ordinary).features_without(text, side) == features([odds[c] for c in text])
+
+
 def test_toxicity_without_enough_text():
     from orefield.llm.toxicity import train
 
