@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, ascii_lower, fresh, strip_blanks
 
 N_BATCHES, FAN_IN = 4, 2
+#: Keys drawn at random, between which the batches are cut; where the cuts lie changes no result.
+DRAWN = 4096
 HASH = ["h1", "h2"]
 
 
@@ -66,22 +68,30 @@ class LineRuns:
         return self.write(reduce(DataFrame.unionByName, runs).groupBy(*HASH).agg(F.sum("n").alias("n")), name)
 
 
+def batch_cuts(docs: DataFrame, key: str, n_batches: int) -> list:
+    """Up to n_batches - 1 different keys, ascending, that deal the rows into batches of about one size; any type that can be ordered."""
+    drawn = docs.select(F.col(key).alias("id")).filter("id is not null").orderBy(F.rand(11)).limit(DRAWN)
+    keys = [r["id"] for r in drawn.orderBy("id").collect()]
+    cuts = [keys[len(keys) * i // n_batches] for i in range(1, n_batches)] if keys else []
+    return [x for i, x in enumerate(cuts) if i == 0 or x != cuts[i - 1]]
+
+
 def repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = 40, min_docs: int = 5, n_batches: int = N_BATCHES) -> tuple[DataFrame, DataFrame]:
-    """(holds, frequent): which row's key holds which line hash, once each; and for hashes in min_docs rows or more the largest key."""
+    """(holds, frequent): which row (key, and a hash of its text) holds which line hash, once each; and for hashes in min_docs rows or more the largest key."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
-    cuts = docs.agg(F.percentile_approx(key, [i / n_batches for i in range(1, n_batches)], 1000)).first()[0] or []
+    cuts = batch_cuts(docs, key, n_batches)
     # batch 0 has the largest keys, the last the smallest and those that are null
-    batch = reduce(lambda c, b: c + F.coalesce(F.col("id") <= F.lit(b), F.lit(True)).cast("int"), sorted(set(cuts)), F.lit(0))
+    batch = reduce(lambda c, b: c + F.coalesce(F.col("id") <= F.lit(b), F.lit(True)).cast("int"), cuts, F.lit(0))
     keys = F.array_distinct(F.filter(F.transform(lines_of(F.col(text)), line_key), lambda k: F.length(k) >= min_chars))
     h1, h2 = hashed(F.col("line"))
     holds = scratch.written(
-        docs.select(F.col(key).alias("id"), F.explode(keys).alias("line")).select("id", batch.alias("batch"), h1.alias("h1"), h2.alias("h2")),
+        docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("of_text"), F.explode(keys).alias("line")).select("id", "of_text", batch.alias("batch"), h1.alias("h1"), h2.alias("h2")),
         "holds",
         partition_by="batch",
     )
     runs, first = LineRuns(scratch), []
-    for b in range(len(set(cuts)) + 1):
+    for b in range(len(cuts) + 1):
         of_batch = holds.filter(F.col("batch") == b).groupBy(*HASH).agg(F.count("*").alias("n"), F.max("id").alias("holder"))
         of_batch = scratch.written(of_batch.sortWithinPartitions(*HASH), f"run{b}")
         first.append(scratch.written(runs.unseen(of_batch.select(*HASH, "holder")), f"first{b}"))
@@ -90,7 +100,7 @@ def repeated_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
         runs.add(run)
     counts = runs.all().groupBy(*HASH).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select(*HASH)
     frequent = reduce(DataFrame.unionByName, first).join(counts, HASH)
-    return holds.select("id", *HASH), scratch.written(frequent, "frequent")
+    return holds.select("id", "of_text", *HASH), scratch.written(frequent, "frequent")
 
 
 def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_chars: int = 40, min_docs: int = 5, n_batches: int = N_BATCHES) -> DataFrame:
@@ -98,21 +108,21 @@ def line_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min_
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. Lines whose key has min_chars code points
     or more and is found in min_docs rows or more go, except in the rows with the largest id that holds it. A null
-    or empty text is one empty line. Each row counts as a document; a null id is smaller than any other. Two
+    or empty text is one empty line. Each row counts as a document; a null id is smaller than any other. Keys are of any type that can be ordered. Two
     different keys with the same 128-bit hash count as one. Other columns stay, but for those called kept_lines or
     n_lines; an empty table stays empty; rows that repeat are documents of their own. Rows with one id (null included)
-    lose the same lines, and their dropped hashes are one set. In a row with d dropped keys the filter compares each
+    lose the same lines; those of them with one text share a set of dropped hashes, so no set is larger than a text. In a row with d dropped keys the filter compares each
     line with d hashes, so time grows with lines times d.
     """
-    drop_id, dropped = fresh(docs, "drop_id"), fresh(docs, "dropped")
+    drop_id, drop_text, dropped = (fresh(docs, c) for c in ("drop_id", "drop_text", "dropped"))
     holds, frequent = repeated_lines(docs, text=text, key=key, min_chars=min_chars, min_docs=min_docs, n_batches=n_batches)
     drops = (
         holds.join(frequent, HASH)
         .filter(~F.col("id").eqNullSafe(F.col("holder")))
-        .groupBy(F.col("id").alias(drop_id))
+        .groupBy(F.col("id").alias(drop_id), F.col("of_text").alias(drop_text))
         .agg(F.collect_set(F.struct(*HASH)).alias(dropped))
     )
-    joined = docs.join(drops, F.col(key).eqNullSafe(F.col(drop_id)), "left")
+    joined = docs.join(drops, (F.xxhash64(text) == F.col(drop_text)) & F.col(key).eqNullSafe(F.col(drop_id)), "left")
     lines = lines_of(F.col(text))
 
     def stays(line: Column) -> Column:

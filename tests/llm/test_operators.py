@@ -111,6 +111,22 @@ def test_line_dedup(spark, batches):
     assert line_dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "double", "decimal(20,3)", "binary"])
+def test_line_dedup_of_keys_of_other_types(spark, kind):
+    from pyspark.sql import functions as F
+
+    from orefield.llm.line_dedup import line_dedup
+
+    hot, other = "a line that is long enough to be looked at here", "and one more line that is long enough to be looked at"
+    n = 40
+    keys = {"string": F.format_string("d%03d", "i"), "date": F.date_add(F.lit("2020-01-01"), F.col("i")), "binary": F.format_string("d%03d", "i").cast("binary")}
+    data = [(i, f"{hot}\nown {i}" + (f"\n{other}" if i % 3 == 0 else "")) for i in range(n)] + [(None, f"null {j}\n{hot}") for j in range(30)]
+    docs = spark.createDataFrame(data, "i int, text string").withColumn("doc_id", F.when(F.col("i").isNotNull(), keys.get(kind, F.col("i").cast(kind))))
+    got = Counter((r.i, *r.kept_lines) for r in line_dedup(docs).collect())
+    want = [(i, *([hot] if i == n - 1 else []), f"own {i}", *([other] if i == n - 1 and i % 3 == 0 else [])) for i in range(n)] + [(None, f"null {j}") for j in range(30)]
+    assert got == Counter(want)
+
+
 def test_line_dedup_of_repeated_rows_and_clashing_columns(spark):
     from pyspark.sql import functions as F
 
@@ -118,7 +134,7 @@ def test_line_dedup_of_repeated_rows_and_clashing_columns(spark):
 
     hot = "a line that is long enough to be looked at here"
     data = [(None, f"{hot}\nx", "en", "s", 1)] * 3 + [(4, hot, None, None, None)] * 2 + [(2, f"y\n{hot}", "en", "s", 1)]
-    docs = table(spark, data).withColumns({c: F.lit(c) for c in ("n_lines", "_drops", "_drop_id", "drop_id", "dropped", "id", "line", "batch")})
+    docs = table(spark, data).withColumns({c: F.lit(c) for c in ("n_lines", "_drops", "_drop_id", "drop_id", "drop_text", "of_text", "dropped", "id", "line", "batch")})
     got = line_dedup(docs)
     assert got.columns == [c for c in docs.columns if c != "n_lines"] + ["kept_lines", "n_lines"]
     assert Counter((r.doc_id, *r.kept_lines) for r in got.collect()) == Counter({(None, "x"): 3, (4, hot): 2, (2, "y"): 1})
