@@ -7,8 +7,8 @@ down. Spark adds up the votes per host, and every page is extracted again from t
 path. A page that has none of the paths falls back to its own.
 
 Names and tags that mark menus, forms, comments and the like only weigh: what holds the page's article stays, whatever
-its name is (see Page.judge). Paths whose text is the same on nearly all different pages of a host, and that no page
-votes for, are boilerplate there.
+its name is (see Page.judge). Paths whose text is the same beside nearly all different articles of a host, and that no
+page votes for, are boilerplate there, however long they are.
 """
 
 from __future__ import annotations
@@ -61,8 +61,8 @@ PATH_CHARS = 1000
 WEAK_SHARE, STRONG_SHARE = 0.5, 0.8
 #: Share of what is held that a container must add to be climbed to.
 ADDED = 0.2
-#: Different pages of a host, and the share of them with the same text, that make a path boilerplate; the share of the text of a page that it may have.
-ALIKE_PAGES, ALIKE, ALIKE_TEXT = 5, 0.8, 0.25
+#: Different articles of a host, and the share of them with the same text, that make a path boilerplate.
+ALIKE_PAGES, ALIKE = 5, 0.8
 HASH_BASE = 0x1F3D5B79A2C4E6F1 % ((1 << 61) - 1)
 
 
@@ -297,7 +297,7 @@ class Page:
     def text(self, paths: list[str] = (), boilerplate: list[str] = ()) -> str:
         """Blocks of the containers on the first of the paths that the page has, else of its own best; without boilerplate paths.
 
-        The path of the whole body is only for pages whose own best it is.
+        A page of which boilerplate is all keeps it. The path of the whole body is only for pages whose own best it is.
         """
         own = self.best()
         if own is None:
@@ -309,22 +309,21 @@ class Page:
         chosen = next((on[path] for path in paths if path in on), [own])
         held = {i for e in chosen for i in range(e.start, e.end) if self.alive[i]}
         less = {i for path in boilerplate for e in on.get(path, ()) if e not in chosen for i in range(e.start, e.end)} & held
-        if sum(len(self.blocks[i]) for i in less) <= ALIKE_TEXT * sum(len(self.blocks[i]) for i in held):
-            held -= less
-        return "\n".join(self.blocks[i] for i in sorted(held))
+        return "\n".join(self.blocks[i] for i in sorted(held - less or held))
 
 
 def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each page and container: host, path, hashes of its text and of the page's text, and the score that it votes with."""
+    """For each page and container: host, path, hashes of its text and of the text that the page votes for, and the score that it votes with."""
     for batch in batches:
         rows: list[tuple] = []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1)):
             page = Page(source.as_py())
             best = page.best()
-            whole = xxhash.xxh3_64_intdigest("\n".join(page.blocks)) >> 1
-            rows += [(host, e.path, text, whole, float(page.unlinked(e)) + 1 if e is best else 0.0) for e, text in zip(page.containers, page.digests())]
+            digests = page.digests()
+            article = next((text for e, text in zip(page.containers, digests) if e is best), 0)
+            rows += [(host, e.path, text, article, float(page.unlinked(e)) + 1 if e is best else 0.0) for e, text in zip(page.containers, digests)]
         columns = zip(*rows) if rows else [()] * 5
-        yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()))], names=["host", "path", "text", "page", "score"])
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()))], names=["host", "path", "text", "article", "score"])
 
 
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,12 +336,12 @@ def host_paths(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
     """host, the paths that its pages voted for, best first, and its boilerplate paths.
 
     A path is boilerplate if no page votes for it and it has one and the same text on ALIKE of at least ALIKE_PAGES
-    different pages; copies of a page count once.
+    different articles; pages with the same article count once.
     """
     ship(pages.sparkSession)
     rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    found = rows.mapInArrow(votes, "host string, path string, text long, page long, score double")
-    of_page = found.groupBy("host", "path", "text", "page").agg(F.sum("score").alias("score"))
+    found = rows.mapInArrow(votes, "host string, path string, text long, article long, score double")
+    of_page = found.groupBy("host", "path", "text", "article").agg(F.sum("score").alias("score"))
     of_text = of_page.groupBy("host", "path", "text").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
     of_path = of_text.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("n").alias("n"), F.max("n").alias("most"))
     alike = (F.col("n") >= ALIKE_PAGES) & (F.col("most") >= ALIKE * F.col("n"))

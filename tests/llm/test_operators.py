@@ -744,6 +744,19 @@ def test_what_a_host_repeats_is_no_text(spark):
     assert Counter((r.page_id, r.text) for r in got) == Counter(want)
 
 
+def test_boilerplate_goes_however_long_it_is(spark):
+    from orefield.llm.html_extract import main_texts
+
+    notice, words = "all of this is printed on each page of this host " * 12, "words of the article that tell what has happened "
+    page = lambda i, same: f"<body><div class=post><h1>T{i}</h1><p>{i} {words * 6}</p><div class=x1>{same}</div><p>{words * 5}{i}</p><div class=y>Imprint</div></div></body>"
+    rows = [(i, "http://a.com/x", page(i, notice)) for i in range(12)]
+    rows += [(20 + i, "http://b.com/x", f"<body><div class=post><div class=z>{notice}</div></div><div class=foot>{i}</div></body>") for i in range(6)]
+    got = {r.page_id: r.text for r in main_texts(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"T{i}\n{i} {(words * 6).strip()}\n{words * 5}{i}"
+    assert {got[20 + i] for i in range(6)} == {notice.strip()}  # one article on six pages is no boilerplate
+
+
 def test_consensus_is_what_a_plain_loop_finds(spark):
     import random
     from urllib.parse import urlparse
