@@ -207,25 +207,32 @@ def network(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def swap_null(baskets: DataFrame, rounds: int, seed: int = 7) -> DataFrame:
+#: Baskets that a slot of the swaps has on average; the number of slots grows with the baskets.
+SLOT = 1024
+
+
+def swap_null(baskets: DataFrame, rounds: int, seed: int = 7, slot: int = SLOT) -> DataFrame:
     """Baskets (basket_id, items) after rounds of swaps that keep every basket's size and every item's count.
 
-    Each round pairs baskets in hash order; a pair exchanges one item that only one of them has for one that only the other has.
+    Each round deals the baskets into slots by a hash of its own, and pairs those of a slot in the order of another; a pair
+    exchanges one item that only one of them has for one that only the other has. Each round is written: it is neither
+    repeated nor planned again by the next one.
     """
-    now = baskets.select("basket_id", "items")
+    now = written(baskets.select("basket_id", "items"), "swaps")
+    slots = max(1, -(-now.count() // slot))
     for r in range(rounds):
-        place = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed + r), "basket_id"), F.lit(64))).orderBy(F.xxhash64(F.lit(seed - r - 1), "basket_id"), "basket_id")) - 1
-        dealt = now.withColumn("b", F.pmod(F.xxhash64(F.lit(seed + r), "basket_id"), F.lit(64))).withColumn("p", place)
-        even = dealt.filter("p % 2 = 0").select("b", (F.col("p") / 2).cast("long").alias("h"), F.struct("basket_id", "items").alias("l"))
-        odd = dealt.filter("p % 2 = 1").select("b", ((F.col("p") - 1) / 2).cast("long").alias("h"), F.struct("basket_id", "items").alias("r"))
-        pairs = even.join(odd, ["b", "h"], "full_outer")
+        dealt = now.withColumn("b", F.pmod(F.xxhash64(F.lit(seed + r), "basket_id"), F.lit(slots)))
+        dealt = dealt.withColumn("p", F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64(F.lit(seed - r - 1), "basket_id"), "basket_id")) - 1)
+        # both of a pair have one place, so they come together by an aggregate on the window's own partitioning
+        pair = dealt.groupBy("b", F.floor(F.col("p") / 2).alias("h")).agg(F.array_sort(F.collect_list(F.struct("p", "basket_id", "items"))).alias("x"))
+        pair = pair.select(F.col("x")[0].alias("l"), F.get("x", F.lit(1)).alias("r"))
         only_l, only_r = F.array_except("l.items", "r.items"), F.array_except("r.items", "l.items")
         pick = lambda x: F.element_at(x, (F.pmod(F.xxhash64(F.lit(seed + r), "l.basket_id", "r.basket_id"), F.size(x)) + 1).cast("int"))
-        swap = F.col("l").isNotNull() & F.col("r").isNotNull() & (F.size(only_l) > 0) & (F.size(only_r) > 0)
-        out = pairs.withColumn("x", F.when(swap, pick(only_l))).withColumn("y", F.when(swap, pick(only_r)))
-        change = lambda items, gone, new: F.when(swap, F.array_sort(F.concat(F.array_remove(items, gone), F.array(new)))).otherwise(items)
+        swap = F.col("r").isNotNull() & (F.size(only_l) > 0) & (F.size(only_r) > 0)
+        out = pair.withColumn("x", F.when(swap, pick(only_l))).withColumn("y", F.when(swap, pick(only_r)))
+        change = lambda items, gone, new: F.when(F.col("x").isNotNull(), F.array_sort(F.concat(F.array_remove(items, gone), F.array(new)))).otherwise(items)
         both = F.array(F.struct(F.col("l.basket_id").alias("basket_id"), change(F.col("l.items"), F.col("x"), F.col("y")).alias("items")), F.struct(F.col("r.basket_id").alias("basket_id"), change(F.col("r.items"), F.col("y"), F.col("x")).alias("items")))
-        now = out.select(F.inline(both)).filter("basket_id IS NOT NULL").checkpoint() if baskets.sparkSession.sparkContext.getCheckpointDir() else out.select(F.inline(both)).filter("basket_id IS NOT NULL")
+        now = written(out.select(F.inline(both)).filter("basket_id IS NOT NULL"), "swaps")
     return now
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import bound, hash_form, shingles
+from ..sources.shared import written
 from .ordering import running_by_range
 
 
@@ -28,24 +29,106 @@ def band_keys(signature: Column, bands: int, rows: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(b), F.slice(signature, b * rows + 1, rows)) for b in range(bands)])
 
 
-def near_pairs(left: DataFrame, right: DataFrame, *, bands: int = 16, rows: int = 4, similarity: float = 0.8, k: int = 5) -> DataFrame:
+#: Rows of a band bucket's side that meet in one group; fuller buckets are dealt into blocks of about so many.
+BLOCK = 512
+
+
+def classes(df: DataFrame, k: int) -> DataFrame:
+    """id (the smallest), s (hashed shingles), n (their number) of rows (id, text) with the same shingles."""
+    hashed = F.transform(shingles(hash_form(F.col("text")), k), lambda s: F.xxhash64(s))
+    sets = df.select("id", hashed.alias("s")).withColumn("h", F.xxhash64(F.array_sort("s")))
+    return sets.groupBy("h").agg(F.min("id").alias("id"), F.first("s").alias("s")).select("id", "s", F.size("s").alias("n"))
+
+
+def in_bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """id, n, band, key of classes(): a row for each band of its signature."""
+    return sets.select("id", "n", F.posexplode(bound(minhash(F.col("s"), bands * rows), lambda sig: band_keys(sig, bands, rows))).alias("band", "key"))
+
+
+def in_blocks(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """left (a, ...) with right (b, ...) of the same band and key; each block of a bucket's one side meets each of its other side in a group of their own.
+
+    So a full bucket is many groups of at most about block x block pairs, whose rows are sent as often as the other side has blocks.
+    """
+    bucket = ["band", "key"]
+    of = lambda df, name: df.groupBy(bucket).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = of(left, "of_a").join(of(right, "of_b"), bucket)
+    dealt = lambda c, n: F.pmod(F.xxhash64(F.lit(5), c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = left.join(sizes, bucket).withColumn("i", dealt("a", "of_a")).withColumn("j", every("of_b")).drop("of_a", "of_b")
+    y = right.join(sizes, bucket).withColumn("j", dealt("b", "of_b")).withColumn("i", every("of_a")).drop("of_a", "of_b")
+    return x.join(y, [*bucket, "i", "j"])
+
+
+def verified(pairs: DataFrame, a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
+    """a, b, similarity of pairs (a, n_a, b, n_b) whose sets' Jaccard is at least so high. Sets are looked up by id, and only where their sizes allow it."""
+    may = pairs.filter(F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+    both = may.join(a.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a").join(b.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b")
+    shared = bound(F.size(F.array_intersect("s_a", "s_b")), lambda i: i / (F.size("s_a") + F.size("s_b") - i))
+    return both.select("a", "b", shared.alias("similarity")).filter(F.col("similarity") >= similarity)
+
+
+def near_pairs(left: DataFrame, right: DataFrame, *, bands: int = 16, rows: int = 4, similarity: float = 0.8, k: int = 5, block: int = BLOCK) -> DataFrame:
     """a, b, similarity of pairs (a from left, b from right; key id, text) with Jaccard of (hashed) shingles at least so high.
 
-    Rows with the same shingles are one class before bands are joined, so a group of exact copies meets once.
+    Rows with the same shingles are one class before bands are joined, so a group of exact copies meets once. Full band
+    buckets are dealt into blocks.
+    """
+    a, b = classes(left, k), classes(right, k)
+    ka = in_bands(a, bands, rows).withColumnsRenamed({"id": "a", "n": "n_a"})
+    kb = in_bands(b, bands, rows).withColumnsRenamed({"id": "b", "n": "n_b"})
+    return verified(in_blocks(ka, kb, block).filter("a <> b"), a, b, similarity)
+
+
+def near_links(docs: DataFrame, *, bands: int = 16, rows: int = 4, similarity: float = 0.8, k: int = 5, block: int = BLOCK) -> DataFrame:
+    """node, root: the components of near_pairs(docs, docs), without making all pairs of groups that hang together.
+
+    In buckets of more than block classes, each class is first compared with the bucket's smallest class; then, as long as
+    that joins something, with one drawn anew. After that only pairs of different components are left to compare, and in a
+    bucket only those with a class outside its largest component. What is compared is each bucket once a round and those
+    pairs; none that could join two components is left out.
     """
-    def prepared(df, name):
-        hashed = F.transform(shingles(hash_form(F.col("text")), k), lambda s: F.xxhash64(s))
-        sets = df.select("id", hashed.alias("s")).withColumn("h", F.xxhash64(F.array_sort("s")))
-        rep = sets.groupBy("h").agg(F.min("id").alias("id"), F.first("s").alias("s"))
-        keys = rep.select("id", F.posexplode(bound(minhash(F.col("s"), bands * rows), lambda sig: band_keys(sig, bands, rows))).alias("band", "key"))
-        return rep.select(F.col("id").alias(name), F.col("s").alias(f"s_{name}")), keys
+    from .graph import components
 
-    a, ka = prepared(left, "a")
-    b, kb = prepared(right, "b")
-    met = ka.withColumnRenamed("id", "a").join(kb.withColumnRenamed("id", "b"), ["band", "key"]).filter("a <> b").select("a", "b").distinct()
-    both = met.join(a, "a").join(b, "b")
-    j = F.size(F.array_intersect("s_a", "s_b")) / F.size(F.array_union("s_a", "s_b"))
-    return both.select("a", "b", j.alias("similarity")).filter(F.col("similarity") >= similarity)
+    sets = written(classes(docs, k), "classes")
+    keys = written(in_bands(sets, bands, rows), "bands")
+    bucket, roots = ["band", "key"], None
+
+    def placed(df: DataFrame) -> DataFrame:
+        if roots is None:
+            return df.withColumn("root", F.col("id"))
+        return df.join(roots, F.col("id") == F.col("node"), "left").select("id", "n", *bucket, F.coalesce("root", "id").alias("root"))
+
+    def joined(found: DataFrame) -> bool:
+        """Whether there are such links; components so far count as links from each member to its root."""
+        nonlocal roots
+        found = written(found.select("a", "b"), "links")
+        if found.isEmpty():
+            return False
+        known = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = written(components(known), "roots")
+        return True
+
+    full = written(keys.join(keys.groupBy(bucket).agg(F.count("*").alias("m")).filter(F.col("m") > block).select(*bucket), bucket, "left_semi"), "full")
+    draw, more = 0, not full.isEmpty()
+    while more:
+        own = placed(full)
+        one = F.struct(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("hub_root"))
+        first = F.min_by(one, F.struct(F.xxhash64(F.lit(draw), "id") if draw else F.lit(0).cast("long"), F.col("id")))
+        hubs = own.groupBy(bucket).agg(first.alias("hub")).select(*bucket, "hub.*")
+        star = own.join(hubs, bucket).filter("root <> hub_root").select("a", "n_a", F.col("id").alias("b"), F.col("n").alias("n_b"))
+        more = joined(verified(star, sets, sets, similarity))
+        draw += 1
+    own = written(placed(keys), "placed")
+    sizes = own.groupBy(*bucket, "root").agg(F.count("*").alias("m"))
+    top = sizes.groupBy(bucket).agg(F.max(F.struct("m", "root"))["root"].alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+    open_ = own.join(top, bucket)
+    small = open_.filter("root <> top").select(*bucket, F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    rest = in_blocks(small, open_.select(*bucket, F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "top"), block)
+    rest = rest.filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("top")) | (F.col("a") < F.col("b"))))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"), F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+    joined(verified(rest, sets, sets, similarity))
+    return sets.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0) if roots is None else roots
 
 
 def leaks(train: DataFrame, held: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
@@ -118,14 +201,12 @@ def packed(turns: DataFrame, limit: int, conv: str = "conv_id", role: str = "rol
     return turns.groupBy(conv).agg(F.sum(n).alias("tokens"), F.sum(F.when(F.col(role) == "assistant", n).otherwise(0)).alias("supervised")).withColumn("kept", F.col("tokens") <= limit)
 
 
-def near_clusters(docs: DataFrame, similarity: float = 0.8, k: int = 5) -> DataFrame:
+def near_clusters(docs: DataFrame, similarity: float = 0.8, k: int = 5, block: int = BLOCK) -> DataFrame:
     """id, cluster (the smallest id in it) and its size of every document (id, text): texts that are alike, or alike to one alike."""
-    from .graph import components
-
     hashed = F.transform(shingles(hash_form(F.col("text")), k), lambda s: F.xxhash64(s))
     member = docs.select("id", F.xxhash64(F.array_sort(hashed)).alias("h"))
     rep = member.groupBy("h").agg(F.min("id").alias("rep"))
-    roots = components(near_pairs(docs, docs, similarity=similarity, k=k).select("a", "b"))
+    roots = near_links(docs, similarity=similarity, k=k, block=block)
     named = rep.join(roots, F.col("rep") == F.col("node"), "left").select("h", F.coalesce("root", "rep").alias("cluster"))
     out = member.join(named, "h").select("id", "cluster")
     return out.join(out.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("id", "cluster", "size")

@@ -30,7 +30,7 @@ def test_swaps_keep_sizes_and_counts(spark):
 
     rows = [(b, sorted({f"i{(b * 5 + j * 3) % 11}" for j in range(1 + b % 5)})) for b in range(60)]
     before = spark.createDataFrame(rows, "basket_id long, items array<string>")
-    after = {r.basket_id: r[1] for r in swap_null(before, 4).collect()}
+    after = {r.basket_id: r[1] for r in swap_null(before, 4, slot=16).collect()}
     count = lambda sets: sorted(x for s in sets for x in s)
     assert {b: len(s) for b, s in after.items()} == {b: len(s) for b, s in rows}
     assert count(after.values()) == count(s for _, s in rows) and after != dict(rows)
@@ -210,6 +210,40 @@ def test_near_clusters_planted_copies_and_audit(spark):
     assert {r.id for r in left.collect()} == {0, 1, 2, 3, 23}
 
 
+def test_full_buckets_of_near_copies(spark):
+    import random
+
+    from orefield.operators import text as K
+    from orefield.operators.graph import components
+
+    rng = random.Random(3)
+    docs = []
+    for g in range(3):  # three groups that share a passage, so that they meet in some bands, of copies with words changed
+        base = [f"p{j}" for j in range(40)] + [f"g{g}x{j}" for j in range(60)]
+        for c in range(12):
+            w = list(base)
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(100)] = f"c{c}"
+            docs.append((g * 100 + c, " ".join(w)))
+    df = spark.createDataFrame(docs, "id long, text string")
+    grams = {i: {tuple(t.split()[j : j + 5]) for j in range(96)} for i, t in docs}
+    alike = {(a, b) for a in grams for b in grams if grams[a] != grams[b] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    pairs = {(r.a, r.b) for r in K.near_pairs(df, df).collect()}
+    assert pairs and pairs <= alike and {(r.a, r.b) for r in K.near_pairs(df, df, block=4).collect()} == pairs
+    want = {r.node: r.root for r in components(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    for block in (4, 512):
+        assert {r.node: r.root for r in K.near_links(df, block=block).collect()} == want
+    assert len(set(want.values())) == 3
+
+
+def test_near_links_of_nothing(spark):
+    from orefield.operators.text import near_clusters
+
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "c d")], "id long, text string")
+    assert {r.id: (r.cluster, r.size) for r in near_clusters(df.filter("id <> 2")).collect()} == {1: (1, 1), 3: (3, 1)}
+    assert near_clusters(df.limit(0)).collect() == []
+
+
 def test_components_of_strings(spark):
     from orefield.operators.graph import components
 
