@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,6 +101,61 @@ def eclat(baskets: DataFrame, support: float, longest: int) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
+#: Baskets that a chunk of the bitmaps has on average: a bitmap is a kilobyte.
+CHUNK = 8192
+
+
+def bitmaps(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of the baskets of one chunk: a row for each item with a bit for each basket, set where it holds the item."""
+    place, held = pd.factorize(rows["basket_id"])
+    code, item = pd.factorize(rows["item"], sort=True)
+    cells = np.zeros((len(item), len(held)), dtype=bool)
+    cells[code, place] = True
+    return pd.DataFrame({"chunk": rows["chunk"].iloc[0], "items": [[x] for x in item], "n": cells.sum(axis=1), "bits": [r.tobytes() for r in np.packbits(cells, axis=1)]})
+
+
+def intersected(last: bool):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The sets of one chunk with one prefix, each extended by the last items of those after it, where a basket is left. The last level carries no bits."""
+        rows = rows.assign(end=[x[-1] for x in rows["items"]]).sort_values("end")
+        sets, ends, cells = [list(x) for x in rows["items"]], list(rows["end"]), np.array([np.frombuffer(b, np.uint8) for b in rows["bits"]])
+        items, n, bits = [], [], []
+        for i in range(len(sets) - 1):
+            both = cells[i] & cells[i + 1 :]
+            counts = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
+            for j in np.flatnonzero(counts):
+                items.append(sets[i] + [ends[i + 1 + j]])
+                n.append(counts[j])
+                bits.append(None if last else both[j].tobytes())
+        # with types given, as there may be no row
+        return pd.DataFrame({"chunk": pd.Series(rows["chunk"].iloc[0], range(len(n)), "int32"), "items": pd.Series(items, dtype=object), "n": pd.Series(n, dtype="int64"), "bits": pd.Series(bits, dtype=object)})
+
+    return run
+
+
+def vertical(baskets: DataFrame, support: float, longest: int, chunk: int = CHUNK) -> DataFrame:
+    """items, count as eclat's, from bitmaps: baskets are dealt into chunks, and each item has a bitmap in each chunk.
+
+    A level's sets of one chunk and prefix come together, their bitmaps are intersected and their bits counted; counts are added
+    up over chunks. A task holds a kilobyte for each set of a prefix in one chunk.
+    """
+    rows = written(baskets.distinct(), "baskets")
+    n = rows.select("basket_id").distinct().count()
+    least, chunks = max(1, math.ceil(support * n)), max(1, -(-n // chunk))
+    single = rows.join(frequent_items(rows, least).select("item"), "item", "left_semi")
+    kind = f"chunk int, items array<{baskets.schema['item'].dataType.simpleString()}>, n long, bits binary"
+    level = single.withColumn("chunk", F.pmod(F.xxhash64("basket_id"), F.lit(chunks)).cast("int")).groupBy("chunk").applyInPandas(bitmaps, kind)
+    levels = []
+    for k in range(1, longest + 1):
+        level = written(level, "bitmaps")
+        counts = written(level.groupBy("items").agg(F.sum("n").alias("count")).filter(F.col("count") >= least), "counts")
+        levels.append(counts)
+        if k < longest:
+            kept = level.join(counts.select("items"), "items", "left_semi")
+            level = kept.withColumn("prefix", F.slice("items", 1, k - 1)).groupBy("chunk", "prefix").applyInPandas(intersected(k + 1 == longest), kind)
+    return reduce(DataFrame.unionByName, levels)
+
+
 def subsets(items: Column, longest: int) -> Column:
     """All proper non-empty subsets of at most that many items, in order; for sets of up to about ten items."""
     masks = F.sequence(F.lit(1), (F.pow(F.lit(2.0), F.size(items)) - 2).cast("int"))

@@ -74,9 +74,12 @@ def near_pairs(left: DataFrame, right: DataFrame, *, bands: int = 16, rows: int
     Rows with the same shingles are one class before bands are joined, so a group of exact copies meets once. Full band
     buckets are dealt into blocks.
     """
-    a, b = classes(left, k), classes(right, k)
-    ka = in_bands(a, bands, rows).withColumnsRenamed({"id": "a", "n": "n_a"})
-    kb = in_bands(b, bands, rows).withColumnsRenamed({"id": "b", "n": "n_b"})
+    a = written(classes(left, k), "classes")
+    b = a if right is left else written(classes(right, k), "classes")
+    # read several times: for the sizes of buckets, and to be dealt
+    bands_a = written(in_bands(a, bands, rows), "bands")
+    bands_b = bands_a if right is left else written(in_bands(b, bands, rows), "bands")
+    ka, kb = bands_a.withColumnsRenamed({"id": "a", "n": "n_a"}), bands_b.withColumnsRenamed({"id": "b", "n": "n_b"})
     return verified(in_blocks(ka, kb, block).filter("a <> b"), a, b, similarity)
 
 

@@ -78,6 +78,11 @@ def p6_eclat(t: Tables) -> DataFrame:
     return _joined(P.eclat(baskets(t), SUPPORT, 3))
 
 
+@query(_SETS_SQL)
+def p6_vertical(t: Tables) -> DataFrame:
+    return _joined(P.vertical(baskets(t), SUPPORT, 3))
+
+
 @query(f"WITH {_SETS} SELECT len(items)::INTEGER AS k, count(*) AS itemsets FROM sets GROUP BY 1")
 def p8_levels(t: Tables) -> DataFrame:
     return P.eclat(baskets(t), SUPPORT, 3).groupBy(F.size("items").alias("k")).agg(F.count("*").alias("itemsets"))

@@ -22,7 +22,8 @@ def test_miners_agree(spark, support, longest):
     baskets = spark.createDataFrame(rows, "basket_id long, item string").distinct()
     as_set = lambda df: {(tuple(r.items_), r.n) for r in df.select(F.col("items").alias("items_"), F.col("count").alias("n")).collect()}
     a, e, f = (as_set(m(baskets, support, longest)) for m in (P.apriori, P.eclat, P.fpgrowth))
-    assert a == e == f
+    assert a == e == f == as_set(P.vertical(baskets, support, longest, chunk=7)) == as_set(P.vertical(baskets, support, longest))
+    assert P.vertical(baskets.limit(0), support, longest).collect() == []
 
 
 def test_swaps_keep_sizes_and_counts(spark):
