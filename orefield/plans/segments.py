@@ -20,7 +20,7 @@ from ..operators import text as K
 from ..operators.evaluation import regression_scores
 from ..operators.sampling import fold_of
 from .base import Registry, Tables
-from .corpus import _BM25, _NORM, lexical, places
+from .corpus import _BM25, _NORM, places
 from .mining import _FISHER, _HB, _RULES, _TRAINED, baskets, pair_rules, shown, tested
 from .modelling import lines
 
@@ -172,5 +172,6 @@ def r5_cited_chunks(t: Tables) -> DataFrame:
 @query(f"WITH {_BM25}, o AS (SELECT query_id, doc_id, count(*) AS shared FROM q JOIN i USING (term) GROUP BY 1, 2), orank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, doc_id) AS rank FROM o), u AS (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM orank WHERE rank <= 20), f AS (SELECT query_id, doc_id, round(sum(1 / (60 + rank)), 12) AS score FROM u GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(score, 9) AS score, rank::INTEGER AS rank FROM w WHERE rank <= 10")
 def r3_two_rankings(t: Tables) -> DataFrame:
     """BM25 and the share of a query's different terms, fused."""
-    other = R.overlap(t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 20)
-    return R.fused([lexical(t, 20), other], 10).withColumn("score", F.round("score", 9))
+    docs, queries = t.documents.select("doc_id", "text"), t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    found = R.postings(docs, queries)
+    return R.fused([R.bm25(docs, queries, 20, found=found), R.overlap(docs, queries, 20, found)], 10).withColumn("score", F.round("score", 9))
