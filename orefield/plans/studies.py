@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters as C
 from ..operators import models as M
-from ..operators.evaluation import regression_scores
+from ..operators.evaluation import r_squared
 from ..operators.sampling import fold_of
 from ..streaming.monitor import drift_report
 from .base import Registry, Tables
@@ -59,7 +59,7 @@ def _fit(columns) -> Pipeline:
 
 
 def _r2(scored: DataFrame) -> float:
-    return regression_scores(scored, "l_extendedprice", "prediction").first().r2
+    return r_squared(scored, "l_extendedprice", "prediction").first().r2
 
 
 @query()

@@ -109,3 +109,10 @@ def test_kendall_against_all_pairs(spark, slots):
     df = spark.createDataFrame([*rows, (None, "1"), (1.0, None)], "x double, y string")
     assert kendall(df, "x", "y", slots).first().tau == pytest.approx(s / (tied[0] * tied[1]) ** 0.5)
     assert kendall(df.limit(0), "x", "y").first().tau == 0 and kendall(df.filter("x = 1"), "x", "y").first().tau == 0
+
+
+def test_r_squared_is_one_aggregate(spark):
+    from orefield.operators.evaluation import r_squared, regression_scores
+
+    df = spark.createDataFrame([(float(i), i + (i % 3) * 0.5) for i in range(20)], "y double, p double")
+    assert r_squared(df).first().r2 == pytest.approx(regression_scores(df).first().r2)
