@@ -122,9 +122,11 @@ def x30_validation(t: Tables) -> DataFrame:
 
 @query("WITH h AS (SELECT c_custkey, h.h AS hour, c_acctbal * (1 + ((h.h * 7 + c_custkey) % 24) / 10.0) AS score FROM customer, range(24) h(h)) SELECT c_custkey, arg_max(hour, (score, hour))::INTEGER AS best, arg_min(hour, (score, hour))::INTEGER AS worst FROM h GROUP BY 1")
 def x33_scenarios(t: Tables) -> DataFrame:
-    fan = t.customer.select("c_custkey", "c_acctbal", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
-    scored = fan.withColumn("score", F.col("c_acctbal") * (1 + ((F.col("hour") * 7 + F.col("c_custkey")) % 24) / 10.0))
-    return scored.groupBy("c_custkey").agg(F.max_by("hour", F.struct("score", "hour")).alias("best"), F.min_by("hour", F.struct("score", "hour")).alias("worst"))
+    score = lambda hour: F.col("c_acctbal") * (1 + ((hour * 7 + F.col("c_custkey")) % 24) / 10.0)
+    all_ = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda hour: F.struct(score(hour).alias("score"), hour.alias("hour")))
+    # the best and the worst of a row's 24 are found within the row
+    own = t.customer.select("c_custkey", all_.alias("x")).select("c_custkey", F.array_max("x").alias("best"), F.array_min("x").alias("worst"))
+    return own.groupBy("c_custkey").agg(F.max("best")["hour"].alias("best"), F.min("worst")["hour"].alias("worst"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), 136)) AS pos FROM w) SELECT doc_id, pos AS "at", len(w[pos + 1:pos + 160]) AS words FROM s WHERE len(w[pos + 1:pos + 160]) >= 20""")

@@ -116,3 +116,9 @@ def test_r_squared_is_one_aggregate(spark):
 
     df = spark.createDataFrame([(float(i), i + (i % 3) * 0.5) for i in range(20)], "y double, p double")
     assert r_squared(df).first().r2 == pytest.approx(regression_scores(df).first().r2)
+
+
+def test_scenarios_are_compared_within_the_row(spark):
+    from orefield import catalogue
+
+    assert "explode" not in catalogue.queries()["x33_scenarios"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().lower()
