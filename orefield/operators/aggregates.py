@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,34 +98,81 @@ def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return correlations(ranked.select(*[F.col(f"_r_{c}").alias(c) for c in columns]), columns)
 
 
+#: Points of a range of kendall's, about.
+POINTS = 1 << 16
+
+
+def sign_sums(rows: pa.Table) -> pa.Table:
+    """The sum of sign(a - a') sign(b - b') n n' over all pairs of rows of the same cell (the columns before a, b, n and after the first)."""
+    cells = [c for c in rows.column_names[1:-3]]
+    rows = rows.sort_by([(c, "ascending") for c in [*cells, "a", "b"]])
+    n = rows.column("n").to_numpy()
+    new = np.zeros(len(n), bool)
+    new[0] = True
+    fresh = new.copy()
+    for c in cells:
+        fresh |= _changes(rows.column(c))
+    other = fresh | _changes(rows.column("a"))
+    cell, of_a = np.cumsum(fresh) - 1, np.cumsum(other) - 1
+    of_a -= of_a[np.flatnonzero(fresh)][cell]  # numbers of a within the cell
+    order = rows.append_column("_i", pa.array(np.arange(len(n)))).sort_by([("b", "ascending")])
+    of_b = np.empty(len(n), np.int64)
+    of_b[order.column("_i").to_numpy()] = np.cumsum(_changes(order.column("b")))
+    s = 0
+    by_b = np.lexsort((of_b, cell))
+    for level in range(int(of_a.max()).bit_length()):
+        # two numbers first differ in one bit: there one is on the left of its block, the other on the right
+        at = by_b[np.lexsort((of_a[by_b] >> (level + 1), cell[by_b]))]
+        block = np.append(True, (cell[at][1:] != cell[at][:-1]) | (of_a[at][1:] >> (level + 1) != of_a[at][:-1] >> (level + 1)))
+        tie = block | np.append(True, of_b[at][1:] != of_b[at][:-1])
+        left = np.where(of_a[at] >> level & 1, 0, n[at])
+        upto = np.append(0, np.cumsum(left))
+        starts, ties = np.flatnonzero(block), np.flatnonzero(tie)
+        which, tied = np.cumsum(block) - 1, np.cumsum(tie) - 1
+        less = upto[ties][tied] - upto[starts][which]
+        more = upto[np.append(starts[1:], len(n))][which] - upto[np.append(ties[1:], len(n))][tied]
+        s += int((np.where(of_a[at] >> level & 1, n[at], 0) * (less - more)).sum())
+    return pa.table({"s": pa.array([Decimal(s)], pa.decimal128(38, 0))})
+
+
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value differs from the one before it; not so the first."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    if not len(whole):
+        return np.zeros(0, bool)
+    other = pc.not_equal(whole[1:], whole[:-1])
+    if pa.types.is_floating(whole.type):  # NaN is one value
+        other = pc.and_not(other, pc.and_(pc.is_nan(whole[1:]), pc.is_nan(whole[:-1])))
+    return np.append(False, other.to_numpy(zero_copy_only=False))
+
+
 def kendall(df: DataFrame, x: str, y: str, slots: int = 1024) -> DataFrame:
     """One row: tau, Kendall's tau-b of two columns of any number of values; rows with a null don't count, 0 where a column has one value.
 
-    Distinct values get numbers in their order. As in a merge sort, two x meet at the level of the highest bit in which
-    their numbers differ: there one is on the left of its block, the other on the right. A level's blocks are cut into
-    slots of y numbers; weights on the left are added up within a slot, and slot totals before it, at most slots a block.
-    So there are rows times levels of work and no pairs of rows, and no task orders more than a slot.
+    Spark deals the values of each column into ranges. Pairs of points in different ranges of both columns are counted from
+    the weights of the cells of that grid; those in one range of y but not of x from points (range of x, y), those in one of
+    x but not of y from (x, range of y), those in one cell from the points themselves. A task counts cells or ranges
+    of about a range's points, by bits of their numbers in the order of x; a value that many points share is one there.
     """
     counts = written(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n")), "kendall")
-    ties = {}
+    points = counts.count()
+    ranges = max(1, min(slots, -(-points // POINTS)))
+    dealt = counts
     for c in ("x", "y"):
-        each = counts.groupBy(c).agg(F.sum("n").alias("t"))
-        ties[c] = written(running_by_range(each, [F.asc(c)], {"place": F.lit(1)}).select(c, (F.col("place") - 1).cast("long").alias(f"r{c}"), "t"), f"kendall-{c}")
+        dealt = written(dealt.repartitionByRange(ranges, c).withColumn(f"p{c}", F.spark_partition_id()), f"kendall-{c}")
+
+    def signs(cell: list[str], a: str, b: str) -> DataFrame:
+        rows = dealt if {"x", "y"} == {a, b} else dealt.groupBy(*{*cell, a, b}).agg(F.sum("n").alias("n"))
+        task = F.pmod(F.xxhash64(F.lit(1), *cell), F.lit(4 * ranges))
+        named = rows.select(task.alias("task"), (F.struct(*cell) if cell else F.struct(F.lit(0))).alias("cell"), F.col(a).alias("a"), F.col(b).alias("b"), "n")
+        return named.select("task", "cell.*", "a", "b", "n").groupBy("task").applyInArrow(sign_sums, "s decimal(38,0)")
+
     wide = lambda c: c.cast("decimal(19,0)")
     pairs = lambda n: wide(n) * wide(n - 1) / 2
-    last_x, last_y = (ties[c].agg(F.max(f"r{c}")).first()[0] or 0 for c in ("x", "y"))
-    placed = counts.join(ties["x"].drop("t"), "x").join(ties["y"].drop("t"), "y").select("rx", "ry", "n")
-    level = F.explode(F.sequence(F.lit(0), F.lit(max(last_x.bit_length() - 1, 0)))).alias("level")
-    rows = placed.select("rx", "ry", "n", level).select("level", F.expr("shiftright(rx, level + 1)").alias("block"), "ry", F.expr(f"ry div {last_y // slots + 1}").alias("slot"), F.expr("shiftright(rx, level) & 1").alias("side"), "n")
-    side = lambda s: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(("l", "r")[s])
-    cells = rows.groupBy("level", "block", "slot", "ry").agg(side(0), side(1))
-    block = Window.partitionBy("level", "block")
-    totals = cells.groupBy("level", "block", "slot").agg(F.sum("l").alias("here"))
-    before = totals.select("level", "block", "slot", F.sum("here").over(block).alias("all"), (F.sum("here").over(block.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("here")).alias("before"))
-    inside = F.sum("l").over(Window.partitionBy("level", "block", "slot").orderBy("ry").rowsBetween(Window.unboundedPreceding, 0))
-    upto = cells.withColumn("inside", inside).join(before, ["level", "block", "slot"]).filter("r > 0")
-    less, more = F.col("before") + F.col("inside") - F.col("l"), F.col("all") - F.col("before") - F.col("inside")
-    s = upto.agg(F.coalesce(F.sum(wide(F.col("r")) * wide(less - more)), F.lit(0)).cast("double").alias("s"))
+    parts = [signs([], "px", "py"), signs(["py"], "px", "y"), signs(["px"], "x", "py"), signs(["px", "py"], "x", "y")]
+    s = reduce(DataFrame.unionByName, parts).agg(F.coalesce(F.sum("s"), F.lit(0)).cast("double").alias("s"))
+    ties = {c: counts.groupBy(c).agg(F.sum("n").alias("t")) for c in ("x", "y")}
     tied = [ties[c].agg(F.coalesce(F.sum(pairs(F.col("t"))), F.lit(0)).cast("double").alias(f"t{c}")) for c in ("x", "y")]
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(pairs(F.col("n")).cast("double").alias("all"))
     one = s.crossJoin(tied[0]).crossJoin(tied[1]).crossJoin(whole)  # one row each

@@ -111,6 +111,23 @@ def test_kendall_against_all_pairs(spark, slots):
     assert kendall(df.limit(0), "x", "y").first().tau == 0 and kendall(df.filter("x = 1"), "x", "y").first().tau == 0
 
 
+def test_kendall_over_ranges_makes_no_row_a_level(spark, monkeypatch):
+    from orefield.operators import aggregates
+
+    monkeypatch.setattr(aggregates, "POINTS", 20)
+    r = random.Random(8)
+    draw = lambda: r.choice([r.random(), float(r.randint(0, 3)), 7.0])
+    rows = [(draw(), draw()) for _ in range(150)]
+    sign = lambda a, b: (a > b) - (a < b)
+    s = sum(sign(a[0], b[0]) * sign(a[1], b[1]) for a, b in itertools.combinations(rows, 2))
+    tied = [sum(a[i] != b[i] for a, b in itertools.combinations(rows, 2)) for i in (0, 1)]
+    out = aggregates.kendall(spark.createDataFrame(rows, "x double, y double"), "x", "y")
+    assert "Generate explode" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.first().tau == pytest.approx(s / (tied[0] * tied[1]) ** 0.5, abs=1e-12)
+    nan = float("nan")
+    assert aggregates.kendall(spark.createDataFrame([(nan, 1.0), (nan, 2.0), (1.0, 0.0)], "x double, y double"), "x", "y").first().tau == pytest.approx(2 / (2 * 3) ** 0.5)
+
+
 def test_r_squared_is_one_aggregate(spark):
     from orefield.operators.evaluation import r_squared, regression_scores
 
