@@ -81,23 +81,54 @@ def apriori(baskets: DataFrame, support: float, longest: int) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
+#: Rows that a task gets of what is dealt out in numbers of its own, as each makes several.
+DEALT = 1 << 18
+
+
+def tid_intersections(rows: DataFrame, item: str, tid: str) -> DataFrame:
+    """a, b, both: for each two items (a < b) that share one, how many different tids they share.
+
+    Rows of a tid make pairs within a row of the table. Tasks get rows by their number, before pairs are made and after,
+    as a small shuffle makes many of them.
+    """
+    rows = rows.select(F.col(item).alias("a"), F.col(tid).alias("k")).filter(F.col(item).isNotNull() & F.col(tid).isNotNull())
+    tasks = max(1, -(-rows.count() // DEALT))
+    sets = written(rows.repartition(tasks, "k").groupBy("k").agg(F.array_sort(F.collect_set("a")).alias("s")).select("s").filter(F.size("s") > 1), "sets")
+    n = sets.agg(F.sum(F.size("s").cast("long") * (F.size("s") - 1) / 2)).first()[0] or 0
+    pairs = sets.select("s", F.posexplode("s").alias("i", "a")).select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
+    return pairs.repartition(max(1, -(-int(n) // (4 * DEALT))), "a", "b").groupBy("a", "b").agg(F.count("*").alias("both"))
+
+
+def contents(baskets: DataFrame) -> DataFrame:
+    """Each different set of items that baskets (basket_id, item) hold, sorted, and how many do: held, w; loose are items without a basket_id."""
+    sets = baskets.groupBy("basket_id").agg(F.array_sort(F.collect_set("item")).alias("held"))
+    return sets.groupBy("held", F.col("basket_id").isNull().alias("loose")).agg(F.count("*").alias("w"))
+
+
 def eclat(baskets: DataFrame, support: float, longest: int) -> DataFrame:
     """items, count by joining (itemset, basket) rows with the frequent items of the same basket that come later.
 
-    Each level is kept (in memory or on the executors' disks), as the next one and its counts are both made from it.
+    Baskets with the same items are one with a weight, so the joins grow with the different baskets. Each level is written, as
+    the next one and its counts are both made from it.
     """
-    baskets = baskets.distinct().persist()
-    least = least_count(baskets, support)
-    single = baskets.join(frequent_items(baskets, least).select("item"), "item", "left_semi").persist()
-    held = single.select("basket_id", F.array("item").alias("items"))
+    sets = written(contents(baskets).withColumn("b", F.monotonically_increasing_id()), "contents")
+    return _eclat(sets, max(1, math.ceil(support * (sets.agg(F.sum("w")).first()[0] or 0))), longest)
+
+
+def _eclat(sets: DataFrame, least: int, longest: int) -> DataFrame:
+    """eclat's sets of contents (b, held, w) in at least so many baskets."""
+    rows = sets.select("b", "w", "loose", F.explode("held").alias("item"))
+    often = rows.groupBy("item").agg(F.sum("w").alias("count")).filter(F.col("count") >= least)
+    single = written(rows.join(often.select("item"), "item", "left_semi"), "single")
+    held = single.select("b", "w", "loose", F.array("item").alias("items"))
     levels = []
     for k in range(longest):
-        counts = held.groupBy("items").agg(F.count("*").alias("count")).filter(F.col("count") >= least).persist()
+        counts = written(held.groupBy("items").agg(F.sum("w").alias("count")).filter(F.col("count") >= least), "level")
         levels.append(counts)
         if k + 1 == longest:
             break
-        kept = held.join(counts.select("items"), "items", "left_semi")
-        held = kept.join(single, "basket_id").filter(F.col("item") > F.element_at("items", -1)).select("basket_id", F.concat("items", F.array("item")).alias("items")).persist()
+        kept = held.filter("NOT loose").join(counts.select("items"), "items", "left_semi")
+        held = written(kept.join(single.select("b", "item"), "b").filter(F.col("item") > F.element_at("items", -1)).select("b", "w", "loose", F.concat("items", F.array("item")).alias("items")), "held")
     return reduce(DataFrame.unionByName, levels)
 
 
@@ -240,13 +271,19 @@ def holdout_report(judged: DataFrame, baskets: DataFrame, least: int = 5) -> Dat
 
 def recommend(table: DataFrame, baskets: DataFrame, k: int) -> DataFrame:
     """Per basket the k items not in it that rules whose antecedent it holds point to, by the best rule's confidence."""
-    keyed = table.select(rule_label().alias("set_id"), F.col("antecedent").alias("items"), "consequent", "confidence")
-    fired = containing(keyed, baskets).join(keyed.select("set_id", "consequent", "confidence"), "set_id")
+    # what is offered depends on a basket's items alone, so each different set of them is worked off once
+    own = written(baskets.groupBy("basket_id").agg(F.array_sort(F.collect_set("item")).alias("held")), "baskets")
+    each = written(own.select("held").distinct().withColumn("b", F.monotonically_increasing_id()), "contents")
+    rows = each.select(F.col("b").alias("basket_id"), F.explode("held").alias("item"))
+    keyed = written(table.select(rule_label().alias("set_id"), F.col("antecedent").alias("items"), "consequent", "confidence"), "rules")
+    fired = containing(keyed, rows).join(keyed.select("set_id", "consequent", "confidence"), "set_id")
     offered = fired.select("basket_id", F.explode("consequent").alias("item"), "confidence", F.col("set_id").alias("rule"))
-    new = offered.join(baskets, ["basket_id", "item"], "left_anti")
+    new = offered.join(rows, ["basket_id", "item"], "left_anti")
     best = new.groupBy("basket_id", "item").agg(F.max(F.struct("confidence", "rule")).alias("b")).select("basket_id", "item", "b.confidence", "b.rule")
     place = F.row_number().over(Window.partitionBy("basket_id").orderBy(F.desc("confidence"), "item"))
-    return best.withColumn("place", place).filter(F.col("place") <= k)
+    first = best.withColumn("place", place).filter(F.col("place") <= k)
+    listed = first.groupBy(F.col("basket_id").alias("b")).agg(F.collect_list(F.struct("item", "confidence", "rule", "place")).alias("x"))
+    return own.join(written(each.join(listed, "b").select("held", "x"), "offers"), "held").select("basket_id", F.inline("x"))
 
 
 def sensitivity(table: DataFrame, confidences: list[float], lifts: list[float]) -> DataFrame:
@@ -319,12 +356,13 @@ def empirical_fdr(baskets: DataFrame, lifts: list[float], least: int, rounds: in
 
     baskets: basket_id, items. Swapping keeps basket sizes and item counts, so what reaches the lift there does so by chance.
     """
+    baskets = written(baskets.select("basket_id", F.array_sort("items").alias("items")), "baskets")  # read once for each round
     n = baskets.count()
 
     def reached(df: DataFrame) -> DataFrame:
-        rows = df.select("basket_id", F.explode("items").alias("item"))
-        of = rows.groupBy("item").agg(F.count("*").alias("c"))
-        pairs = rows.join(rows.withColumnRenamed("item", "other"), "basket_id").filter("item < other").groupBy("item", "other").agg(F.count("*").alias("both")).filter(F.col("both") >= least)
+        of = df.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("c"))
+        each = df.select("items", F.posexplode("items").alias("i", "item"))  # sorted: what comes later is larger
+        pairs = each.select("item", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("other")).groupBy("item", "other").agg(F.count("*").alias("both")).filter(F.col("both") >= least)
         lift = pairs.join(of, "item").join(of.select(F.col("item").alias("other"), F.col("c").alias("d")), "other").select((F.col("both") * n / (F.col("c") * F.col("d"))).alias("lift"))
         return lift.agg(*[F.count_if(F.col("lift") >= x).alias(f"n{i}") for i, x in enumerate(lifts)])
 
@@ -339,13 +377,18 @@ class Itemsets:
     """Itemsets mined once at the lowest support; higher supports and shorter sets are filters of what is kept."""
 
     def __init__(self, baskets: DataFrame, support: float, longest: int):
-        self.baskets, self.support, self.longest = baskets.distinct().persist(), support, longest
-        self.kept = eclat(self.baskets, support, longest).persist()
+        self.support, self.longest = support, longest
+        sets = written(contents(baskets).withColumn("b", F.monotonically_increasing_id()), "contents")
+        self.n = sets.agg(F.sum("w")).first()[0] or 0
+        self.kept = _eclat(sets, self.least(support), longest)
+
+    def least(self, support: float) -> int:
+        return max(1, math.ceil(support * self.n))
 
     def at(self, support: float, longest: int) -> DataFrame:
         if support < self.support or longest > self.longest:
             raise ValueError("asked for more than was mined")
-        return self.kept.filter((F.col("count") >= least_count(self.baskets, support)) & (F.size("items") <= longest))
+        return self.kept.filter((F.col("count") >= self.least(support)) & (F.size("items") <= longest))
 
 
 def attached(table: DataFrame, report: DataFrame, columns: Sequence[str]) -> DataFrame:

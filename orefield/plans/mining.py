@@ -35,7 +35,8 @@ def baskets(t: Tables) -> DataFrame:
 def pair_rules(t: Tables, half: int | None = None) -> DataFrame:
     """Rules of one item each from the pairs, with counts; of all baskets, or of those whose number modulo 2 is half."""
     b = baskets(t) if half is None else baskets(t).filter(F.col("basket_id") % 2 == half)
-    return P.rules(P.eclat(b, SUPPORT, 2), b.select("basket_id").distinct().count(), 1)
+    mined = P.Itemsets(b, SUPPORT, 2)
+    return P.rules(mined.kept, mined.n, 1)
 
 
 def shown(rules: DataFrame, *columns: str) -> DataFrame:

@@ -128,6 +128,42 @@ def test_kendall_over_ranges_makes_no_row_a_level(spark, monkeypatch):
     assert aggregates.kendall(spark.createDataFrame([(nan, 1.0), (nan, 2.0), (1.0, 0.0)], "x double, y double"), "x", "y").first().tau == pytest.approx(2 / (2 * 3) ** 0.5)
 
 
+def test_equal_baskets_are_mined_and_served_once(spark):
+    from orefield.operators import patterns as P
+    from orefield.functions.measures import measured
+
+    r = random.Random(9)
+    kinds = [tuple(sorted(r.sample("abcdef", r.randint(1, 4)))) for _ in range(6)]
+    baskets = {i: r.choice(kinds) for i in range(80)}
+    b = spark.createDataFrame([(i, x) for i, s in baskets.items() for x in s] + [(None, "a"), (None, "b")], "basket_id long, item string")
+    assert P.contents(b).filter("NOT loose").count() == len(set(baskets.values()))
+    mined = P.Itemsets(b, 0.1, 3)
+    want = {}
+    for s in baskets.values():
+        for k in (1, 2, 3):
+            for c in itertools.combinations(s, k):
+                want[c] = want.get(c, 0) + 1
+    for x in "ab":
+        want[(x,)] = want.get((x,), 0) + 1
+    assert mined.n == 81
+    assert {tuple(x["items"]): x["count"] for x in mined.kept.collect()} == {c: n for c, n in want.items() if n >= 9}
+    rules = measured(P.rules(mined.kept, mined.n, 1), ["confidence"])
+    best = {}
+    for x in rules.collect():
+        best.setdefault(x.antecedent[0], []).append((x.confidence, x.consequent[0]))
+    own = b.filter("basket_id IS NOT NULL")
+    got = {}
+    for x in P.recommend(rules.filter("size(consequent) = 1"), own, 2).collect():
+        got.setdefault(x.basket_id, {})[x.place] = (x.item, x.confidence)
+    for i, s in baskets.items():
+        offers = {}
+        for a in s:
+            for c, item in best.get(a, []):
+                if item not in s:
+                    offers[item] = max(offers.get(item, 0), c)
+        assert got.get(i, {}) == {p: x for p, x in enumerate(sorted(offers.items(), key=lambda x: (-x[1], x[0]))[:2], 1)}
+
+
 def test_r_squared_is_one_aggregate(spark):
     from orefield.operators.evaluation import r_squared, regression_scores
 
