@@ -164,6 +164,21 @@ def test_equal_baskets_are_mined_and_served_once(spark):
         assert got.get(i, {}) == {p: x for p, x in enumerate(sorted(offers.items(), key=lambda x: (-x[1], x[0]))[:2], 1)}
 
 
+def test_pairs_by_shared_tids_are_dealt_by_their_number(spark, monkeypatch):
+    from orefield.operators import patterns as P
+
+    monkeypatch.setattr(P, "DEALT", 5)
+    r = random.Random(10)
+    rows = [(r.randrange(9), r.randrange(12)) for _ in range(70)] + [(None, 1), (1, None), (2, None)]
+    out = P.tid_intersections(spark.createDataFrame(rows, "s long, o long"), "s", "o")
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+    of = {}
+    for s, o in rows:
+        if s is not None and o is not None:
+            of.setdefault(s, set()).add(o)
+    assert {(x.a, x.b): x.both for x in out.collect()} == {(a, b): len(of[a] & of[b]) for a, b in itertools.combinations(sorted(of), 2) if of[a] & of[b]}
+
+
 def test_r_squared_is_one_aggregate(spark):
     from orefield.operators.evaluation import r_squared, regression_scores
 
