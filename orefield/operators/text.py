@@ -308,18 +308,21 @@ def compliance(keywords: Column, reply: Column) -> Column:
 
 
 def bigram_entropy(train: DataFrame, test: DataFrame, text: str = "text") -> DataFrame:
-    """Cross-entropy in nats of the test bigrams under add-one smoothed conditional bigram counts of the train texts, and their number."""
-
-    def pairs(df: DataFrame) -> DataFrame:
-        w = words(F.col(text))
-        both = F.when(F.size(w) > 1, F.arrays_zip(F.slice(w, F.lit(1), F.size(w) - 1).alias("x"), F.slice(w, F.lit(2), F.size(w) - 1).alias("y")))
-        return df.select(F.explode(both).alias("g")).groupBy(F.col("g.x").alias("x"), F.col("g.y").alias("y")).agg(F.count("*").alias("n"))
-
-    known = pairs(train)
-    firsts = known.groupBy("x").agg(F.sum("n").alias("of_x"))
-    types = frequencies(train, text).agg((F.count("*") + 1).alias("types"))
-    asked = pairs(test).withColumnRenamed("n", "m").join(known, ["x", "y"], "left").join(firsts, "x", "left").crossJoin(types)  # one row
-    nats = -F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("of_x", F.lit(0)) + F.col("types")))
+    """Cross-entropy in nats of the test bigrams under add-one smoothed conditional bigram counts of the train texts, and their number.
+
+    Both sides' bigrams are counted in one pass, into a table with n and m. A text's last word comes with no second one, so
+    each word of the train texts is the first of some row.
+    """
+    own = lambda df, trains: df.select(words(F.col(text)).alias("w")).withColumn("trains", F.lit(trains))
+    # a column of its own, so that a text is split once, not for each use of its words
+    w = own(train, True).unionByName(own(test, False)).filter(F.size("w") > 0)
+    pairs = F.inline(F.arrays_zip(F.col("w").alias("x"), F.slice("w", F.lit(2), F.size("w") - 1).alias("y")))
+    counts = w.select("trains", pairs).groupBy("x", "y").agg(F.count_if("trains").alias("n"), F.count_if(~F.col("trains")).alias("m"))
+    counts = written(counts, "bigrams")
+    firsts = counts.filter("n > 0").groupBy("x").agg(F.sum(F.when(F.col("y").isNotNull(), F.col("n")).otherwise(0)).alias("of_x"))
+    types = firsts.agg((F.count("*") + 1).alias("types"))
+    asked = counts.filter("m > 0 and y is not null").join(firsts, "x", "left").crossJoin(F.broadcast(types))  # one row
+    nats = -F.ln((F.col("n") + 1) / (F.coalesce("of_x", F.lit(0)) + F.col("types")))
     return asked.agg((F.sum(F.col("m") * nats) / F.sum("m")).alias("nats"), F.sum("m").alias("bigrams"))
 
 

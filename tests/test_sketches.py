@@ -35,3 +35,23 @@ def test_texts_are_sketched_once(spark, monkeypatch):
     assert calls == [(5, 16, 4)]
     monkeypatch.setattr(K, "LOOKED_UP", 0)
     assert {r.id: r.cluster for r in K.near_clusters(df).collect()} == {i: i - i % 2 for i in range(8)}
+
+
+def test_bigrams_are_counted_once_and_match_plain_counts(spark):
+    import math
+    from collections import Counter
+
+    train = ["a b a b c", "A  b", "lone", None, "", " c a "]
+    test = ["a b z", "b c", "only", None, "lone a"]
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    split = lambda texts: [(t or "").lower().split() for t in texts]
+    n = Counter(p for w in split(train) for p in zip(w, w[1:]))
+    of = Counter(x for w in split(train) for x in w[:-1])
+    types = len({x for w in split(train) for x in w}) + 1
+    asked = [p for w in split(test) for p in zip(w, w[1:])]
+    out = K.bigram_entropy(frame(train), frame(test))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # no text is split again; all comes from the table
+    got = out.first()
+    assert got.bigrams == len(asked)
+    assert abs(got.nats + sum(math.log((n[p] + 1) / (of[p[0]] + types)) for p in asked) / len(asked)) < 1e-12
