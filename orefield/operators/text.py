@@ -57,18 +57,17 @@ def shared_bands(keys: DataFrame) -> DataFrame:
     return written(keys.join(sizes, ["band", "key"]), "shared")
 
 
-def in_blocks(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
-    """left (a, ...) with right (b, ...) of the same band and key; each block of a bucket's one side meets each of its other side in a group of their own.
+def in_blocks(left: DataFrame, right: DataFrame, block: int = BLOCK, bucket: tuple[str, ...] = ("band", "key")) -> DataFrame:
+    """left (a, ...) with right (b, ...) of the same bucket; each block of a bucket's one side meets each of its other side in a group of their own.
 
     So a full bucket is many groups of at most about block x block pairs, whose rows are sent as often as the other side has blocks.
     """
-    bucket = ["band", "key"]
-    of = lambda df, name: df.groupBy(bucket).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = of(left, "of_a").join(of(right, "of_b"), bucket)
+    of = lambda df, name: df.groupBy(*bucket).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = of(left, "of_a").join(of(right, "of_b"), [*bucket])
     dealt = lambda c, n: F.pmod(F.xxhash64(F.lit(5), c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = left.join(sizes, bucket).withColumn("i", dealt("a", "of_a")).withColumn("j", every("of_b")).drop("of_a", "of_b")
-    y = right.join(sizes, bucket).withColumn("j", dealt("b", "of_b")).withColumn("i", every("of_a")).drop("of_a", "of_b")
+    x = left.join(sizes, [*bucket]).withColumn("i", dealt("a", "of_a")).withColumn("j", every("of_b")).drop("of_a", "of_b")
+    y = right.join(sizes, [*bucket]).withColumn("j", dealt("b", "of_b")).withColumn("i", every("of_a")).drop("of_a", "of_b")
     return x.join(y, [*bucket, "i", "j"])
 
 
@@ -94,28 +93,90 @@ def verified(pairs: DataFrame, left: tuple[DataFrame, DataFrame], right: tuple[D
     return both.select("a", "b", shared.alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, *, bands: int = 16, rows: int = 4, similarity: float = 0.8, k: int = 5, block: int = BLOCK) -> DataFrame:
-    """a, b, similarity of pairs (a from left, b from right; key id, text) with Jaccard of (hashed) shingles at least so high.
+def rare_first(sides: list[tuple[DataFrame, DataFrame]], similarity: float) -> list[DataFrame]:
+    """row, n, key, at of the classes of one table or of two (sketched() and classes() each). A row for each shingle among a
+    set's first n - ceil(similarity n) + 1, and its place there, where another class (of the other table) has it too.
 
-    Rows with the same shingles are one class before bands are joined, so a group of exact copies meets once. Full band
-    buckets are dealt into blocks. Pairs of a table with itself are compared once and turned round.
+    All sets are in one order, rarest shingle first. Two sets that are so similar share one of these, whatever the order: what
+    a set has after its first shared shingle must do for the overlap. Those that no other set has come before all others, so
+    a set with too many of them has no row.
     """
-    a = sketched(left, k, bands, rows)
-    a = a, classes(a)
-    keys = in_bands(*a)
-    if right is left:
-        keys = shared_bands(keys).drop("m")
-    ka = keys.withColumnsRenamed({"id": "a", "n": "n_a"})
-    if right is left:
-        found = written(verified(in_blocks(ka, keys.withColumnsRenamed({"id": "b", "n": "n_b"}), block).filter("a < b"), a, a, similarity), "found")
-        return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    b = sketched(right, k, bands, rows)
-    b = b, classes(b)
-    return verified(in_blocks(ka, in_bands(*b).withColumnsRenamed({"id": "b", "n": "n_b"}), block).filter("a <> b"), a, b, similarity)
+    own = [made.join(reps.select("row"), "row", "left_semi").select(F.lit(i).alias("side"), "row", "n", F.explode("s").alias("key")) for i, (made, reps) in enumerate(sides)]
+    # counted beside the rows, which are sent once: of one shingle there is at most a row for each set
+    every = Window.partitionBy("key")
+    counted = (own[0] if len(own) == 1 else own[0].unionByName(own[1])).withColumn("m", F.count("*").over(every))
+    counted = counted.filter("m > 1") if len(own) == 1 else counted.withColumn("m_b", F.sum("side").over(every)).filter("m_b > 0 and m_b < m")
+    sets = counted.groupBy("side", "row", "n").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("x"))
+    first = F.col("n") - F.ceil(F.col("n") * (similarity * (1 - 1e-12))) + 1
+    sets = sets.withColumn("alone", F.col("n") - F.size("x")).withColumn("left", (first - F.col("alone")).cast("int")).filter("left > 0")
+    rows = sets.select("side", "row", "n", "alone", F.posexplode(F.slice("x", F.lit(1), F.col("left"))).alias("at", "x"))
+    rows = written(rows.select("side", "row", "n", "x.key", (F.col("alone") + F.col("at")).alias("at")), "rare")
+    return [rows.filter(F.col("side") == i).drop("side") for i in range(len(sides))]
+
+
+def alike(sides: list[tuple[DataFrame, DataFrame]], similarity: float, block: int = BLOCK) -> DataFrame:
+    """a, b (rows of classes), similarity of all pairs of classes whose sets' Jaccard is at least so high (above 0); written.
+
+    sides: sketched() and classes() of one table, whose pairs come once, or of two.
+    """
+    found = rare_first(sides, similarity)
+    x, y = (found[i].select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), "key", F.col("at").alias(f"at_{c}")) for i, c in ((0, "a"), (-1, "b")))
+    met = in_blocks(x, y, block, ("key",))
+    if len(sides) == 1:
+        met = met.filter("a < b")
+    # the most that they can share, by how much of each lies before and after this shingle
+    most = 1 + F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    met = met.filter(most / (F.col("n_a") + F.col("n_b") - most) >= similarity)
+    by_row = [(made, reps.select(F.col("row").alias("id"), "row")) for made, reps in sides]
+    return written(verified(met.select("a", "n_a", "b", "n_b"), by_row[0], by_row[-1], similarity), "alike")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, *, similarity: float = 0.8, k: int = 5, block: int = BLOCK) -> DataFrame:
+    """a, b, similarity of all pairs (a from left, b from right; key id, text) with Jaccard of (hashed) shingles at least so high.
+
+    Rows with the same shingles are one class, which goes by its smallest id. Pairs of a table with itself are compared once and turned round.
+    """
+    made = [sketched(df, k) for df in ((left,) if right is left else (left, right))]
+    sides = [(m, classes(m)) for m in made]
+    named = lambda i, c: sides[i][1].select(F.col("row").alias(c), F.col("id").alias(f"id_{c}"))
+    found = alike(sides, similarity, block).join(named(0, "a"), "a").join(named(-1, "b"), "b")
+    found = found.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "similarity").filter("a <> b")
+    return found if len(sides) == 2 else found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+
+
+#: Ids of a class that meet those of another in one row; larger classes are dealt into blocks of about so many.
+MEMBERS = 128
+
+
+def near_documents(docs: DataFrame, *, similarity: float = 0.8, k: int = 5, block: int = BLOCK, members: int = MEMBERS) -> DataFrame:
+    """a, b, similarity of all pairs of documents (id, text; a < b) with Jaccard of (hashed) shingles at least so high.
+
+    near_pairs() for each member of a class with each of the other, and the members of a class with one another. A pair of ids
+    comes once for each two classes.
+    """
+    made = sketched(docs, k)
+    reps = classes(made)
+    named = lambda c: reps.select(F.col("row").alias(c), F.col("h").alias(f"h_{c}"))
+    near = alike([(made, reps)], similarity, block).join(named("a"), "a").join(named("b"), "b").select("h_a", "h_b", "similarity")
+    own = made.filter("s is not null and id is not null").select("h", "id").distinct()
+    sizes = own.groupBy("h").agg(F.ceil(F.count("*") / members).cast("int").alias("of"), F.count("*").alias("m"))
+    sizes, own = written(sizes, "sizes"), written(own.join(sizes, "h"), "members")
+    blocks = own.withColumn("i", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("of")).cast("int")).groupBy("h", "i").agg(F.collect_list("id").alias("ids"))
+    blocks = written(blocks, "blocks")
+    links = near.unionByName(sizes.filter("m > 1").select(F.col("h").alias("h_a"), F.col("h").alias("h_b"), F.lit(1.0).alias("similarity")))
+    for c in "ab":
+        links = links.join(sizes.select(F.col("h").alias(f"h_{c}"), F.col("of").alias(f"of_{c}")), f"h_{c}")
+    # first numbers of blocks, so that a large class's pairs are dealt over tasks
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    met = links.withColumn("i_a", every("of_a")).withColumn("i_b", every("of_b")).filter("h_a <> h_b or i_a <= i_b").repartition("h_a", "i_a", "h_b", "i_b")
+    for c in "ab":
+        met = met.join(blocks.select(F.col("h").alias(f"h_{c}"), F.col("i").alias(f"i_{c}"), F.col("ids").alias(f"ids_{c}")), [f"h_{c}", f"i_{c}"])
+    pairs = met.withColumn("x", F.explode("ids_a")).withColumn("y", F.explode("ids_b")).filter("x < y or (x > y and (h_a <> h_b or i_a < i_b))")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
 def near_links(docs: DataFrame, *, bands: int = 16, rows: int = 4, similarity: float = 0.8, k: int = 5, block: int = BLOCK, found: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """node, root: the components of near_pairs(docs, docs), without making all pairs of groups that hang together.
+    """node, root: the components of those near_pairs(docs, docs) that agree on a band of their signatures, without making all pairs of groups that hang together.
 
     found: sketched() and classes() of docs, if there are.
 

@@ -162,7 +162,7 @@ def k1_exact_groups(t: Tables) -> DataFrame:
 @query()
 def k3_near_pairs(t: Tables) -> DataFrame:
     docs = t.documents.select(F.col("doc_id").alias("id"), "text")
-    return K.near_pairs(docs, docs).filter("a < b").withColumn("similarity", F.round("similarity", 8))
+    return K.near_documents(docs).withColumn("similarity", F.round("similarity", 8))
 
 
 @query(rf"""WITH n AS (SELECT doc_id AS id, string_split({_NORM}, ' ') AS w FROM documents), d AS (SELECT id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM n),
