@@ -93,24 +93,38 @@ def verified(pairs: DataFrame, left: tuple[DataFrame, DataFrame], right: tuple[D
     return both.select("a", "b", shared.alias("similarity")).filter(F.col("similarity") >= similarity)
 
 
+def of_classes(made: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows of sketched() that stand for their class. The sets aren't sent where the other rows are few."""
+    others = written(made.select("row").join(reps.select("row"), "row", "left_anti"), "others")
+    if others.count() <= LOOKED_UP:
+        return made.join(F.broadcast(others), "row", "left_anti")
+    return made.join(reps.select("row"), "row", "left_semi")
+
+
 def rare_first(sides: list[tuple[DataFrame, DataFrame]], similarity: float) -> list[DataFrame]:
     """row, n, key, at of the classes of one table or of two (sketched() and classes() each). A row for each shingle among a
     set's first n - ceil(similarity n) + 1, and its place there, where another class (of the other table) has it too.
 
     All sets are in one order, rarest shingle first. Two sets that are so similar share one of these, whatever the order: what
     a set has after its first shared shingle must do for the overlap. Those that no other set has come before all others, so
-    a set with too many of them has no row.
+    a set with too many of them has no row. Shingles go by the first bits of their hash, over a hundred times as many values as
+    there are shingles: two that fall together only look less rare.
     """
-    own = [made.join(reps.select("row"), "row", "left_semi").select(F.lit(i).alias("side"), "row", "n", F.explode("s").alias("key")) for i, (made, reps) in enumerate(sides)]
+    total = sum(made.agg(F.sum("n")).first()[0] or 0 for made, _ in sides)
+    bits = min(total.bit_length() + 7, 50)
+    own = [of_classes(*both).select(F.lit(i).alias("side"), "row", "n", F.explode("s").alias("key")) for i, both in enumerate(sides)]
+    own = [df.withColumn("key", F.shiftrightunsigned("key", 64 - bits)) for df in own]
     # counted beside the rows, which are sent once: of one shingle there is at most a row for each set
     every = Window.partitionBy("key")
     counted = (own[0] if len(own) == 1 else own[0].unionByName(own[1])).withColumn("m", F.count("*").over(every))
     counted = counted.filter("m > 1") if len(own) == 1 else counted.withColumn("m_b", F.sum("side").over(every)).filter("m_b > 0 and m_b < m")
-    sets = counted.groupBy("side", "row", "n").agg(F.sort_array(F.collect_list(F.struct("m", "key"))).alias("x"))
+    # number and shingle in one long, which orders by both
+    x = F.shiftleft(F.least("m", F.lit(2 ** (62 - bits))), bits) + F.col("key")
+    sets = counted.groupBy("side", "row", "n").agg(F.sort_array(F.collect_list(x)).alias("x"))
     first = F.col("n") - F.ceil(F.col("n") * (similarity * (1 - 1e-12))) + 1
     sets = sets.withColumn("alone", F.col("n") - F.size("x")).withColumn("left", (first - F.col("alone")).cast("int")).filter("left > 0")
-    rows = sets.select("side", "row", "n", "alone", F.posexplode(F.slice("x", F.lit(1), F.col("left"))).alias("at", "x"))
-    rows = written(rows.select("side", "row", "n", "x.key", (F.col("alone") + F.col("at")).alias("at")), "rare")
+    rows = sets.select("side", "row", "n", "alone", F.posexplode(F.slice("x", F.lit(1), F.col("left"))).alias("at", "key"))
+    rows = written(rows.select("side", "row", "n", "key", (F.col("alone") + F.col("at")).alias("at")), "rare")
     return [rows.filter(F.col("side") == i).drop("side") for i in range(len(sides))]
 
 
